@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WHITE_SPACE, bind, without_space, words_of
+from sparkloom.llm.common import bind, without_space, words_of
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -21,17 +21,16 @@ def _lines(text: Column) -> Column:
 
 
 def normalised_line(line: Column) -> Column:
-    """Lower case, white space trimmed and runs of it as one space: lines that look alike are one line."""
-    spaced = F.translate(line, WHITE_SPACE, " " * len(WHITE_SPACE))
-    return F.lower(F.array_join(F.array_remove(F.split(spaced, " "), ""), " "))
+    """Lower case, all white space left out: lines that look alike are one line."""
+    return F.lower(without_space(line))
 
 
 def line_hash(line: Column) -> Column:
     return F.xxhash64(normalised_line(line))
 
 
-def repeated_window_words(words: Column) -> Column:
-    """Words inside windows of eight words that the text holds twice or more, the first one included.
+def word_figures(words: Column) -> Column:
+    """(n_words, n_repeat_words) of an array of words that is worked out once; the second are the words inside windows of eight words that the text holds twice or more, the first one included.
 
     Each window's hash comes from three pairings of shifted arrays (2, 4, 8 words). A text whose window
     hashes are all distinct ends there; else the hashes are sorted with their places, neighbours compared,
@@ -68,22 +67,20 @@ def repeated_window_words(words: Column) -> Column:
         windows = F.slice(eight, 1, F.greatest(F.size(w) - (WINDOW - 1), F.lit(0)))
         return F.when(F.size(w) < 2, F.lit(0)).when(F.size(w) < WINDOW + 1, F.lit(0)).otherwise(bind(windows, from_windows))
 
-    return bind(words, from_words).cast("long")
+    return bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), from_words(w).cast("long").alias("n_repeat_words")))
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of each row, plus the columns named in keep."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = words_of(text)
     found = docs.select(
         F.col(id_col).alias("doc_id"),
         *[F.col(c) for c in keep if c != id_col],
-        F.size(words).cast("long").alias("n_words"),
+        word_figures(words_of(text)).alias("_w"),
         F.length(without_space(text)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         bind(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(words).alias("n_repeat_words"),
-    )
+    ).select("doc_id", *[c for c in keep if c != id_col], "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return found.withColumn("base_failed", failed)
 
