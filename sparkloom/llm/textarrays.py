@@ -157,3 +157,11 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
     return at, np.append(at[1:], len(values))
+
+
+def runs_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs in which both arrays stay equal."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
+    return at, np.append(at[1:], len(first))
