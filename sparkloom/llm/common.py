@@ -58,11 +58,9 @@ def stored(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the input files as the planner estimates it; 1 where it is unknown."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return max(1, int(str(stats.sizeInBytes())))
-
-
-def to_id(name: str) -> Column:
-    return F.col(name).cast("long")
+def shard_count(df: DataFrame, bytes_each: int, least: int) -> int:
+    """Shards so that each stands for about bytes_each of input, by the planner's estimate; a partition each where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:
+        return max(least, df.rdd.getNumPartitions())
+    return max(least, size // bytes_each)

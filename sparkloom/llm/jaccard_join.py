@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textarrays as ta
-from sparkloom.llm.common import input_bytes, stored
+from sparkloom.llm.common import shard_count, stored
 from sparkloom.llm.components import components
 
 #: Tokens in more documents than this are of the frequent class.
@@ -41,10 +41,6 @@ def _may_link(n1: Column, u1: Column, n2: Column, u2: Column) -> Column:
     return 7 * F.least(n1 - u1, n2 - u2) >= 3 * (n1 + n2)
 
 
-def _shards(docs: DataFrame) -> int:
-    return max(LEAST_SHARDS, input_bytes(docs) // SHARD_BYTES)
-
-
 def _packed(key: np.ndarray, n_keys: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """(key, the arrays' entries for it as bytes) for each key that occurs."""
     order = np.argsort(key, kind="stable")
@@ -256,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared shingles go on.
     """
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shards = int(_shards(docs))
+    shards = shard_count(docs, SHARD_BYTES, LEAST_SHARDS)
     rows = token_shards(named.where("doc_id IS NOT NULL"), shards, size)
     buckets = rows.repartitionById(shards, "shard").mapInArrow(_frequencies(shards), "bucket int, docs binary, sizes binary, owners binary, hashes binary, dfs binary")
     found = stored(buckets.repartitionById(shards, "bucket").mapInArrow(_documents, DOCUMENT))

@@ -11,7 +11,7 @@ anchors are brought together by hash, packed:
   suffixes are compared through their longest common extension, found by binary search over prefix polynomial
   hashes. Neighbours that agree over the full length are compared byte by byte before they count.
 
-An anchor with more than GROUP different segments is not gathered in one task: its border windows are counted
+An anchor with more than `gathered` different segments is not gathered in one task: its border windows are counted
 by digest with a map-side sum and joined back, which Spark can split.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textarrays as ta
-from sparkloom.llm.common import input_bytes, stored
+from sparkloom.llm.common import shard_count, stored
 
 GRAM = 64
 GROUP = 256
@@ -142,7 +142,7 @@ def _joined(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray]
     return [np.concatenate(x) for x in parts] if parts[0] else None
 
 
-def _matched(buckets: int, length: int):
+def _matched(buckets: int, length: int, gathered: int):
     """Shards of segments to buckets of documents: what is settled, and which segments must be sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def _matched(buckets: int, length: int):
         kinds = np.repeat(a_end - a_start, a_end - a_start)
         lone = np.add.reduceat((total == 1).astype(np.int64), a_start) if len(a_start) else a_start
         ask = start[(kinds > 1) & (np.repeat(lone, a_end - a_start) > 0)]
-        single, many = ~equal[ask], kinds[(kinds > 1) & (np.repeat(lone, a_end - a_start) > 0)] > GROUP
+        single, many = ~equal[ask], kinds[(kinds > 1) & (np.repeat(lone, a_end - a_start) > 0)] > gathered
         stop = at + windows - 1 + length
         done = [np.concatenate((x, y)) for x, y in zip(done, (doc[equal], at[equal], stop[equal]), strict=True)]
         done = _merged_by(*done)
@@ -374,7 +374,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gathered: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, spans and kept of every row: the maximal runs of bytes covered by a string of `length` bytes that
     also starts elsewhere in any text, the same included, and the other bytes concatenated (kept may cut characters).
 
@@ -386,9 +386,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be from {GRAM} to {8 * GRAM}")
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = named.withColumn("key", F.xxhash64("doc_id", "text"))
-    shards = int(max(LEAST_SHARDS, input_bytes(docs) // SHARD_BYTES))
+    shards = shard_count(docs, SHARD_BYTES, LEAST_SHARDS)
     split = keyed.select("key", "text").mapInArrow(_split(shards, length), _schema("shard", SHARD))
-    matched = split.repartitionById(shards, "shard").mapInArrow(_matched(shards, length), _schema("bucket", BUCKET))
+    matched = split.repartitionById(shards, "shard").mapInArrow(_matched(shards, length, gathered), _schema("bucket", BUCKET))
     settled = stored(matched.repartitionById(shards, "bucket").mapInArrow(_by_document, DOCUMENT))
 
     few = settled.where("few IS NOT NULL").select("key", "few").hint("shuffle_hash")
