@@ -11,8 +11,9 @@ anchors are brought together by hash, packed:
   suffixes are compared through their longest common extension, found by binary search over prefix polynomial
   hashes. Neighbours that agree over the full length are compared byte by byte before they count.
 
-An anchor with more than `gathered` different segments is not gathered in one task: its border windows are counted
-by digest with a map-side sum and joined back, which Spark can split.
+An anchor with more than `gathered` different segments is not gathered in one task. Its segments are divided again
+by anchors of nearly a window's length, the parts counted by digest with a map-side sum and joined back, which
+Spark can split; only where such a part's neighbours differ are single windows counted in the same way.
 """
 
 from __future__ import annotations
@@ -26,25 +27,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import packing
 from sparkloom.llm import textarrays as ta
 from sparkloom.llm.common import shard_count, stored
 
 GRAM = 64
-GROUP = 256
+GROUP = 512
 SUFFIXES = 1 << 19
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 _PLACE = np.uint64((1 << 30) - 1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, size: int = GRAM) -> tuple[np.ndarray, ...]:
     """(first window start, number of windows, anchor's place, anchor's hash, digest of all bytes, text number) of every segment."""
-    grams = length - GRAM + 1
+    grams = length - size + 1
     starts = np.arange(max(0, len(data) - length + 1))
     owner = np.searchsorted(offsets, starts, "right") - 1
     starts = starts[starts + length <= offsets[owner + 1]] if len(starts) else starts
     if not len(starts):
         return (*(np.zeros(0, np.int64),) * 3, *(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int64))
-    gram = ta.mixed(ta.Prefixes(data).windows(GRAM))
+    gram = ta.mixed(ta.Prefixes(data).windows(size))
     least = (gram & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
     span = 1
     while 2 * span <= grams:
@@ -61,53 +63,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return first, windows, place[at], gram[place[at]], whole, np.searchsorted(offsets, first, "right") - 1
 
 
-def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of intervals as disjoint ones in order; touching ones are joined."""
-    if not len(start):
-        return start, end
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
-    return start[new], end[np.append(new[1:] - 1, len(end) - 1)]
-
-
-def _merged_by(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Unions of the intervals of each key."""
-    order = np.lexsort((start, key))
-    key, start, end = key[order], start[order], end[order]
-    out: list[list[np.ndarray]] = [[], [], []]
-    for a, b in zip(*ta.runs(key), strict=True):
-        s, e = merged(start[a:b], end[a:b])
-        for k, x in enumerate((np.full(len(s), key[a]), s, e)):
-            out[k].append(x)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-
-
-def _bucket(key: np.ndarray, n: int) -> np.ndarray:
-    return ((ta.mixed(key.astype(np.uint64)) >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
-
-
-def _packed(key: np.ndarray, n: int, *arrays: np.ndarray) -> dict[int, list[bytes]]:
-    order = np.argsort(key, kind="stable")
-    bounds = np.searchsorted(key[order], np.arange(n + 1))
-    arrays = [a[order] for a in arrays]
-    return {int(k): [a[bounds[k] : bounds[k + 1]].tobytes() for a in arrays] for k in np.flatnonzero(np.diff(bounds))}
-
-
-def _batch(first: str, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k + 1] for r in rows], pa.binary()) for k in range(len(names))]], names=[first, *names]
-    )
-
 
 SHARD = ["docs", "at", "windows", "anchors", "digests", "twice", "done", "done_from", "done_to"]
 BUCKET = ["done", "done_from", "done_to", "docs", "at", "windows", "anchors", "single", "many"]
 
 
-def _schema(first: str, names: list[str]) -> str:
-    return ", ".join([f"{first} int", *(f"{x} binary" for x in names)])
-
-
 def _split(shards: int, length: int):
     """Texts to shards of segments by anchor; segments equal inside a batch are settled here and sent once."""
 
@@ -123,30 +83,22 @@ def _split(shards: int, length: int):
                 twice[order] = np.repeat(end - start > 1, end - start)
                 send = np.sort(order[start])
                 at = first - offsets[owner]
-                done = _merged_by(ids[owner[twice]], at[twice], (at + windows - 1 + length)[twice])
+                done = packing.merged_by(ids[owner[twice]], at[twice], (at + windows - 1 + length)[twice])
                 send_key = (anchor[send] >> np.uint64(20)) % np.uint64(shards)
-                kept = _packed(
+                kept = packing.packed(
                     send_key.astype(np.int32), shards, ids[owner[send]], at[send].astype(np.int64), windows[send].astype(np.int16), anchor[send], digest[send], twice[send]
                 )
-                ends = _packed(_bucket(done[0], shards), shards, *done)
-                yield _batch("shard", SHARD, [(k, *kept.get(k, [b""] * 6), *ends.get(k, [b""] * 3)) for k in {**kept, **ends}])
+                ends = packing.packed(packing.bucket(done[0], shards), shards, *done)
+                yield packing.batch("shard", SHARD, [(k, *kept.get(k, [b""] * 6), *ends.get(k, [b""] * 3)) for k in {**kept, **ends}])
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray] | None:
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for batch in batches:
-        for k, kind in enumerate(kinds):
-            parts[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
-    return [np.concatenate(x) for x in parts] if parts[0] else None
-
-
 def _matched(buckets: int, length: int, gathered: int):
     """Shards of segments to buckets of documents: what is settled, and which segments must be sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _joined(batches, (np.int64, np.int64, np.int16, np.uint64, np.uint64, bool, np.int64, np.int64, np.int64))
+        found = packing.joined(batches, (np.int64, np.int64, np.int16, np.uint64, np.uint64, bool, np.int64, np.int64, np.int64))
         if found is None:
             return
         doc, at, windows, anchor, digest, twice, *done = found
@@ -162,10 +114,10 @@ def _matched(buckets: int, length: int, gathered: int):
         single, many = ~equal[ask], kinds[(kinds > 1) & (np.repeat(lone, a_end - a_start) > 0)] > gathered
         stop = at + windows - 1 + length
         done = [np.concatenate((x, y)) for x, y in zip(done, (doc[equal], at[equal], stop[equal]), strict=True)]
-        done = _merged_by(*done)
-        kept = _packed(_bucket(done[0], buckets), buckets, *done)
-        asked = _packed(_bucket(doc[ask], buckets), buckets, doc[ask], at[ask], windows[ask], anchor[ask], single, many)
-        yield _batch("bucket", BUCKET, [(k, *kept.get(k, [b""] * 3), *asked.get(k, [b""] * 6)) for k in {**kept, **asked}])
+        done = packing.merged_by(*done)
+        kept = packing.packed(packing.bucket(done[0], buckets), buckets, *done)
+        asked = packing.packed(packing.bucket(doc[ask], buckets), buckets, doc[ask], at[ask], windows[ask], anchor[ask], single, many)
+        yield packing.batch("bucket", BUCKET, [(k, *kept.get(k, [b""] * 3), *asked.get(k, [b""] * 6)) for k in {**kept, **asked}])
 
     return run
 
@@ -176,10 +128,10 @@ DOCUMENT = "key long, done binary, few binary, many binary"
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets to one row for each document: its settled intervals, and its segments to sort or, of very common anchors, to count."""
-    found = _joined(batches, (np.int64, np.int64, np.int64, np.int64, np.int64, np.int16, np.uint64, bool, bool))
+    found = packing.joined(batches, (np.int64, np.int64, np.int64, np.int64, np.int64, np.int16, np.uint64, bool, bool))
     if found is None:
         return
-    done = _merged_by(*found[:3])
+    done = packing.merged_by(*found[:3])
     doc, at, windows, anchor, single, many = found[3:]
     asks = np.zeros(len(doc), _ASK)
     for name, x in zip(_ASK.names, (at, windows, anchor, single), strict=True):
@@ -301,7 +253,7 @@ def _sorted_groups(length: int):
         which = np.searchsorted(suffix, found)
         which = which[single[row[which]]]
         key, start = key[row[which]], at[row[which]] + step[which]
-        key, start, stop = _merged_by(key, start, start + length)
+        key, start, stop = packing.merged_by(key, start, start + length)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, start, stop)], names=["key", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,14 +287,33 @@ def _anchor_places(data: np.ndarray, base: np.ndarray, size: np.ndarray, anchor:
     return places
 
 
+PART = "anchor long, digest long, key long, start long, windows int, single boolean, bytes binary"
+
+
+def _parts(length: int):
+    """Rows of PIECE to their segments by anchors of nearly a window's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ta.chunks(batch, 5, 1 << 20):
+                data, offsets = ta.buffer_of(part.column(5))
+                first, windows, _, anchor, digest, owner = segments(data, offsets, length, length - 8)
+                key, at, single = (part.column(k).to_numpy(zero_copy_only=False)[owner] for k in (1, 2, 4))
+                texts = [data[a : a + n - 1 + length].tobytes() for a, n in zip(first.tolist(), windows.tolist(), strict=True)]
+                columns = (anchor.view(np.int64), digest.view(np.int64), key, at + first - offsets[owner], windows.astype(np.int32), single, pa.array(texts, pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in PART.split(", ")])
+
+    return run
+
+
 def _windows(length: int):
-    """Rows of PIECE to one row for each window, with a digest of its bytes."""
+    """Rows of PART to one row for each window, with a digest of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 out: list[tuple] = []
-                for _, key, start, windows, single, text in zip(*(c.to_pylist() for c in batch.slice(at, 2048).columns), strict=True):
+                for _, _, key, start, windows, single, text in zip(*(c.to_pylist() for c in batch.slice(at, 2048).columns), strict=True):
                     out += [(hashlib.blake2b(text[k : k + length], digest_size=16).digest(), key, start + k, single) for k in range(windows)]
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["digest", "key", "start", "single"])
@@ -364,7 +335,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs = np.frombuffer(done or b"", np.int64).reshape(-1, 2)
                 if more:
                     pairs = np.concatenate((pairs, np.array([(x["start"], x["stop"]) for x in more], np.int64)))
-                start, stop = merged(pairs[:, 0], pairs[:, 1])
+                start, stop = packing.merged(pairs[:, 0], pairs[:, 1])
                 stay = np.ones(len(text), bool)
                 for a, b in zip(start.tolist(), stop.tolist(), strict=True):
                     stay[a:b] = False
@@ -374,6 +345,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
+def _counted_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """Rows of PIECE to the repeated intervals of single segments, by counts alone."""
+    parts = pieces.mapInArrow(_parts(length), PART)
+    equal = parts.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start")).alias("of"))
+    whole = parts.where("single").join(equal.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
+    settled = whole.select("key", "start", (F.col("start") + F.col("windows") - 1 + length).alias("stop"))
+    mixed = equal.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("lone")).where("kinds > 1 AND lone > 0")
+    one = equal.join(mixed.select("anchor"), "anchor").select("anchor", "digest", F.col("of.key").alias("key"), F.col("of.start").alias("start"))
+    windows = parts.join(one, ["anchor", "digest", "key", "start"], "left_semi").mapInArrow(_windows(length), "digest binary, key long, start long, single boolean")
+    twice = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    borders = windows.where("single").join(twice, "digest", "left_semi").select("key", "start", (F.col("start") + length).alias("stop"))
+    return settled.unionByName(borders)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gathered: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, spans and kept of every row: the maximal runs of bytes covered by a string of `length` bytes that
     also starts elsewhere in any text, the same included, and the other bytes concatenated (kept may cut characters).
@@ -387,17 +372,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = named.withColumn("key", F.xxhash64("doc_id", "text"))
     shards = shard_count(docs, SHARD_BYTES, LEAST_SHARDS)
-    split = keyed.select("key", "text").mapInArrow(_split(shards, length), _schema("shard", SHARD))
-    matched = split.repartitionById(shards, "shard").mapInArrow(_matched(shards, length, gathered), _schema("bucket", BUCKET))
+    split = keyed.select("key", "text").mapInArrow(_split(shards, length), packing.schema("shard", SHARD))
+    matched = split.repartitionById(shards, "shard").mapInArrow(_matched(shards, length, gathered), packing.schema("bucket", BUCKET))
     settled = stored(matched.repartitionById(shards, "bucket").mapInArrow(_by_document, DOCUMENT))
 
     few = settled.where("few IS NOT NULL").select("key", "few").hint("shuffle_hash")
     many = settled.where("many IS NOT NULL").select("key", "many").hint("shuffle_hash")
     pieces = keyed.join(few, "key").select("key", "text", "few").mapInArrow(_pieces(length), PIECE)
     alike = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups(length), INTERVAL)
-    common = keyed.join(many, "key").select("key", "text", "many").mapInArrow(_pieces(length), PIECE).mapInArrow(_windows(length), "digest binary, key long, start long, single boolean")
-    twice = common.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    counted = common.where("single").join(twice, "digest", "left_semi").select("key", "start", (F.col("start") + length).alias("stop"))
+    counted = _counted_windows(keyed.join(many, "key").select("key", "text", "many").mapInArrow(_pieces(length), PIECE), length)
     more = alike.unionByName(counted).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     done = settled.where("done IS NOT NULL").select("key", "done").hint("shuffle_hash")
     whole = keyed.join(done, "key", "left").join(more.hint("shuffle_hash"), "key", "left")
