@@ -36,11 +36,6 @@ def most_missing(n: int) -> int:
     return n - (3 * n + 3) // 4
 
 
-def _may_link(n1: Column, u1: Column, n2: Column, u2: Column) -> Column:
-    """Upper bound from sizes and from tokens nobody shares: 100 * shared >= 75 * union may hold."""
-    return 7 * F.least(n1 - u1, n2 - u2) >= 3 * (n1 + n2)
-
-
 def _packed(key: np.ndarray, n_keys: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """(key, the arrays' entries for it as bytes) for each key that occurs."""
     order = np.argsort(key, kind="stable")
@@ -188,55 +183,71 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["sig", "sid", "n", "u"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, n1, h1, n2, h2 = (batch.column(k).to_pylist() for k in range(6))
-        ok = np.zeros(batch.num_rows, bool)
+        h1, h2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        shared = np.zeros(batch.num_rows, np.int64)
         for k in range(batch.num_rows):
             x = np.concatenate((np.frombuffer(h1[k], np.uint64), np.frombuffer(h2[k], np.uint64)))
             x.sort()
-            ok[k] = 7 * int(np.count_nonzero(x[1:] == x[:-1])) >= 3 * (n1[k] + n2[k])
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            shared[k] = np.count_nonzero(x[1:] == x[:-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared)], names=["a", "b", "n1", "n2", "o"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by counting their shared tokens."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n1, n2, o): the sets' sizes and the number of tokens both have, counted exactly."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("hashes").alias("h1"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("hashes").alias("h2"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "h1", "n2", "h2")
-    return both.mapInArrow(_linked, "a long, b long")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "h1", "h2")
+    return both.mapInArrow(_counted, "a long, b long, n1 long, n2 long, o long")
+
+
+def _enough(shared: Column, n1: Column, n2: Column) -> Column:
+    """100 * shared >= 75 * union, in whole numbers."""
+    return 7 * shared >= 3 * (n1 + n2)
+
+
+def _rest(placed: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b) in a common signature, in different components, whose overlap may suffice.
+
+    With o tokens shared with the signature's centre and s tokens shared with anybody, two sets share at most
+    min(o1, o2) tokens of the centre and min(s1 - o1, s2 - o2) others.
+    """
+    rows = placed.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    least = rows.groupBy("sig").agg(F.min("n").alias("n_min"))
+    able = stored(rows.join(least, "sig").where(_enough(F.col("s"), F.col("n"), F.col("n_min"))).drop("n_min"))
+    parts = able.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"))
+    split = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label"))["label"].alias("main")).where("labels > 1")
+    open_rows = able.join(split.select("sig", "main"), "sig")
+    few = open_rows.where(F.col("label") != F.col("main")).select("sig", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "s", "o", "label")])
+    most = F.least("x_o", "o") + F.least(F.col("x_s") - F.col("x_o"), F.col("s") - F.col("o"))
+    meet = (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_sid") < F.col("sid"))) & _enough(most, F.col("x_n"), F.col("n"))
+    return few.join(open_rows, "sig").where(meet).select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b")).distinct()
 
 
 def links(sets: DataFrame) -> DataFrame:
     """Edges (a, b) that give the components of the similarity graph over distinct sets, stored.
 
-    First every set meets one set of each signature it shares, the one with the fewest tokens of its own; most
-    groups of near copies are joined by that. Then, within signatures whose sets are still in different
-    components, every set outside the largest of these meets each set of another component. So no link
-    between components is lost, and members of one component are not compared again.
+    First every set meets one set of each signature it shares, its centre: the one with the fewest tokens of its
+    own. Most groups of near copies are joined by that. Then, among sets of one signature that are still in
+    different components, every set outside the largest of these meets each set of another component that the
+    overlaps with the centre leave possible. Small signatures go first, as they join what is left at least cost;
+    then come all sets with one centre: they hold every other common signature, and name a pair seldom more than
+    once. So no link between components is lost, and members of one component are not compared again.
     """
     sigs = stored(sets.select("doc_id", "n", "alone", "hashes", "dfs").where("n > 1").mapInArrow(_signed, "sig long, sid long, n long, u long"))
-    centres = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("u", "sid", "n")).alias("c")).where("size > 1")
-    shared = stored(sigs.join(centres, "sig").select("sig", "sid", "n", "u", F.col("c.sid").alias("c_sid"), F.col("c.n").alias("c_n"), F.col("c.u").alias("c_u")))
-    ends = (F.least("sid", "c_sid").alias("a"), F.greatest("sid", "c_sid").alias("b"))
-    first = stored(shared.where((F.col("sid") != F.col("c_sid")) & _may_link(F.col("n"), F.col("u"), F.col("c_n"), F.col("c_u"))).select(*ends).distinct())
-    found = stored(verified(first, sets))
-    label = components(found).select(F.col("node").alias("sid"), F.col("component").alias("label"))
-    placed = shared.join(label, "sid", "left").select("sig", "sid", "n", "u", F.coalesce("label", "sid").alias("label"))
-    least = shared.groupBy("sig").agg(F.min("n").alias("n_min"))
-    able = stored(placed.join(least, "sig").where(7 * (F.col("n") - F.col("u")) >= 3 * (F.col("n") + F.col("n_min"))).drop("n_min"))
-    parts = able.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"))
-    split = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label"))["label"].alias("main")).where("labels > 1")
-    rest = able.join(split.select("sig", "main"), "sig")
-    few = rest.where(F.col("label") != F.col("main")).select("sig", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "u", "label")])
-    meet = (
-        (F.col("x_label") != F.col("label"))
-        & ((F.col("label") == F.col("main")) | (F.col("x_sid") < F.col("sid")))
-        & _may_link(F.col("x_n"), F.col("x_u"), F.col("n"), F.col("u"))
-    )
-    pairs = few.join(rest, "sig").where(meet).select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b")).distinct()
-    more = verified(pairs.join(first, ["a", "b"], "left_anti"), sets)
-    return stored(found.unionByName(more))
+    centres = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("u", "sid")).alias("c")).where("size > 1")
+    shared = stored(sigs.join(centres, "sig").select("sig", "size", "sid", "n", (F.col("n") - F.col("u")).alias("s"), F.col("c.sid").alias("c_sid")).where("sid != c_sid"))
+    met = stored(overlaps(shared.select(F.col("sid").alias("a"), F.col("c_sid").alias("b")).distinct(), sets))
+    found = stored(met.where(_enough(F.col("o"), F.col("n1"), F.col("n2"))).select("a", "b"))
+    placed = stored(shared.join(met.select(F.col("a").alias("sid"), F.col("b").alias("c_sid"), "o"), ["sid", "c_sid"]).where("size > 2"))
+    by_signature = placed.where(F.col("size") <= RARE_DOCS).select("sig", "sid", "n", "s", "o")
+    by_centre = stored(placed.select(F.col("c_sid").alias("sig"), "sid", "n", "s", "o").distinct())
+    for some in (by_signature, by_centre):
+        label = components(found).select(F.col("node").alias("sid"), F.col("component").alias("label"))
+        more = overlaps(_rest(some, label), sets).where(_enough(F.col("o"), F.col("n1"), F.col("n2"))).select("a", "b")
+        found = stored(found.unionByName(more))
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
