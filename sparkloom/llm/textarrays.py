@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64(0xFFFFFFFFFFFFFFFF)
 
