@@ -64,3 +64,13 @@ def shard_count(df: DataFrame, bytes_each: int, least: int) -> int:
     if size > 1 << 60:
         return max(least, df.rdd.getNumPartitions())
     return max(least, size // bytes_each)
+
+
+#: Most keys that are sent to every executor, 8 bytes each before hashing; beyond it both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
+def if_small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """keys, stored, with a broadcast hint if a count shows that there are few enough."""
+    keys = stored(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WHITE_SPACE
+from sparkloom.llm.common import WHITE_SPACE, if_small
 
 #: The token places that each mask compares; the other places of its span may hold anything.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 7), (0, 1, 2, 4, 5))
@@ -75,4 +75,4 @@ def assess(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs that no item contaminates."""
     bad = assess(docs, benchmark, id_col, text_col, **more).where("contaminated").select(F.col("key").alias("_key")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_key"), "left_anti")
+    return docs.join(if_small(bad), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_key"), "left_anti")

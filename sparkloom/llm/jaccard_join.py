@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textarrays as ta
-from sparkloom.llm.common import shard_count, stored
+from sparkloom.llm.common import if_small, shard_count, stored
 from sparkloom.llm.components import components
 
 #: Tokens in more documents than this are of the frequent class.
@@ -291,4 +291,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs whose document is the smallest id of its component; rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(if_small(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
