@@ -17,7 +17,9 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Words kept with their ids in a worker, the first ones met; others are encoded again each time.
-CACHE_WORDS = 3 << 18
+CACHE_WORDS, CACHE_PAIRS = 1 << 19, 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,9 +97,9 @@ class Model:
                 node = self.trie
                 for c in piece:
                     node = node.setdefault(c, {})
-                node[""] = self.scores[k]
-        self._beside: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, list[int]] = {}
+                node[""] = k
+        self._beside: dict[int, bool] = {}
+        self._words: dict[str, bytes] = {}
         # a character in no piece but its own is a part by itself, and no piece crosses from a word into a space
         crossing = [p for p in self.id_of if re.search(f"[^{SPACE}]{SPACE}", p)]
         joined = "".join(sorted({c for p in self.id_of if len(p) > 1 for c in p if c != SPACE}))
@@ -124,19 +126,55 @@ class Model:
                 return tuple(parts)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def beside(self, left: str, right: str) -> bool:
-        """Whether BPE leaves left and right as they are when one follows the other."""
-        found = self._beside.get((left, right))
+    def fits(self, left: int, right: int) -> bool:
+        """Whether BPE leaves two pieces, by id, as they are when one follows the other."""
+        key = left << 32 | right
+        found = self._beside.get(key)
         if found is None:
-            if len(self._beside) > 1 << 20:
-                self._beside.clear()
-            found = self._beside[left, right] = self.merged(left + right) == (left, right)
+            a, b = self.pieces[left], self.pieces[right]
+            found = self.merged(a + b) == (a, b)
+            if len(self._beside) < CACHE_PAIRS:
+                self._beside[key] = found
         return found
 
+    def beside(self, left: str, right: str) -> bool:
+        """fits() for pieces as text, which may be single characters that the model does not know."""
+        a, b = self.id_of.get(left), self.id_of.get(right)
+        return self.merged(left + right) == (left, right) if a is None or b is None else self.fits(a, b)
+
+    def short(self, text: str) -> list[int] | None:
+        """Ids of a text that fits into the window, where nothing can be final before its end; None if a character is unknown."""
+        size = len(text)
+        piece, before = [-1] * (size + 1), [0] * (size + 1)
+        root, known = self.trie, self._beside.get
+        for start in range(size):
+            left = piece[start]
+            if left < 0 and start:
+                continue
+            node = root
+            for end in range(start, size):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is not None and piece[end + 1] < 0:
+                    ok = known(left << 32 | found) if start else True
+                    if ok is None:
+                        ok = self.fits(left, found)
+                    if ok:
+                        piece[end + 1], before[end + 1] = found, start
+        if piece[size] < 0:
+            return None
+        out = []
+        while size:
+            out.append(piece[size])
+            size = before[size]
+        return out[::-1]
+
     def stream(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, in lists that are final as soon as every live way agrees on a boundary."""
         best: dict[int, tuple[float, int, str]] = {0: (0.0, -1, "")}
-        done, size, ranked, beside, longest = 0, len(text), self.kind == UNIGRAM, self._beside, self.longest
+        done, size, ranked, longest = 0, len(text), self.kind == UNIGRAM, self.longest
         for start in range(size):
             way = best.get(start)
             if way is not None:
@@ -146,20 +184,16 @@ class Model:
                     end += 1
                     if node is None:
                         break
-                    score = node.get("")
-                    if score is None:
+                    found = node.get("")
+                    if found is None:
                         continue
                     if ranked:
-                        score += way[0]
+                        score = way[0] + self.scores[found]
                         if end not in best or score > best[end][0]:
                             best[end] = (score, start, text[start:end])
                     elif end not in best:
-                        piece = text[start:end]
-                        fits = beside.get((left, piece)) if start else True
-                        if fits is None:
-                            fits = self.beside(left, piece)
-                        if fits:
-                            best[end] = (0.0, start, piece)
+                        if start == 0 or self.beside(left, text[start:end]):
+                            best[end] = (0.0, start, text[start:end])
                 if start + 1 not in best and (ranked or start == 0 or self.beside(left, text[start])):
                     best[start + 1] = (way[0] + self.unknown_score, start, text[start])
             end = start + 1
@@ -199,6 +233,8 @@ class Model:
         return [self.byte_ids[b] for b in piece.encode()] if self.byte_fallback else [self.unknown]
 
     def _encode_part(self, part: str) -> list[int]:
+        if self.kind == BPE and len(part) <= 2 * self.longest and (quick := self.short(part)) is not None:
+            return quick
         found: list[int] = []
         for pieces in self.stream(part):
             for piece in pieces:
@@ -207,28 +243,32 @@ class Model:
                     found += new
         return found
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of the text. Where no piece crosses from a word into the next space, words are independent and are remembered."""
+    def _word(self, word: str) -> bytes:
+        packed = np.array(self._encode_part(word), np.int32).tobytes()
+        if len(word) <= 64 and len(self._words) < CACHE_WORDS:
+            self._words[word] = packed
+        return packed
+
+    def packed(self, text: str) -> bytes:
+        """Ids of the text as 32-bit numbers. Where no piece crosses from a word into the next space, words are independent and are remembered."""
         text = self.normalised(text)
-        if self._split is None:
-            return self._encode_part(text)
-        out: list[int] = []
-        for word in self._split.findall(text):
-            found = self._words.get(word)
-            if found is None:
-                found = self._encode_part(word)
-                if len(word) <= 64 and len(self._words) < CACHE_WORDS:
-                    self._words[word] = found
-            out += found[1:] if out and found and out[-1] == found[0] == self.unknown else found
-        return out
+        if self._split is None or not self.byte_fallback:  # neighbouring unknown pieces are one: parts are not independent
+            return np.array(self._encode_part(text), np.int32).tobytes()
+        known, fresh = self._words.get, self._word
+        return b"".join([known(w) or fresh(w) for w in self._split.findall(text)])
 
-    def decode(self, ids: list[int]) -> str:
-        """The text that ids stand for; bytes that are no UTF-8 become replacement characters."""
-        out = b"".join([self.bytes_of[k] for k in ids])
-        text = out.decode("utf-8", "replace")
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def text_of(self, data: bytes) -> str:
+        """The text of joined piece bytes; bytes that are no UTF-8 become replacement characters."""
+        text = data.decode("utf-8", "replace")
         text = text.replace(SPACE, " ") if self.escape else text
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self.text_of(b"".join([self.bytes_of[k] for k in ids]))
+
 
 @functools.cache
 def model(name: str) -> Model:
@@ -244,8 +284,12 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "
         known = model(name)
         for batch in batches:
             for part in ta.chunks(batch, 1):
-                ids = [None if x is None else known.encode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["rows", "ids"])
+                texts = part.column(1).to_pylist()
+                ids = [b"" if x is None else known.packed(x) for x in texts]
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in texts]))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rows", "ids"])
 
     names = [c for c in docs.columns if c != ids_col]
     rows = docs.select(F.struct(*names).alias("rows"), F.col(text_col).cast("string").alias("text"))
@@ -258,10 +302,16 @@ def decode(docs: DataFrame, name: str = "piece_bpe_32k.model", ids_col: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model(name)
+        table = pa.array(known.bytes_of, pa.binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [None if x is None else known.decode(x) for x in part.column(1).to_pylist()]
+            for row in range(0, batch.num_rows, 512):
+                part = batch.slice(row, 512)
+                lists = part.column(1)
+                joined = table.take(lists.flatten())
+                data, at = ta.buffer_of(joined)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                bounds = at[np.concatenate(([0], np.cumsum(counts)))]
+                texts = [known.text_of(data[a:b].tobytes()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["rows", "text"])
 
     names = [c for c in docs.columns if c != text_col]
