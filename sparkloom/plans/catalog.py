@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.sources.tables import table
+from sparkloom.plans.sql_queries import SQL
+from sparkloom.sources.tables import TABLES, register, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +46,18 @@ def tpch_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("count_order"),
         )
     )
+
+
+def _from_sql(name: str, text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, *(t for t in TABLES if re.search(rf"\b{t}\b", text)))
+        return spark.sql(text)
+
+    run.__name__ = name
+    return run
+
+
+for _name, _text in SQL.items():
+    _spark_text, _oracle = (_text, _text.replace("TIMESTAMP_NTZ '", "TIMESTAMP '")) if isinstance(_text, str) else _text
+    QUERIES[_name] = _from_sql(_name, _spark_text)
+    ORACLES[_name] = _oracle
