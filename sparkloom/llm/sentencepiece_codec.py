@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textarrays as ta
+from sparkloom.llm.common import small_batches
 from sparkloom.llm.token_counts import tokenizer_path
 
 #: Fixed values of the model file format: kinds of pieces and of models, and the visible space.
@@ -291,6 +292,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in texts]))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rows", "ids"])
 
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != ids_col]
     rows = docs.select(F.struct(*names).alias("rows"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["rows"].dataType.simpleString()
@@ -314,6 +316,7 @@ def decode(docs: DataFrame, name: str = "piece_bpe_32k.model", ids_col: str = "i
                 texts = [known.text_of(data[a:b].tobytes()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["rows", "text"])
 
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*names).alias("rows"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = rows.schema["rows"].dataType.simpleString()
