@@ -58,8 +58,20 @@ def stored(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Bytes of rows that a Python worker gets at once; Spark's own default is eight times as much.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python functions, unless it has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shard_count(df: DataFrame, bytes_each: int, least: int) -> int:
     """Shards so that each stands for about bytes_each of input, by the planner's estimate; a partition each where it has none."""
+    small_batches(df.sparkSession)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 60:
         return max(least, df.rdd.getNumPartitions())

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shared_folder, stored
+from sparkloom.llm.common import shared_folder, small_batches, stored
 
 #: Payloads under this many bytes are never revisits.
 LEAST_SHARED = 100
@@ -96,6 +96,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows whose group has no id at all are responses. Null html is an empty payload. The smallest id of a
     payload is found by a map-side minimum, and short payloads never meet under one key.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
