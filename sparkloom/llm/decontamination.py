@@ -74,5 +74,5 @@ def assess(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs that no item contaminates."""
-    bad = assess(docs, benchmark, id_col, text_col, **more).where("contaminated").select(F.col("key").alias("_key")).distinct()
-    return docs.join(if_small(bad), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("_key"), "left_anti")
+    bad = assess(docs, benchmark, id_col, text_col, **more).where("contaminated").select(F.col("key").alias("__sparkloom_key")).distinct()
+    return docs.join(if_small(bad), F.xxhash64(F.col(id_col), F.col(text_col)) == F.col("__sparkloom_key"), "left_anti")

@@ -290,5 +290,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document is the smallest id of its component; rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(if_small(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__sparkloom_gone"))
+    return docs.join(if_small(gone), F.col(id_col).cast("long") == F.col("__sparkloom_gone"), "left_anti")

@@ -153,7 +153,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = UNIT_WORDS) -> DataFrame:
-    """All columns of docs, with spans (byte offsets in the original text) and kept_text added.
+    """All columns of docs but its text, with kept_text and spans (byte offsets in the original text) added or replaced.
 
     A unit (see units()) that occurs earlier, in a text of a smaller id or before in the same text, is removed;
     the earliest occurrence stays. Rows without an id rank last, by a hash of their text; rows repeated in full
@@ -167,8 +167,8 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
     split = keyed.select("key", "rank", "text").mapInArrow(_split(shards, least), packing.schema("shard", SHARD))
     later = split.repartitionById(shards, "shard").mapInArrow(_later(shards), packing.schema("bucket", BUCKET))
     spans = stored(later.repartitionById(shards, "bucket").mapInArrow(_by_text, "key long, spans binary"))
-    others = [c for c in names if c != text_col]
-    slim = keyed.select(F.struct(F.lit(1).alias("_one"), *[F.col("rows")[c].alias(c) for c in others]).alias("rows"), "text", "key")
+    others = [c for c in names if c not in (text_col, "kept_text", "spans")]
+    slim = keyed.select(F.struct(F.lit(1).alias("__sparkloom"), *[F.col("rows")[c].alias(c) for c in others]).alias("rows"), "text", "key")
     joined = slim.join(spans.hint("shuffle_hash"), "key", "left")
     kind = joined.schema["rows"].dataType.simpleString()
     cut = joined.select("rows", "text", "spans").mapInArrow(_cut, f"rows {kind}, kept string, spans array<struct<start:bigint,stop:bigint>>")

@@ -98,16 +98,19 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     return counted.join(hosts, "_host").where(F.col("_n") > host_share * F.col("_docs")).select("_host", "_line")
 
 
-def _flagged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, host_share: float) -> DataFrame:
-    """(_id, _host, _text, _bad): the frequent lines of each document that has one, as (hash, words) pairs."""
+def _slim(docs: DataFrame, id_col: str, text_col: str, host_col: str, *more: Column) -> DataFrame:
+    """Only what the rules read, under names of its own; null hosts are one host."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    each = F.transform(_lines(F.col(text_col)), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("w")))
-    rows = docs.select(
-        F.col(id_col).alias("_id"), host.alias("_host"), F.xxhash64(F.col(text_col)).alias("_text"), F.posexplode(each).alias("_at", "_x")
-    ).select("_id", "_host", "_text", "_at", F.col("_x.h").alias("_line"), F.col("_x.w").alias("_w"))
-    common = frequent_lines(docs, text_col, host_col, min_docs, host_share)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), host.alias("source"), *more)
+
+
+def _flagged(slim: DataFrame, min_docs: int, host_share: float) -> DataFrame:
+    """(_id, _host, _text, _bad): the frequent lines of each document that has one, as (place, hash, words)."""
+    each = F.transform(_lines(F.col("text")), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("w")))
+    rows = slim.select(F.col("doc_id").alias("_id"), F.col("source").alias("_host"), F.xxhash64("text").alias("_text"), F.posexplode(each).alias("_at", "_x"))
+    rows = rows.select("_id", "_host", "_text", "_at", F.col("_x.h").alias("_line"), F.col("_x.w").alias("_w"))
     return (
-        rows.join(common, ["_host", "_line"])
+        rows.join(frequent_lines(slim, min_docs=min_docs, host_share=host_share), ["_host", "_line"])
         .groupBy("_id", "_host", "_text")
         .agg(F.collect_set(F.struct("_at", "_line", "_w")).alias("_bad"))
     )
@@ -122,10 +125,9 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     Null and empty texts have no words and fail the base rules; null hosts are one host; rows with equal or
     null ids are judged each by its own text; other columns are ignored.
     """
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_host": host, "_text": F.xxhash64(F.col(text_col))})
-    stats = base_statistics(keyed, id_col, text_col, ("_host", "_text"))
-    bad = _flagged(docs, id_col, text_col, host_col, min_docs, host_share)
+    slim = _slim(docs, id_col, text_col, host_col)
+    stats = base_statistics(slim.withColumns({"_host": F.col("source"), "_text": F.xxhash64("text")}), keep=("_host", "_text"))
+    bad = _flagged(slim, min_docs, host_share)
     removed = F.aggregate("_bad", F.lit(0), lambda total, x: total + x["_w"])
     bad = bad.select(F.col("_id"), F.col("_host").alias("_h"), F.col("_text").alias("_t"), removed.alias("_removed"))
     joined = stats.join(bad, stats["doc_id"].eqNullSafe(bad["_id"]) & (stats["_host"] == bad["_h"]) & (stats["_text"] == bad["_t"]), "left")
@@ -138,18 +140,16 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, host_share: float = 0.10, min_words_left: int = 10, min_share_left: float = 0.3) -> DataFrame:
-    """The rows of docs that assess() keeps, with their other columns, and with frequent lines taken out of the texts."""
-    names = docs.columns
-    bad = _flagged(docs, id_col, text_col, host_col, min_docs, host_share).select(
+    """The rows of docs that assess() keeps, with all their columns, and with frequent lines taken out of the texts."""
+    slim = _slim(docs, id_col, text_col, host_col, F.struct(*docs.columns).alias("_row"))
+    bad = _flagged(slim, min_docs, host_share).select(
         F.col("_id"), F.col("_host"), F.col("_text"), F.transform("_bad", lambda x: x["_line"]).alias("_lines"),
         F.aggregate("_bad", F.lit(0), lambda total, x: total + x["_w"]).alias("_removed"),
     )
-    passed = base_statistics(docs, id_col, text_col, tuple(names)).where(~F.col("base_failed"))
-    if id_col != "doc_id":
-        passed = passed.withColumnRenamed("doc_id", id_col)
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (host == F.col("_host")) & (F.xxhash64(F.col(text_col)) == F.col("_text"))
+    passed = base_statistics(slim, keep=("text", "source", "_row")).where(~F.col("base_failed"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("source") == F.col("_host")) & (F.xxhash64("text") == F.col("_text"))
     left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
     kept = passed.join(bad, on, "left").where((left >= min_words_left) & (left >= min_share_left * F.col("n_words")))
-    fewer = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x: ~F.array_contains("_lines", line_hash(x))), "\n")
-    return kept.withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(fewer)).select(*names)
+    fewer = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_lines", line_hash(x))), "\n")
+    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(fewer)
+    return kept.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

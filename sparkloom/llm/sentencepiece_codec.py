@@ -13,6 +13,7 @@ admissible steps in place of scores.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 #: Words kept with their ids in a worker, the first ones met; others are encoded again each time.
-CACHE_WORDS, CACHE_PAIRS = 1 << 19, 1 << 20
+CACHE_WORDS, CACHE_PAIRS = 1 << 19, 1 << 18
+#: Of these, kept between tasks: the first ones met, which are the common ones.
+KEPT_WORDS = 1 << 17
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -250,6 +253,10 @@ class Model:
             self._words[word] = packed
         return packed
 
+    def trim(self) -> None:
+        """Give back most of the memory for words, between tasks."""
+        self._words = dict(itertools.islice(self._words.items(), KEPT_WORDS))
+
     def packed(self, text: str) -> bytes:
         """Ids of the text as 32-bit numbers. Where no piece crosses from a word into the next space, words are independent and are remembered."""
         text = self.normalised(text)
@@ -291,6 +298,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in texts]))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rows", "ids"])
+        known.trim()
 
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != ids_col]
