@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar
 from sparkloom.operators import dml, graph, joins, rowpattern, search, tables, timeseries, windows
+from sparkloom.plans import dialect
 from sparkloom.plans.registry import query
-from sparkloom.sources.tables import table
+from sparkloom.sources import files
+from sparkloom.sources.tables import register, table
 
 
 @query(
@@ -453,3 +455,94 @@ def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "thing", "que"])
     near = _with_target(spark, sf_dir).select(F.col("vec_id").alias("id"), search.distance("l2", F.col("embedding"), F.col("_t")).alias("d"))
     return text.join(near, "id").select("id", F.round(search.weighted_fusion(F.col("score"), F.col("d"), 0.6), 5).alias("score"))
+
+
+# files, catalogue, views
+def _round_trip(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = table(spark, sf_dir, "orders")
+        path = files.shared_path(spark)
+        files.copy_to(o, path, kind)
+        return files.copy_from(spark, path, o, kind)
+
+    return run
+
+
+for _format in ("csv", "json", "orc", "parquet"):
+    query(f"copy_{_format}", "SELECT * FROM orders")(_round_trip(_format))
+
+
+@query("copy_partitioned", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def copy_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.shared_path(spark)
+    files.copy_to(table(spark, sf_dir, "orders"), path, partition_by=("o_orderstatus",))
+    return spark.read.parquet(path).where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+
+
+@query("create_table_as", "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey")
+def create_table_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    return files.create_table_as(made, files.shared_path(spark), "c_nationkey")
+
+
+@query("materialized_view", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def materialized_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = files.MaterializedView(spark, lambda: table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")))
+    view.refresh()
+    return view.read()
+
+
+@query("catalog_columns", "SELECT ordinal_position AS position, column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type FROM information_schema.columns WHERE table_name = 'supplier'")
+def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.columns_of(table(spark, sf_dir, "supplier")).select("position", "name", "type")
+
+
+@query("analyze_table", "SELECT (SELECT count(*) FROM part) AS rows, 'p_size' AS name, count(*) FILTER (WHERE p_size IS NULL) AS nulls, CAST(min(p_size) AS VARCHAR) AS min, CAST(max(p_size) AS VARCHAR) AS max FROM part")
+def analyze_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.statistics_of(table(spark, sf_dir, "part"), ["p_size"]).drop("distinct")
+
+
+@query("scan_file_listing", "SELECT count(*) AS rows FROM nation")
+def scan_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.file_listing(table(spark, sf_dir, "nation")).agg(F.sum("rows").alias("rows"))
+
+
+@query("secured_view", "SELECT c_custkey, substring(c_name, 1, 3) || '***' AS c_name, c_nationkey, CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer WHERE c_nationkey = 4")
+def secured_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = {"c_name": F.concat(F.substring("c_name", 1, 3), F.lit("***")), "c_acctbal": F.lit(None).cast("double")}
+    return files.masked(table(spark, sf_dir, "customer"), F.col("c_nationkey") == 4, masks)
+
+
+@query("vector_knn_join", "SELECT q.vec_id AS query, e.vec_id AS neighbour, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rank FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings e QUALIFY rank <= 5")
+def vector_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return search.knn_join(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", "vec_id", "embedding", 5).select("query", "neighbour", "rank")
+
+
+@query("array_containment", "SELECT r_regionkey, list_has_all([r_regionkey, 1, 2], [1, 2]) AS has, list_has_all([r_regionkey], [3]) AS three FROM region")
+def array_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, lit = F.col("r_regionkey"), lambda *v: F.array(*[F.lit(x) for x in v])
+    has = scalar.contains_all(F.array(k, F.lit(1), F.lit(2)), lit(1, 2))
+    return table(spark, sf_dir, "region").select("r_regionkey", has.alias("has"), scalar.contains_all(F.array(k), lit(3)).alias("three"))
+
+
+def _translated(text: str, *names: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, *names)
+        return dialect.sql(spark, text)
+
+    return run
+
+
+for _name, _text, _sql, _tables in (
+    ("sql_qualify", "SELECT s_nationkey, s_suppkey FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) = 1", None, ("supplier",)),
+    ("sql_distinct_on", "SELECT DISTINCT ON (c_nationkey) c_nationkey, c_custkey FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey", None, ("customer",)),
+    ("sql_with_ties", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC FETCH FIRST 3 ROWS WITH TIES", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size DESC NULLS LAST) <= 3", ("part",)),
+    ("sql_regex_operators", "SELECT p_partkey FROM part WHERE p_name ~ '^(red|blue)' AND p_name !~* 'BOLT'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^(red|blue)') AND NOT regexp_matches(p_name, '(?i)BOLT')", ("part",)),
+    ("sql_similar_to", "SELECT p_partkey FROM part WHERE p_name SIMILAR TO '(red|blue) %(t|g)'", "SELECT p_partkey FROM part WHERE p_name SIMILAR TO '(red|blue) .*(t|g)'", ("part",)),
+    ("sql_generate_series", "SELECT n FROM generate_series(1, 9, 2) AS t(n)", "SELECT CAST(unnest(generate_series(1, 9, 2)) AS INT) AS n", ()),
+    ("sql_unnest_ordinality", "SELECT e, o FROM UNNEST(array('x', 'y')) WITH ORDINALITY AS t(e, o)", "SELECT unnest(['x', 'y']) AS e, unnest([1::INT, 2::INT]) AS o", ()),
+    ("sql_table", "TABLE region", "SELECT * FROM region", ("region",)),
+    ("sql_dialect_functions", "SELECT n_nationkey, array_to_string(string_to_array(n_name, '_'), '-') AS a, strcmp(n_name, 'NATION_2') AS s, iif(n_regionkey > 2, 'hi', 'lo') AS i FROM nation", "SELECT n_nationkey, replace(n_name, '_', '-') AS a, CASE WHEN n_name < 'NATION_2' THEN -1 WHEN n_name > 'NATION_2' THEN 1 ELSE 0 END AS s, CASE WHEN n_regionkey > 2 THEN 'hi' ELSE 'lo' END AS i FROM nation", ("nation",)),
+):
+    query(_name, _sql or _text)(_translated(_text, *_tables))
