@@ -378,3 +378,11 @@ def test_pipeline_stages(spark, texts, docs):
 
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_against_sql(spark, name):
+    from tests.oracle import connection, differences
+
+    got = catalog.QUERIES[name](spark, SMALL).toArrow()
+    assert differences(got, connection(SMALL).sql(catalog.ORACLES[name]).to_arrow_table()) == []
