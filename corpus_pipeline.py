@@ -40,7 +40,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source, ids, n_ids, and whether decoding the ids gives the text again."""
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source")))
+    both = sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source"), decoded_col="decoded")
     same = F.col("decoded").eqNullSafe(F.col("text"))
     return both.select("doc_id", "text", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
 

@@ -285,30 +285,46 @@ def model(name: str) -> Model:
         return Model(source.read())
 
 
-def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns of docs and ids, the text's piece ids without begin or end. Null texts give null, empty ones no ids."""
+def _lists(known: Model, texts: list[str | None]) -> pa.ListArray:
+    """The texts' ids, null for null."""
+    ids = [b"" if x is None else known.packed(x) for x in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)), mask=pa.array([x is None for x in texts]))
+
+
+def _texts(known: Model, table: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The texts that lists of ids stand for; table holds the bytes of each id."""
+    data, at = ta.buffer_of(table.take(lists.flatten()))
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    bounds = at[np.concatenate(([0], np.cumsum(counts)))]
+    return pa.array([known.text_of(data[a:b].tobytes()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)], pa.string())
+
+
+def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """All columns of docs and ids, the text's piece ids without begin or end, and, if decoded_col is given, the text
+    decoded from them again in the same pass. Null texts give null, empty ones no ids."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model(name)
+        table = pa.array(known.bytes_of, pa.binary())
         for batch in batches:
             for part in ta.chunks(batch, 1):
-                texts = part.column(1).to_pylist()
-                ids = [b"" if x is None else known.packed(x) for x in texts]
-                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in texts]))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rows", "ids"])
+                lists = _lists(known, part.column(1).to_pylist())
+                more = [_texts(known, table, lists)] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *more], names=["rows", "ids", "decoded"][: 2 + len(more)])
         known.trim()
 
-    small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c != ids_col]
+    names = [c for c in docs.columns if c not in (ids_col, decoded_col)]
     rows = docs.select(F.struct(*names).alias("rows"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["rows"].dataType.simpleString()
-    return rows.mapInArrow(run, f"rows {kind}, ids array<int>").select("rows.*", F.col("ids").alias(ids_col))
+    coded = rows.mapInArrow(run, f"rows {kind}, ids array<int>" + ", decoded string" * bool(decoded_col))
+    return coded.select("rows.*", F.col("ids").alias(ids_col), *([F.col("decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(docs: DataFrame, name: str = "piece_bpe_32k.model", ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All columns of docs and the decoded text of its ids; null ids give null."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model(name)
@@ -316,15 +332,8 @@ def decode(docs: DataFrame, name: str = "piece_bpe_32k.model", ids_col: str = "i
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 part = batch.slice(row, 512)
-                lists = part.column(1)
-                joined = table.take(lists.flatten())
-                data, at = ta.buffer_of(joined)
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                bounds = at[np.concatenate(([0], np.cumsum(counts)))]
-                texts = [known.text_of(data[a:b].tobytes()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["rows", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _texts(known, table, part.column(1))], names=["rows", "text"])
 
-    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*names).alias("rows"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = rows.schema["rows"].dataType.simpleString()
