@@ -214,11 +214,11 @@ def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     "dml_merge",
     """SELECT coalesce(s_suppkey, c_custkey) AS s_suppkey, coalesce(s_name, c_name) AS s_name, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS s_nationkey,
     CASE WHEN s_suppkey IS NULL THEN c_acctbal WHEN c_custkey IS NULL THEN s_acctbal ELSE s_acctbal + c_acctbal END AS s_acctbal
-    FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 40 AND 130) c ON s_suppkey = c_custkey
+    FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c ON s_suppkey = c_custkey
     WHERE NOT (s_suppkey IS NOT NULL AND c_custkey IS NOT NULL AND c_acctbal < 0) AND NOT (c_custkey IS NULL AND s_acctbal < 100)""",
 )
 def dml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = table(spark, sf_dir, "customer").where("c_custkey BETWEEN 40 AND 130")
+    source = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
     source = source.select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("s_acctbal"))
     return dml.merge(
         table(spark, sf_dir, "supplier"), source, ["s_suppkey"], {"s_acctbal": F.col("t.s_acctbal") + F.col("s.s_acctbal")},
@@ -233,11 +233,14 @@ def dml_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # graphs and recursion
-_EDGES = "(SELECT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst FROM customer WHERE c_custkey < 160)"
+_EDGES = "(SELECT c_custkey AS src, (c_custkey * 7 + c_nationkey) % 1500 AS dst FROM customer UNION ALL SELECT c_custkey, (c_custkey * 3 + 1) % 1500 FROM customer)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey < 160").select((F.col("c_custkey") % 97).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 97).alias("dst"))
+    """Two edges from each customer, so that most are reached in a few hops."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    one = c.select(key.alias("src"), ((key * 7 + F.col("c_nationkey")) % 1500).alias("dst"))
+    return one.unionByName(c.select(key.alias("src"), ((key * 3 + 1) % 1500).alias("dst")))
 
 
 @query(
@@ -250,12 +253,12 @@ def graph_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hierarchy(p, "id", "parent", p.where("id = 1")).select("node", "root", "level", F.array_join("path", "/").alias("path"))
 
 
-@query("graph_reachable", f"WITH RECURSIVE r(source, node, hops) AS (SELECT 1::BIGINT, 1::BIGINT, 0::BIGINT UNION SELECT source, e.dst, hops + 1 FROM r JOIN {_EDGES} e ON r.node = e.src WHERE hops < 60) SELECT source, node, min(hops) AS hops FROM r GROUP BY source, node")
+@query("graph_reachable", f"WITH RECURSIVE r(source, node, hops) AS (SELECT 1::BIGINT, 1::BIGINT, 0::BIGINT UNION SELECT source, e.dst, hops + 1 FROM r JOIN {_EDGES} e ON r.node = e.src WHERE hops < 30) SELECT source, node, min(hops) AS hops FROM r GROUP BY source, node")
 def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(_edges(spark, sf_dir), spark.range(1, 2).select(F.col("id").alias("node")))
 
 
-@query("graph_shortest_path", f"WITH RECURSIVE r(source, node, d) AS (SELECT 1::BIGINT, 1::BIGINT, 0.0::DOUBLE UNION SELECT source, e.dst, d + (e.src % 5 + 1)::DOUBLE FROM r JOIN {_EDGES} e ON r.node = e.src WHERE d < 80) SELECT source, node, min(d) AS distance FROM r GROUP BY source, node")
+@query("graph_shortest_path", f"WITH RECURSIVE r(source, node, d) AS (SELECT 1::BIGINT, 1::BIGINT, 0.0::DOUBLE UNION SELECT source, e.dst, d + (e.src % 5 + 1)::DOUBLE FROM r JOIN {_EDGES} e ON r.node = e.src WHERE d < 70) SELECT source, node, min(d) AS distance FROM r GROUP BY source, node")
 def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _edges(spark, sf_dir).withColumn("w", (F.col("src") % 5 + 1).cast("double"))
     return graph.shortest_paths(e, spark.range(1, 2).select(F.col("id").alias("node")), "w")
@@ -286,12 +289,12 @@ def ts_time_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(timeseries.time_bucket(F.col("ts"), "6 hours").alias("b"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-_HOURS = "(SELECT event_type AS k, epoch_us(ts) // 3600000000 * 3600 AS b, sum(value) AS v FROM events WHERE user_id < 20 GROUP BY 1, 2)"
+_HOURS = "(SELECT event_type AS k, epoch_us(ts) // 3600000000 * 3600 AS b, sum(value) AS v FROM events GROUP BY 1, 2)"
 _GRID = f"h AS {_HOURS}, g AS (SELECT k, unnest(generate_series(min(b), max(b), 3600)) AS b FROM h GROUP BY k)"
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("user_id < 20").groupBy(F.col("event_type").alias("k"), timeseries.bucket_seconds(F.col("ts"), 3600).alias("b")).agg(F.sum("value").alias("v"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("k"), timeseries.bucket_seconds(F.col("ts"), 3600).alias("b")).agg(F.sum("value").alias("v"))
 
 
 @query("ts_gap_fill", f"WITH {_GRID} SELECT k, b, round(v, 4) AS v FROM g LEFT JOIN h USING (k, b)")
@@ -379,14 +382,14 @@ def vector_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(_with_target(spark, sf_dir), "embedding", F.col("_t"), 10).select("vec_id", F.round("_distance", 5).alias("d"))
 
 
-@query("vector_prefilter", f"SELECT vec_id FROM embeddings WHERE label % 2 = 0 ORDER BY list_distance(embedding::DOUBLE[], {_TARGET}::DOUBLE[]), vec_id LIMIT 10")
+@query("vector_prefilter", f"SELECT vec_id FROM embeddings WHERE label > 3 ORDER BY list_distance(embedding::DOUBLE[], {_TARGET}::DOUBLE[]), vec_id LIMIT 10")
 def vector_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.knn(_with_target(spark, sf_dir), "embedding", F.col("_t"), 10, before=F.col("label") % 2 == 0).select("vec_id")
+    return search.knn(_with_target(spark, sf_dir), "embedding", F.col("_t"), 10, before=F.col("label") > 3).select("vec_id")
 
 
-@query("vector_postfilter", f"SELECT vec_id FROM (SELECT vec_id, label FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_TARGET}::DOUBLE[]), vec_id LIMIT 10) WHERE label % 2 = 0")
+@query("vector_postfilter", f"SELECT vec_id FROM (SELECT vec_id, label FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_TARGET}::DOUBLE[]), vec_id LIMIT 10) WHERE label > 3")
 def vector_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.knn(_with_target(spark, sf_dir), "embedding", F.col("_t"), 10, after=F.col("label") % 2 == 0).select("vec_id")
+    return search.knn(_with_target(spark, sf_dir), "embedding", F.col("_t"), 10, after=F.col("label") > 3).select("vec_id")
 
 
 @query("vector_range", f"SELECT vec_id FROM embeddings WHERE list_cosine_distance(embedding::DOUBLE[], {_TARGET}::DOUBLE[]) <= 0.8")
