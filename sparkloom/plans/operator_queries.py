@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import scalar
+from sparkloom.functions import scalar, user
 from sparkloom.operators import dml, graph, joins, rowpattern, search, tables, timeseries, windows
 from sparkloom.plans import dialect
 from sparkloom.plans.registry import query
@@ -549,3 +549,28 @@ for _name, _text, _sql, _tables in (
     ("sql_dialect_functions", "SELECT n_nationkey, array_to_string(string_to_array(n_name, '_'), '-') AS a, strcmp(n_name, 'NATION_2') AS s, iif(n_regionkey > 2, 'hi', 'lo') AS i FROM nation", "SELECT n_nationkey, replace(n_name, '_', '-') AS a, CASE WHEN n_name < 'NATION_2' THEN -1 WHEN n_name > 'NATION_2' THEN 1 ELSE 0 END AS s, CASE WHEN n_regionkey > 2 THEN 'hi' ELSE 'lo' END AS i FROM nation", ("nation",)),
 ):
     query(_name, _sql or _text)(_translated(_text, *_tables))
+
+
+# user functions
+@query("user_sql_function", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS size FROM orders")
+def user_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recipes = user.Recipes()
+    recipes.add("order_size", "price DOUBLE", "STRING", "CASE WHEN price > 200000 THEN 'large' ELSE 'small' END")
+    recipes.install(spark)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr("order_size(o_totalprice)").alias("size"))
+
+
+@query("user_scalar_vectorised", "SELECT p_partkey, round(sqrt(p_retailprice) + 1, 6) AS v FROM part")
+def user_scalar_vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(user.vectorised(lambda x: x**0.5 + 1)("p_retailprice"), 6).alias("v"))
+
+
+for _name, _mean in (("user_aggregate_vectorised", user.geometric_mean), ("user_aggregate_native", user.geometric_mean_native)):
+    query(_name, "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 6) AS g FROM part GROUP BY p_brand")(
+        lambda spark, sf_dir, f=_mean: table(spark, sf_dir, "part").groupBy("p_brand").agg(f(F.col("p_retailprice")).alias("g")).select("p_brand", F.round("g", 6).alias("g"))
+    )
+
+
+@query("user_table_function", "SELECT n_nationkey, CAST(generate_subscripts(string_split(n_name, '_'), 1) AS INT) AS part, unnest(string_split(n_name, '_')) AS piece FROM nation")
+def user_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user.split_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "_").select("n_nationkey", "part", "piece")
