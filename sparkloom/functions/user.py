@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Recipes:
@@ -38,7 +39,7 @@ def vectorised(f: Callable[[np.ndarray], np.ndarray], returns: str = "double", d
     return run if deterministic else run.asNondeterministic()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geometric_mean(values: pd.Series) -> float:
     """A user aggregate; each group is one batch, so groups should be bounded. geometric_mean_native() has no such bound."""
     return float(np.exp(np.log(values).mean()))
@@ -49,7 +50,7 @@ def geometric_mean_native(value: Column) -> Column:
     return F.exp(F.avg(F.ln(value)))
 
 
-@F.udtf(returnType="part: int, piece: string")
+@F.udtf(returnType=T.StructType([T.StructField("part", T.IntegerType()), T.StructField("piece", T.StringType())]))
 class SplitInto:
     """A table function: the pieces of a text with their places."""
 
