@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +30,8 @@ def match_recognize(df: DataFrame, keys: list[str], order: list[str], define: di
     Symbols are single letters; each row has the first whose condition is true, else '-'. Conditions may use
     lag and lead over the partition (PREV and NEXT). The pattern is a regular expression over letters:
     sequence, | and the greedy or reluctant quantifiers * + ? {n,m}. After a match the search goes on behind
-    its last row, or at its second row with overlap. A partition is matched as one string in one task.
+    its last row, or at its second row with overlap. A partition is one row, a string of symbols, so that many small
+    partitions share a batch; the largest has to fit into one task.
     """
     if not re.fullmatch(r"[A-Za-z()|*+?{},\d-]*", pattern):
         raise ValueError("only letters, groups, alternation and quantifiers are supported")
@@ -40,20 +42,25 @@ def match_recognize(df: DataFrame, keys: list[str], order: list[str], define: di
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     seek = re.compile(pattern)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_rank")
-        text, values = "".join(group["_s"]), group["_m"].tolist()
-        out, at = [], 0
-        while at <= len(text):
-            found = seek.search(text, at)
-            if not found:
-                break
-            a, b = found.span()
-            if b > a:
-                out.append((*[group[k].iloc[0] for k in keys], len(out) + 1, values[a], values[b - 1], b - a, text[a:b]))
-            at = a + 1 if overlap or b == a else b
-        return pd.DataFrame(out, columns=[*keys, "match_number", "first", "last", "n", "symbols"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                key, text, values = row[:-2], row[-2], row[-1]
+                at = number = 0
+                while at <= len(text):
+                    found = seek.search(text, at)
+                    if not found:
+                        break
+                    a, b = found.span()
+                    if b > a:
+                        number += 1
+                        out.append((*key, number, values[a], values[b - 1], b - a, text[a:b]))
+                    at = a + 1 if overlap or b == a else b
+            yield pd.DataFrame(out, columns=[*keys, "match_number", "first", "last", "n", "symbols"])
 
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["match_number long", f"first {kinds['_m']}", f"last {kinds['_m']}", "n long", "symbols string"])
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).drop("_o")
-    return ranked.groupBy(*keys).applyInPandas(run, schema)
+    sequence = F.array_sort(F.collect_list(F.struct("_o", "_s", "_m"))).alias("_r")
+    text = F.array_join(F.transform("_r", lambda x: x["_s"]), "").alias("_text")
+    partitions = rows.groupBy(*keys).agg(sequence).select(*keys, text, F.transform("_r", lambda x: x["_m"]).alias("_values"))
+    return partitions.mapInPandas(run, schema)
