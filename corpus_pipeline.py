@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document, or an earlier place, already has."""
-    return _with_text(line_dedup.remove_repeated_units(docs), docs.columns, "kept_text")
+    return _with_text(line_dedup.remove_repeated_units(docs, passage=line_dedup.PASSAGE_WORDS), docs.columns, "kept_text")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from sparkloom.llm.common import shard_count, stored
 
 #: Fewest words of a unit; shorter runs of sentences repeat by chance or as boilerplate and stay.
 UNIT_WORDS = 20
+#: Words of a passage that is removed wherever it stands, and of the run inside that chooses the shard where equal ones meet.
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 25
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 _ENDS = np.zeros(256, np.int64)
 _ENDS[[ord(c) for c in ".!?\n"]] = 1
@@ -28,8 +30,7 @@ def units(data: np.ndarray, offsets: np.ndarray, least: int = UNIT_WORDS) -> tup
     are units, so that a repeated passage is covered up to its outer sentences wherever it stands in a line.
     Units compare by their words, A-Z in lower case: white space and line breaks do not count.
     """
-    lower = ta._LOWER[data]
-    start, stop, owner = ta.words(lower, offsets)
+    start, stop, owner, sums = _sums(data, offsets)
     none = np.zeros(0, np.int64)
     if not len(start):
         return none, none, none.astype(np.uint64), none
@@ -48,20 +49,98 @@ def units(data: np.ndarray, offsets: np.ndarray, least: int = UNIT_WORDS) -> tup
     n = len(s_end) + 1
     pairs = np.unique(np.concatenate((np.flatnonzero(ok) * n + ahead[ok], back[ok_back] * n + np.flatnonzero(ok_back))))
     i, j = pairs // n, pairs % n
-    hashes = ta.mixed(ta.Prefixes(lower).spans(start, stop) + (stop - start).astype(np.uint64))
-    up, down = ta._powers(len(hashes) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
     a, b = s_start[i], s_end[j]
-    return start[a], stop[b - 1], ta.mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), s_owner[i]
+    return start[a], stop[b - 1], _hashes(sums, a, b), s_owner[i]
+
 
+def _sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(starts, ends, text numbers) of all words, and prefix hashes over the words, A-Z in lower case."""
+    lower = ta._LOWER[data]
+    start, stop, owner = ta.words(lower, offsets)
+    hashes = ta.mixed(ta.Prefixes(lower).spans(start, stop) + (stop - start).astype(np.uint64))
+    up, _ = ta._powers(len(hashes) + 1)
+    return start, stop, owner, np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
+
+
+def _hashes(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from a to b."""
+    return ta.mixed((sums[b] - sums[a]) * ta._powers(len(sums))[1][a] + (b - a).astype(np.uint64))
+
+
+def passages(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text number, first word in the text, hash, anchor's place, anchor's hash) of every run of `length` words, wherever sentences end.
+
+    The anchor is the run of ANCHOR_WORDS words inside, or of all if there are fewer, that has the least hash:
+    equal passages have equal anchors, and neighbours mostly share theirs.
+    """
+    _, _, owner, sums = _sums(data, offsets)
+    count, short = max(0, len(owner) - length + 1), min(ANCHOR_WORDS, length)
+    at = np.flatnonzero(owner[:count] == owner[length - 1 :]) if count else np.zeros(0, np.int64)
+    place = np.arange(max(0, len(owner) - short + 1))
+    grams = _hashes(sums, place, place + short)
+    best, width, wide = place, 1, length - short + 1
+    while width < wide and len(best):
+        step = min(width, wide - width)
+        a, b = best[: len(best) - step], best[step:]
+        best, width = np.where(grams[b] < grams[a], b, a), width + step
+    first = np.searchsorted(owner, owner[at])
+    return owner[at], at - first, _hashes(sums, at, at + length), best[at], grams[best[at]]
 
-SHARD = ["keys", "ranks", "start", "stop", "hashes", "done", "done_from", "done_to"]
-BUCKET = ["done", "done_from", "done_to"]
+
+def _settled(h: np.ndarray, key: np.ndarray, rank: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Whether each passage is the earliest of its kind, and (key, first word, end) of what goes of the others.
+
+    Where a passage overlaps the earliest in the same text, as in text that repeats a word, the earliest stays whole.
+    """
+    order = np.lexsort((start, key, rank, h))
+    first, end = ta.runs(h[order])
+    lead = np.zeros(len(h), np.int64)
+    lead[order] = np.repeat(order[first], end - first)
+    earliest = np.zeros(len(h), bool)
+    earliest[order[first]] = True
+    same = key == key[lead]
+    later = ~earliest & ~(same & (start == start[lead]))
+    since = np.where(same, np.maximum(start, start[lead] + length), start)
+    return earliest, packing.merged_by(key[later], since[later], start[later] + length)
+
+
+def _repeated(values: np.ndarray) -> np.ndarray:
+    """Whether each value is there more than once."""
+    order = np.argsort(values)
+    first, end = ta.runs(values[order])
+    out = np.zeros(len(values), bool)
+    out[order] = np.repeat(end - first > 1, end - first)
+    return out
+
+
+SHARD = ["keys", "ranks", "start", "stop", "hashes", "done", "done_from", "done_to", "anchors", "said_keys", "said_ranks", "words", "counts", "passages", "said", "said_from", "said_to"]
+BUCKET = ["done", "done_from", "done_to", "said", "said_from", "said_to"]
 _LAST = np.iinfo(np.int64).max
 
 
-def _split(shards: int, least: int):
-    """Texts to shards of units; of units equal inside a batch the first goes on and the others are settled."""
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+
+
+def _dealt(key: np.ndarray, rank: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int, shards: int) -> tuple[dict, dict, dict]:
+    """A batch's passages by shard: one head for neighbours with one anchor, their hashes, and those that the batch settles."""
+    owner, word, h, place, anchor = passages(data, offsets, length)
+    key, rank = key[owner], rank[owner]
+    first, end = ta.runs(place)
+    again = np.flatnonzero(np.repeat(_repeated(anchor[first]), end - first))
+    earliest, said = _settled(h[again], key[again], rank[again], word[again], length)
+    goes = np.ones(len(h), bool)
+    goes[again[~earliest]] = False
+    key, rank, word, h, place, anchor = (x[goes] for x in (key, rank, word, h, place, anchor))
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (word[1:] != word[:-1] + 1)))) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(h)))
+    shard = _shard(anchor[first], shards)
+    heads = packing.packed(shard, shards, anchor[first], key[first], rank[first], word[first].astype(np.int32), n.astype(np.int32))
+    return heads, packing.packed(np.repeat(shard, n), shards, h), packing.packed(packing.bucket(said[0], shards), shards, *said)
+
+
+def _split(shards: int, least: int, length: int):
+    """Texts to shards of units and passages; of those equal inside a batch the first goes on and the others are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,6 +148,7 @@ def _split(shards: int, least: int):
                 key = part.column(0).to_numpy(zero_copy_only=False)
                 rank = part.column(1).fill_null(_LAST).to_numpy(zero_copy_only=False)
                 data, offsets = ta.buffer_of(part.column(2))
+                heads, tails, said = _dealt(key, rank, data, offsets, length, shards) if length else ({}, {}, {})
                 start, stop, h, owner = units(data, offsets, least)
                 start, stop = start - offsets[owner], stop - offsets[owner]
                 key, rank = key[owner], rank[owner]
@@ -79,10 +159,11 @@ def _split(shards: int, least: int):
                 later &= ~_same_place(key, start, order, first, end)
                 done = packing.merged_by(key[later], start[later], stop[later])
                 send = np.sort(order[first])
-                shard = ((h[send] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
-                kept = packing.packed(shard, shards, key[send], rank[send], start[send].astype(np.int32), stop[send].astype(np.int32), h[send])
+                kept = packing.packed(_shard(h[send], shards), shards, key[send], rank[send], start[send].astype(np.int32), stop[send].astype(np.int32), h[send])
                 ends = packing.packed(packing.bucket(done[0], shards), shards, *done)
-                yield packing.batch("shard", SHARD, [(k, *kept.get(k, [b""] * 5), *ends.get(k, [b""] * 3)) for k in {**kept, **ends}])
+                yield packing.batch("shard", SHARD, [
+                    (k, *kept.get(k, [b""] * 5), *ends.get(k, [b""] * 3), *heads.get(k, [b""] * 5), *tails.get(k, [b""]), *said.get(k, [b""] * 3)) for k in {**kept, **ends, **heads, **said}
+                ])
 
     return run
 
@@ -94,14 +175,14 @@ def _same_place(key: np.ndarray, start: np.ndarray, order: np.ndarray, first: np
     return (key == key[lead]) & (start == start[lead])
 
 
-def _later(buckets: int):
-    """Shards of units to the intervals of all but the earliest occurrence of each."""
+def _later(buckets: int, length: int):
+    """Shards of units and passages to the intervals of all but the earliest occurrence of each; a passage's are counted in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = packing.joined(batches, (np.int64, np.int64, np.int32, np.int32, np.uint64, np.int64, np.int64, np.int64))
+        found = packing.joined(batches, (np.int64, np.int64, np.int32, np.int32, np.uint64, np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint64, np.int64, np.int64, np.int64))
         if found is None:
             return
-        key, rank, start, stop, h, *done = found
+        key, rank, start, stop, h, *done = found[:8]
         order = np.lexsort((start, key, rank, h))
         first, end = ta.runs(h[order])
         later = np.ones(len(h), bool)
@@ -109,30 +190,49 @@ def _later(buckets: int):
         later &= ~_same_place(key, start, order, first, end)
         done = packing.merged_by(*(np.concatenate((x, y[later])) for x, y in zip(done, (key, start, stop), strict=True)))
         ends = packing.packed(packing.bucket(done[0], buckets), buckets, *done)
-        yield packing.batch("bucket", BUCKET, [(k, *x) for k, x in ends.items()])
+        anchor, key, rank, word, n, h, *said = found[8:]
+        again = _repeated(anchor)
+        h, key, rank, word, n = h[np.repeat(again, n)], key[again], rank[again], word[again], n[again]
+        within = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        more = _settled(h, np.repeat(key, n), np.repeat(rank, n), np.repeat(word, n) + within, length)[1]
+        said = packing.merged_by(*(np.concatenate(x) for x in zip(said, more, strict=True)))
+        runs = packing.packed(packing.bucket(said[0], buckets), buckets, *said)
+        yield packing.batch("bucket", BUCKET, [(k, *ends.get(k, [b""] * 3), *runs.get(k, [b""] * 3)) for k in {**ends, **runs}])
 
     return run
 
 
 def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = packing.joined(batches, (np.int64, np.int64, np.int64))
+    found = packing.joined(batches, (np.int64,) * 6)
     if found is None:
         return
-    key, start, stop = packing.merged_by(*found)
-    rows = np.stack((start, stop), axis=1)
-    spans = [(int(key[a]), rows[a:b].tobytes()) for a, b in zip(*ta.runs(key), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in spans], pa.int64()), pa.array([x[1] for x in spans], pa.binary())], names=["key", "spans"])
+    spans: dict[int, list[bytes]] = {}
+    for kind, part in enumerate((found[:3], found[3:])):
+        key, start, stop = packing.merged_by(*part)
+        rows = np.stack((start, stop), axis=1)
+        for a, b in zip(*ta.runs(key), strict=True):
+            spans.setdefault(int(key[a]), [b"", b""])[kind] = rows[a:b].tobytes()
+    columns = [pa.array(list(spans), pa.int64()), *(pa.array([x[k] for x in spans.values()], pa.binary()) for k in range(2))]
+    yield pa.RecordBatch.from_arrays(columns, names=["key", "spans", "said"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key columns, text, spans) to kept text and spans; white space before a removed run goes with it."""
+    """(key columns, text, spans in bytes, spans in words) to kept text and spans; white space before a removed run goes with it."""
     for batch in batches:
         for part in ta.chunks(batch, 1):
             data, offsets = ta.buffer_of(part.column(1))
             kept, lists = [], []
+            said = part.column(3).to_pylist()
+            if any(said):
+                starts, ends, owner = ta.words(data, offsets)
+                first = np.searchsorted(owner, np.arange(len(said)))
             for k, spans in enumerate(part.column(2).to_pylist()):
                 text = data[offsets[k] : offsets[k + 1]]
                 pairs = np.frombuffer(spans or b"", np.int64).reshape(-1, 2)
+                if said[k]:
+                    a, b = (first[k] + np.frombuffer(said[k], np.int64).reshape(-1, 2)).T
+                    more = np.stack((starts[a], ends[b - 1]), axis=1) - offsets[k]
+                    pairs = np.stack(packing.merged(*np.concatenate((pairs, more)).T), axis=1)
                 rest, found, at = [], [], 0
                 for a, b in pairs.tolist():
                     while a > at and ta._SPACE[text[a - 1]]:
@@ -152,24 +252,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(lists, kind)], names=["rows", "kept", "spans"])
 
 
-def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = UNIT_WORDS) -> DataFrame:
+def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = UNIT_WORDS, passage: int = 0) -> DataFrame:
     """All columns of docs but its text, with kept_text and spans (byte offsets in the original text) added or replaced.
 
     A unit (see units()) that occurs earlier, in a text of a smaller id or before in the same text, is removed;
-    the earliest occurrence stays. Rows without an id rank last, by a hash of their text; rows repeated in full
-    are cut alike, as one occurrence. Null texts stay null; texts under `least` words stay whole. Units are
-    shuffled once, packed, with one entry a batch for units that repeat in it; texts once, by a hash of id and text.
+    the earliest occurrence stays. With `passage`, so is every run of that many words or more that occurs earlier,
+    wherever its sentences end (see passages()). Rows without an id rank last, by a hash of their text; rows repeated in full
+    are cut alike, as one occurrence. Null texts stay null; texts under `least` words stay whole. Units and
+    passages are shuffled once, packed, with one entry a batch for those that repeat in it; texts once, by a hash of id and text.
     """
     names = docs.columns
     rank = F.col(id_col).cast("long")
     keyed = docs.select(F.struct(*names).alias("rows"), F.col(text_col).cast("string").alias("text"), F.xxhash64(rank, F.col(text_col)).alias("key"), rank.alias("rank"))
     shards = shard_count(docs, SHARD_BYTES, LEAST_SHARDS)
-    split = keyed.select("key", "rank", "text").mapInArrow(_split(shards, least), packing.schema("shard", SHARD))
-    later = split.repartitionById(shards, "shard").mapInArrow(_later(shards), packing.schema("bucket", BUCKET))
-    spans = stored(later.repartitionById(shards, "bucket").mapInArrow(_by_text, "key long, spans binary"))
+    split = keyed.select("key", "rank", "text").mapInArrow(_split(shards, least, passage), packing.schema("shard", SHARD))
+    later = split.repartitionById(shards, "shard").mapInArrow(_later(shards, passage), packing.schema("bucket", BUCKET))
+    spans = stored(later.repartitionById(shards, "bucket").mapInArrow(_by_text, "key long, spans binary, said binary"))
     others = [c for c in names if c not in (text_col, "kept_text", "spans")]
     slim = keyed.select(F.struct(F.lit(1).alias("__sparkloom"), *[F.col("rows")[c].alias(c) for c in others]).alias("rows"), "text", "key")
     joined = slim.join(spans.hint("shuffle_hash"), "key", "left")
     kind = joined.schema["rows"].dataType.simpleString()
-    cut = joined.select("rows", "text", "spans").mapInArrow(_cut, f"rows {kind}, kept string, spans array<struct<start:bigint,stop:bigint>>")
+    cut = joined.select("rows", "text", "spans", "said").mapInArrow(_cut, f"rows {kind}, kept string, spans array<struct<start:bigint,stop:bigint>>")
     return cut.select(*[F.col("rows")[c].alias(c) for c in others], F.col("kept").alias("kept_text"), "spans")

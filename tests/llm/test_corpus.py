@@ -213,6 +213,27 @@ def test_line_dedup(docs, texts, empty):
     assert line_dedup.remove_repeated_units(empty).count() == 0
 
 
+def test_passages_are_removed_wherever_sentences_end(spark):
+    random.seed(5)
+    name = lambda n: [f"w{random.randint(0, 10**9)}" for _ in range(n)]
+    shared, short, long = name(50), name(49), name(83)
+    lists = [name(9) + shared + name(7) + short, name(30) + shared + name(30), name(4) + short + name(60), name(3) + long + ["x."] + name(70), long[:20] + long, ["ab"] * 300, name(51)]
+    texts = [" ".join(w) for w in lists] + ["\u3002 ".join(" ".join(long[k : k + 7]) for k in range(0, 77, 7)), ""]
+    seen, want = {}, []
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - 49):
+            d, at = seen.setdefault(tuple(w[k : k + 50]), (i, k))
+            gone |= set(range(max(k, at + 50) if d == i else k, k + 50)) if (d, at) != (i, k) else set()
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 4):
+        got = corpus_pipeline.repeated_passages(spark, df.repartition(parts, "doc_id"), SMALL).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == want
+    assert len(want[1][1].split()) == 60 and len(want[2][1].split()) == 113 and len(want[4][1].split()) == 20 and len(want[5][1].split()) == 50
+
+
 def test_decontamination(spark, docs, texts, empty):
     item = " ".join(f"q{k}" for k in range(20))
     changed = " ".join(f"q{k}" if k % 5 else "other" for k in range(20))
