@@ -7,7 +7,8 @@ before it is scored, so that membership in the target is no advantage.
 
 The loss splits into a part that needs only n(a b) and one that needs only n(a). Counts of all documents'
 words and bigrams are therefore dealt by hash, packed, and counted and scored in the shard where they meet; only
-sums for each document go on. A word or bigram has at most one entry a document, however common it is.
+sums for each document go on. A word or bigram has at most one entry a document, however common it is, but for
+counts over MOST, which are dealt as several and summed before anything is taken off or scored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ SHARD_BYTES, LEAST_SHARDS = 16 << 20, 48
 #: Most target ids that are sent to every executor (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Greatest count of one packed entry.
+MOST = 65535
+
 SHARD = ["docs", "target", "words", "word_docs", "word_counts", "pairs", "pair_docs", "pair_counts", "sizes"]
 BUCKET = ["docs", "tokens", "target", "background"]
 _NO_ID = np.iinfo(np.int64).min
@@ -48,8 +52,14 @@ def _from_six(data: bytes) -> np.ndarray:
 
 def _counted(owner: np.ndarray, value: np.ndarray, shards: int) -> tuple[np.ndarray, ...]:
     owner, value, n = ta.distinct_pairs(owner, value)
+    if len(n) and n.max() > MOST:
+        times = -(-n // MOST)
+        last = np.cumsum(times) - 1
+        rest = n - (times - 1) * MOST
+        owner, value, n = np.repeat(owner, times), np.repeat(value, times), np.full(last[-1] + 1, MOST)
+        n[last] = rest
     shard = ((ta.mixed(value + np.uint64(1)) >> np.uint64(17)) % np.uint64(shards)).astype(np.int32)
-    return owner.astype(np.uint16), value, np.minimum(n, 65535).astype(np.uint16), shard
+    return owner.astype(np.uint16), value, n.astype(np.uint16), shard
 
 
 def _split(shards: int):
@@ -82,6 +92,9 @@ def _losses(value: np.ndarray, doc: np.ndarray, n: np.ndarray, flags: np.ndarray
     """Sums over each document of n * log(count + prior), by the target's and the background's counts without its own."""
     order = np.argsort(value, kind="stable")
     value, doc, n = value[order], doc[order], n[order].astype(np.float64)
+    if n.size and n.max() == MOST:  # the entries of one count stand together, as they were dealt
+        first, _ = ta.runs_of(value, doc)
+        value, doc, n = value[first], doc[first], np.add.reduceat(n, first)
     start, end = ta.runs(value)
     sums = []
     for own in (n * flags[doc], n):

@@ -348,6 +348,25 @@ def test_lm_scoring(spark, docs, texts, empty):
     assert lm_scoring.cross_entropy_difference(docs, target.limit(0)).count() == len(texts)
 
 
+def test_lm_scoring_counts_long_texts_in_full(spark):
+    """A word more often in one text than a packed count holds: losses as counted in whole numbers, of that text and of another."""
+    n = 140_000
+    data = [(1, "aa " * n), (2, "aa aa bb " * 40), (3, "aa bb " * 3 + "aa " * 70_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    target = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(df, target).collect()}
+    pairs = {i: Counter(zip(["<s>", *t.split()], t.split(), strict=False)) for i, t in data}
+    for i, t in data:
+        for name, of in (("loss_target", {1, 2}), ("loss_background", {1, 2, 3})):
+            others = sum((pairs[j] for j in of - {i}), Counter())
+            before = Counter()
+            for (a, _), k in others.items():
+                before[a] += k
+            loss = -sum(k * np.log((others[x] + lm_scoring.ALPHA) / (before[x[0]] + lm_scoring.ALPHA * lm_scoring.VOCABULARY)) for x, k in pairs[i].items())
+            assert getattr(got[i], name) == pytest.approx(loss / len(t.split()), abs=2e-5)
+    assert got[1].n_tokens == n
+
+
 def test_quality_classifier(spark, docs, texts, empty):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
