@@ -1,4 +1,4 @@
-"""Benchmark decontamination by spaced seeds and substitution-tolerant overlaps. DataFrame functions only."""
+"""Benchmark decontamination by spaced pairs of words and substitution-tolerant overlaps. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WHITE_SPACE, if_small
 
-#: The token places that each mask compares; the other places of its span may hold anything.
-MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 7), (0, 1, 2, 4, 5))
+#: Fewest words of an item, and of a match that counts by its share.
 SPAN = 8
+#: Places to either side of a seed in which more matches are counted before the whole item is compared.
+NEAR = 12
 #: Characters that are no part of a token.
 PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>-_/\\`~^+=@"
 #: Most seeds of a benchmark that are sent to every executor, about 32 bytes each; beyond it both sides are shuffled.
@@ -22,47 +23,69 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(plain, " "), ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, tokens: str) -> DataFrame:
-    """One row for each place and mask: the columns of rows, _at, and _seed, a hash of the compared tokens.
+def _bounds(items: DataFrame, share: float, enough: int) -> DataFrame:
+    """The items of SPAN words or more with _gap and _near, which every placement that counts must meet.
 
-    The array is named by place in generated code and is not copied for each row.
+    k of an item's n words match. Of the distances from one match to the next, k - 1 that sum to n - 1 at most, any
+    r in a row make a stretch. The shortest of the (k - 1) // r stretches side by side spans (n - 1) // that number
+    at most, and the least distance in it is at most an r-th of that. So there are two matches _gap apart at most
+    with _near matches, themselves included, no more than NEAR places away. r is the greatest that fits both bounds.
     """
-    placed = rows.where(F.size(tokens) >= SPAN).select("*", F.explode(F.sequence(F.lit(0), F.size(tokens) - SPAN)).alias("_at"))
-    hashes = [F.xxhash64(F.lit(k), *[F.get(tokens, F.col("_at") + p) for p in mask]) for k, mask in enumerate(MASKS)]
-    return placed.select("*", F.explode(F.array(*hashes)).alias("_seed"))
+    n = F.size("words")
+    need = F.least(F.lit(enough), F.greatest(F.lit(SPAN), F.ceil(F.lit(share) * n))).cast("int") - 1
+    sized = items.where(n >= SPAN).withColumn("_need", F.greatest(need, F.lit(1)))
+    gap = F.floor((n - 1) / F.col("_need")).cast("int")
+    near = F.lit(2)
+    for r in range(2, NEAR + 1):
+        stretch = F.floor((n - 1) / F.greatest(F.floor(F.col("_need") / r), F.lit(1)))
+        near = F.when((F.col("_need") >= r) & (stretch <= NEAR) & (F.floor(stretch / r) <= gap), r + 1).otherwise(near)
+    return sized.select("item", "words", gap.alias("_gap"), near.alias("_near"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(key, id, item, start, n_words, n_matched): each item placed on each text where a seed of both agrees.
+def _seed(tokens: str, at: Column, gap: Column) -> Column:
+    return F.xxhash64(gap, F.get(tokens, at), F.get(tokens, at + gap))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.6, enough: int = 16) -> DataFrame:
+    """(key, id, item, start, n_words, n_matched): each item placed on each text where both have a pair of words.
 
     start is the token place in the text at which the item's first word would stand (it may be negative), and
-    n_matched the number of the item's words that equal the text's at the same distance: words may differ
-    anywhere, not only where the seed's mask is open.
+    n_matched the number of the item's words that equal the text's at the same distance. The pairs are as far apart
+    as they must be for every placement that assess() counts to have one (see _bounds()); others may be left out.
     """
     items = benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(item_text_col)).alias("words"))
-    seeds = _seeds(items, "words").select("_seed", "item", F.col("_at").alias("_from")).distinct()
-    words = items.groupBy("item").agg(F.first("words").alias("words"))
-    small = seeds.count() <= BROADCAST_SEEDS
-    near = F.broadcast if small else lambda df: df
+    words = _bounds(items.groupBy("item").agg(F.first("words").alias("words")), share, enough)
+    last = F.size("words") - 1
+    placed = words.select("*", F.explode(F.sequence(F.lit(0), last)).alias("_from"))
+    pairs = placed.where("_gap > 0").select("*", F.explode(F.sequence(F.lit(1), "_gap")).alias("_by")).where(F.col("_from") + F.col("_by") <= last)
+    seeds = pairs.select(_seed("words", F.col("_from"), F.col("_by")).alias("_seed"), "item", "_from", "_by")
+    n, widest = seeds.agg(F.count(F.lit(1)), F.max("_by")).first()
+    near = F.broadcast if n <= BROADCAST_SEEDS else lambda df: df
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), token_hashes(F.col(text_col)).alias("tokens"))
-    found = _seeds(texts, "tokens").join(near(seeds), "_seed").select("key", "id", "tokens", "item", (F.col("_at") - F.col("_from")).alias("start"))
-    placed = found.join(near(words), "item")
+    # the array is named by place in generated code and is not copied for each row
+    spots = texts.where(F.size("tokens") >= SPAN).select("*", F.explode(F.sequence(F.lit(0), F.size("tokens") - 2)).alias("_at"))
+    hashes = F.array(*[_seed("tokens", F.col("_at"), F.lit(g)) for g in range(1, (widest or 1) + 1)])
+    found = spots.select("*", F.explode(hashes).alias("_seed")).join(near(seeds.drop("_by")), "_seed").join(near(words), "item")
+    close = [F.when(F.get("tokens", F.col("_at") + k) == F.get("words", F.col("_from") + k), 1).otherwise(0) for k in range(-NEAR, NEAR + 1)]
+    placed = found.where((F.col("_near") <= 2) | (sum(close[1:], close[0]) >= F.col("_near"))).withColumn("start", F.col("_at") - F.col("_from"))
     lead = F.greatest(-F.col("start"), F.lit(0))
     there = F.slice("tokens", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(F.size("words") - lead, F.lit(0)))
     expected = F.slice("words", lead + 1, F.greatest(F.size("words") - lead, F.lit(0)))
-    matched = F.aggregate(F.zip_with(there, expected, lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    return placed.select("key", "id", "item", "start", F.size("words").alias("n_words"), matched.alias("n_matched"))
+    # a generator lets no filter on n_matched pass, and rows leave generated code without the text's tokens
+    slim = placed.select("key", "id", "item", "start", F.size("words").alias("n_words"), F.explode(F.array(F.struct(there.alias("there"), expected.alias("expected")))).alias("_both"))
+    matched = F.aggregate(F.zip_with("_both.there", "_both.expected", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    return slim.select("key", "id", "item", "start", "n_words", matched.alias("n_matched"))
 
 
 def assess(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.6, enough: int = 16, **names: str) -> DataFrame:
     """key, doc_id, contaminated, n_items, items, best_share for every row of docs.
 
     A text is contaminated by an item of which it holds, in place, at least `share` of the words, and SPAN of
-    them, or `enough` words. Items under SPAN words are no evidence and are passed over, as are null texts and
+    them, or `enough` words (2 at least): every such placement is found. Items under SPAN words are no evidence and are passed over, as are null texts and
     items; an empty benchmark contaminates nothing; rows with equal or null ids are judged each by its text.
     Texts are not shuffled: the benchmark's seeds go to the executors if they are few enough by count.
     """
-    hits = overlaps(docs, benchmark, id_col, text_col, **names)
+    hits = overlaps(docs, benchmark, id_col, text_col, share=share, enough=enough, **names)
     bad = hits.where((F.col("n_matched") >= enough) | ((F.col("n_matched") >= SPAN) & (F.col("n_matched") >= share * F.col("n_words"))))
     found = bad.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("n_matched") / F.col("n_words")).alias("best_share"))
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"))

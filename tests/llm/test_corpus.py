@@ -248,6 +248,27 @@ def test_decontamination(spark, docs, texts, empty):
     assert not any(r.contaminated for r in decontamination.assess(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_finds_every_placement_of_the_rule(spark):
+    """Random substitutions around the least that counts, against all placements tried one by one."""
+    random.seed(8)
+    common = [f"c{k}" for k in range(40)]
+    lists = [[random.choice(common) for _ in range(n)] for n in (7, 8, 9, 13, 15, 15, 16, 20, 20, 26, 27, 31, 39, 45, 59, 80, 120)]
+    texts = []
+    for w in lists * 25:
+        n = len(w)
+        kept = set(random.sample(range(n), min(n, max(0, min(16, max(8, -(-6 * n // 10))) - random.choice((0, 0, 0, 1))))))
+        texts.append([f"x{random.randint(0, 9)}" for _ in range(random.randint(0, 5))] + [x if k in kept else f"y{k}" for k, x in enumerate(w)] + ["z"] * random.randint(0, 3))
+    texts += [[x if k % 5 in (0, 1, 3) else "other" for k, x in enumerate(w)] for w in lists]
+    want = {}
+    for i, t in enumerate(texts):
+        best = {j: max(sum(0 <= s + k < len(t) and t[s + k] == x for k, x in enumerate(w)) for s in range(-len(w), len(t))) for j, w in enumerate(lists) if len(w) >= 8}
+        want[i] = [j for j, m in best.items() if m >= 16 or (m >= 8 and m >= 0.6 * len(lists[j]))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(lists)], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontamination.assess(df, bench).collect()} == want
+    assert 200 < sum(map(bool, want.values())) < len(texts)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"])
 def test_token_counts(docs, texts, empty, name):
     if name.endswith(".json"):
