@@ -17,22 +17,23 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hierarchy(nodes: DataFrame, node: str, parent: str, roots: DataFrame, most: int = 64) -> DataFrame:
+def hierarchy(nodes: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
     """CONNECT BY: (node, root, level, path, is_cycle) from the roots down. A node that is on its own path is reported
-    once as a cycle and not followed. Levels stop at `most` only as a guard against endless data."""
+    once as a cycle and not followed, so that the levels end by themselves, however deep they are."""
     edges = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
     level = _kept(roots.select(F.col(node).alias("node"), F.col(node).alias("root"), F.lit(1).alias("level"), F.array(F.col(node)).alias("path"), F.lit(False).alias("is_cycle")))
-    found = level
-    for _ in range(most):
+    found, depth = level, 1
+    while True:
         step = level.where(~F.col("is_cycle")).join(edges, F.col("node") == F.col("_p"))
         level = _kept(step.select(
             F.col("_n").alias("node"), "root", (F.col("level") + 1).alias("level"),
             F.concat("path", F.array("_n")).alias("path"), F.array_contains("path", F.col("_n")).alias("is_cycle"),
         ))
         if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+            return found
+        found, depth = found.unionByName(level), depth + 1
+        if depth % 32 == 0:  # so that the plan does not grow with the depth
+            found = _kept(found)
 
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -77,6 +77,12 @@ def test_hierarchy_reports_a_cycle_and_ends(spark):
     assert rows(found, "node", "level", "is_cycle") == [(1, 1, False), (1, 4, True), (2, 2, False), (3, 3, False)]
 
 
+def test_hierarchy_follows_a_chain_to_its_end(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(90)], "id int, parent int").coalesce(1).cache()
+    found = graph.hierarchy(n, "id", "parent", n.where("parent IS NULL"))
+    assert sorted((r.node, r.level, len(r.path)) for r in found.collect()) == [(i, i + 1, i + 1) for i in range(90)]
+
+
 def test_reachable_ends_on_cycles(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "src int, dst int")
     assert rows(graph.reachable(e, spark.createDataFrame([(1,)], "node int")), "node", "hops") == [(1, 0), (2, 1), (3, 2)]
