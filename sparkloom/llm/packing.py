@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkloom.llm import textarrays as ta
 
@@ -43,6 +45,12 @@ def packed(key: np.ndarray, n: int, *arrays: np.ndarray) -> dict[int, list[bytes
     return {int(k): [a[bounds[k] : bounds[k + 1]].tobytes() for a in arrays] for k in np.flatnonzero(np.diff(bounds))}
 
 
+def packed_texts(key: np.ndarray, texts: list[bytes]) -> dict[int, bytes]:
+    """The texts of each key, joined in the order that packed() gives their other fields."""
+    order = np.argsort(key, kind="stable")
+    return {int(key[order[a]]): b"".join([texts[x] for x in order[a:b].tolist()]) for a, b in zip(*ta.runs(key[order]), strict=True)}
+
+
 def batch(first: str, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k + 1] for r in rows], pa.binary()) for k in range(len(names))]], names=[first, *names]
@@ -59,3 +67,36 @@ def joined(batches: Iterator[pa.RecordBatch], kinds: tuple) -> list[np.ndarray]
         for k, kind in enumerate(kinds):
             parts[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
     return [np.concatenate(x) for x in parts] if parts[0] else None
+
+
+#: Most partitions that shards are dealt to; beyond it a partition holds several, sorted, and works on one at a time.
+MOST_PARTITIONS = 8192
+
+
+def _one_at_a_time(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run() over each shard's rows by itself; rows come sorted by shard."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            shard = batch.column(0).to_numpy()
+            for a, b in zip(*ta.runs(shard), strict=True):
+                if held and shard[a] != last:
+                    yield from run(iter(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = shard[a]
+        if held:
+            yield from run(iter(held))
+
+    return each
+
+
+def by_shard(rows: DataFrame, shards: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kind: str, most: int = MOST_PARTITIONS) -> DataFrame:
+    """rows, whose first column is their shard, brought together by shard and given to run() shard by shard."""
+    shard = rows.columns[0]
+    if shards <= most:
+        return rows.repartitionById(shards, shard).mapInArrow(run, kind)
+    dealt = rows.repartitionById(most, (F.col(shard) % most).cast("int")).sortWithinPartitions(shard)
+    return dealt.mapInArrow(_one_at_a_time(run), kind)

@@ -8,20 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES, CHUNK_ROWS = 3 << 19, 1 << 15
 BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def chunks(batch: pa.RecordBatch, text: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes of text each; one longer text is a slice of its own."""
+    """Slices of a batch with about `most` bytes of text and CHUNK_ROWS rows at most each; one longer text is a slice of its own."""
     if not batch.num_rows:
         return
     ends = np.cumsum(np.diff(_offsets(batch.column(text))))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = min(max(at + 1, int(np.searchsorted(ends, base + most, "right"))), at + CHUNK_ROWS)
         yield batch.slice(at, to - at)
         at = to
 
@@ -159,9 +159,13 @@ def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(values))
 
 
-def runs_of(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the runs in which both arrays stay equal."""
-    if not len(first):
+def runs_of(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs in which all arrays stay equal."""
+    if not len(values[0]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
-    return at, np.append(at[1:], len(first))
+    new = np.zeros(len(values[0]), bool)
+    new[0] = True
+    for x in values:
+        new[1:] |= x[1:] != x[:-1]
+    at = np.flatnonzero(new)
+    return at, np.append(at[1:], len(new))

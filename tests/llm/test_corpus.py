@@ -8,12 +8,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkloom.llm import catalog, decontamination, jaccard_join, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, warc
+from sparkloom.llm import catalog, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, warc
 from sparkloom.llm.components import components
 from sparkloom.llm.token_counts import tokenizer_path
 
@@ -167,6 +168,42 @@ def test_suffix_dedup(spark, docs, texts, empty, gathered):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "gathered"), [(1200, 16), (1200, 512), (300, 1)])
+def test_suffix_dedup_of_a_large_group_of_near_copies(spark, copies, gathered):
+    """Thousands of different segments of each anchor: slices down to single windows, with few rows between tasks."""
+    random.seed(copies)
+    base = "".join(random.choice("abcdefghij klmnopqrst") for _ in range(420))
+    texts = []
+    for _ in range(copies):
+        t = list(base)
+        for _ in range(random.choice((0, 1, 1, 2, 3))):
+            t[random.randrange(len(t))] = random.choice("0123456789")
+        texts.append("".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    want = {i: b for i, b in enumerate(brute_repeats([t.encode() for t in texts]))}
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeats(df, gathered=gathered).collect()}
+    assert got == want
+
+
+def test_slices_bound_what_is_sorted_together():
+    kinds = np.array([1, 512, 513, 5000, 10**6, 10**9])
+    parts = suffix_dedup.slices(kinds, 512, 137)
+    assert parts.tolist() == [1, 1, 4, 32, 137, 137]
+
+
+def test_shards_in_few_partitions_are_worked_on_one_at_a_time(spark):
+    rows = spark.createDataFrame([(k % 50, bytes([k % 50])) for k in range(400)], "shard int, x binary").repartition(5)
+
+    def run(batches):
+        found = [x for b in batches for x in b.column(1).to_pylist()]
+        assert len(set(found)) == 1
+        yield pa.RecordBatch.from_arrays([pa.array([found[0][0]], pa.int32()), pa.array([len(found)], pa.int64())], names=["shard", "n"])
+
+    for most in (7, 100):
+        got = packing.by_shard(rows, 50, run, "shard int, n long", most).collect()
+        assert sorted((r.shard, r.n) for r in got) == [(k, 8) for k in range(50)]
+
+
 def test_suffix_order():
     data = np.frombuffer(b"banana" * 40 + b"bandana" * 40 + b"x" * 64, np.uint8)
     starts = np.arange(0, 400)
