@@ -110,12 +110,12 @@ ORACLES: dict[str, str] = {
         WITH c AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '.,;:!?"''()[]{}*#$%&|<>-_/\`~^+=@' AS f),
         d AS (SELECT doc_id, list_filter(string_split(translate(lower(coalesce(text, '')), f, '      '), ' '), lambda x: x <> '') AS w FROM documents, c),
         i AS (SELECT item_id, list_filter(string_split(translate(lower(coalesce(text, '')), f, '      '), ' '), lambda x: x <> '') AS w FROM benchmark, c),
-        m(k, a, b, c, d, e) AS (VALUES (0, 0, 1, 3, 6, 7), (1, 0, 2, 3, 5, 7), (2, 0, 1, 2, 4, 5)),
-        ds AS (SELECT doc_id, p, k, hash(w[p + a], w[p + b], w[p + c], w[p + d], w[p + e]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d WHERE len(w) >= 8), m),
-        bs AS (SELECT item_id, p, k, hash(w[p + a], w[p + b], w[p + c], w[p + d], w[p + e]) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS p FROM i WHERE len(w) >= 8), m),
-        hit AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS s FROM ds JOIN bs USING (k, h)),
-        n AS (SELECT doc_id, item_id, len(i.w) AS n, list_sum(list_transform(range(1, len(i.w) + 1), lambda q: CASE WHEN q + s >= 1 AND d.w[q + s] = i.w[q] THEN 1 ELSE 0 END)) AS k FROM hit JOIN d USING (doc_id) JOIN i USING (item_id)),
-        bad AS (SELECT doc_id, list_sort(list_distinct(list(item_id))) AS items, max(k / n) AS best FROM n WHERE k >= 16 OR (k >= 8 AND k >= 0.6 * n) GROUP BY doc_id)
+        db AS (SELECT doc_id, p, hash(w[p], w[p + 1]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS p FROM d)),
+        ib AS (SELECT item_id, p, hash(w[p], w[p + 1]) AS h FROM (SELECT item_id, w, unnest(range(1, len(w))) AS p FROM i WHERE len(w) >= 8)),
+        hit AS (SELECT DISTINCT doc_id, item_id, db.p - ib.p AS s FROM db JOIN ib USING (h)),
+        m AS (SELECT doc_id, item_id, least(len(i.w), 24) AS l, list_transform(range(1, len(i.w) + 1), lambda q: CASE WHEN q + s >= 1 AND d.w[q + s] = i.w[q] THEN 1 ELSE 0 END) AS m FROM hit JOIN d USING (doc_id) JOIN i USING (item_id)),
+        n AS (SELECT doc_id, item_id, l, list_max(list_transform(range(1, len(m) - l + 2), lambda q: list_sum(m[q:q + l - 1]))) AS k FROM m WHERE list_sum(m) >= 8),
+        bad AS (SELECT doc_id, list_sort(list_distinct(list(item_id))) AS items, max(k / l) AS best FROM n WHERE k >= 8 AND k >= 0.6 * l GROUP BY doc_id)
         SELECT doc_id, items IS NOT NULL AS contaminated, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, coalesce(array_to_string(items, ','), '') AS items, CAST(coalesce(best, 0) AS DOUBLE) AS best_share FROM documents LEFT JOIN bad USING (doc_id)""",
     "op9_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

@@ -14,7 +14,8 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkloom.llm import catalog, decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, warc
+from sparkloom.llm import catalog, decontamination, heavy, jaccard_join, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, warc
+from sparkloom.llm import textarrays as ta
 from sparkloom.llm.components import components
 from sparkloom.llm.token_counts import tokenizer_path
 
@@ -285,27 +286,61 @@ def test_decontamination(spark, docs, texts, empty):
     assert not any(r.contaminated for r in decontamination.assess(docs, bench.limit(0)).collect())
 
 
-def test_decontamination_finds_every_placement_of_the_rule(spark):
-    """Random substitutions around the least that counts, against all placements tried one by one."""
+def brute_items(tokens, items):
+    """Numbers of the items of which a stretch of 24 words, or the whole, matches in place: all placements tried one by one."""
+    found = []
+    for j, w in enumerate(items):
+        n = min(len(w), 24)
+        best = 0
+        for s in range(-len(w), len(tokens)) if len(w) >= 8 else ():
+            flags = [0 <= s + k < len(tokens) and tokens[s + k] == x for k, x in enumerate(w)]
+            if sum(flags) >= 8:
+                best = max(best, *(sum(flags[k : k + n]) for k in range(len(w) - n + 1)))
+        if best >= 8 and 10 * best >= 6 * n:
+            found.append(j)
+    return found
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_decontamination_finds_every_placement_of_the_rule(spark, monkeypatch, most):
+    """Random substitutions around the least that counts, against all placements, with seeds broadcast and shuffled."""
+    monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", most)
     random.seed(8)
     common = [f"c{k}" for k in range(40)]
-    lists = [[random.choice(common) for _ in range(n)] for n in (7, 8, 9, 13, 15, 15, 16, 20, 20, 26, 27, 31, 39, 45, 59, 80, 120)]
+    lists = [[random.choice(common) for _ in range(n)] for n in (7, 8, 9, 13, 15, 15, 16, 20, 20, 26, 27, 31, 39, 45, 59, 80, 120)] + [["c1"] * 60]
     texts = []
-    for w in lists * 25:
-        n = len(w)
-        kept = set(random.sample(range(n), min(n, max(0, min(16, max(8, -(-6 * n // 10))) - random.choice((0, 0, 0, 1))))))
+    for w in lists[:-1] * 25:
+        n = min(len(w), 24)
+        at = random.randint(0, len(w) - n)
+        need = max(8, -(-6 * n // 10)) - random.choice((0, 0, 0, 1))
+        kept = set(random.sample(range(at, at + n), max(0, min(n, need))))
         texts.append([f"x{random.randint(0, 9)}" for _ in range(random.randint(0, 5))] + [x if k in kept else f"y{k}" for k, x in enumerate(w)] + ["z"] * random.randint(0, 3))
-    texts += [[x if k % 5 in (0, 1, 3) else "other" for k, x in enumerate(w)] for w in lists]
-    want = {}
-    for i, t in enumerate(texts):
-        best = {j: max(sum(0 <= s + k < len(t) and t[s + k] == x for k, x in enumerate(w)) for s in range(-len(w), len(t))) for j, w in enumerate(lists) if len(w) >= 8}
-        want[i] = [j for j, m in best.items() if m >= 16 or (m >= 8 and m >= 0.6 * len(lists[j]))]
+    texts += [[x if k % 5 in (0, 1, 3) else "other" for k, x in enumerate(w)] for w in lists] + [["c1"] * n for n in (7, 14, 15, 300)]
+    want = {i: brute_items(t, lists) for i, t in enumerate(texts)}
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(lists)], "item_id long, text string")
     assert {r.doc_id: r["items"] for r in decontamination.assess(df, bench).collect()} == want
     assert 200 < sum(map(bool, want.values())) < len(texts)
 
 
+def test_decontamination_leaves_unrelated_long_texts_alone(spark):
+    random.seed(9)
+    names = [f"v{k}" for k in range(300)]
+    text = lambda n: " ".join(random.choice(names) for _ in range(n))
+    df = spark.createDataFrame([(i, text(1500)) for i in range(200)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(j, text(800)) for j in range(5)], "item_id long, text string")
+    assert decontamination.assess(df, bench).where("contaminated").count() == 0
+
+
+def test_decontamination_judges_items_by_row(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(12)) for c in "abc")
+    bench = spark.createDataFrame([(1, one), (1, two), (None, three), (None, three), (5, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, one), (1, two), (1, two), (2, f"x {three} y"), (None, three), (3, f"{one} {two} {three}"), (4, None), (5, "")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.contaminated, r.n_items, r["items"]) for r in decontamination.assess(df, bench).collect())
+    assert got == [("1", True, 1, [1])] * 3 + [("2", True, 1, []), ("3", True, 3, [1]), ("4", False, 0, []), ("5", False, 0, []), ("None", True, 1, [])]
+    assert [r.doc_id for r in decontamination.clean(df, bench).orderBy("doc_id").collect()] == [4, 5]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"])
 def test_token_counts(docs, texts, empty, name):
     if name.endswith(".json"):
@@ -378,6 +413,67 @@ def test_unigram_trellis():
         assert sum(pieces[p][0] for p in got) == pytest.approx(want[0])
 
 
+def brute_losses(data, target):
+    """(target's, background's) loss a token of every row, each without the row's own counts."""
+    lower = [(i, (t or "").translate(LOWER)) for i, t in data]
+    pairs = [Counter(zip(["<s>", *words(t)], words(t), strict=False)) for _, t in lower]
+    totals = [sum((p for p, (i, _) in zip(pairs, lower, strict=True) if of is None or i in of), Counter()) for of in (target, None)]
+    firsts = []
+    for total in totals:
+        before = Counter()
+        for (a, _), k in total.items():
+            before[a] += k
+        firsts.append(before)
+    for (i, _), own in zip(lower, pairs, strict=True):
+        mine = Counter()
+        for (a, _), k in own.items():
+            mine[a] += k
+        n, out = sum(own.values()), []
+        for total, before, off in zip(totals, firsts, (i in target, True), strict=True):
+            loss = -sum(k * np.log((total[x] - off * k + lm_scoring.ALPHA) / (before[x[0]] - off * mine[x[0]] + lm_scoring.ALPHA * lm_scoring.VOCABULARY)) for x, k in own.items())
+            out.append(loss / n if n else None)
+        yield tuple(out)
+
+
+def close(row, loss):
+    return (row.loss_target is None and loss[0] is None) or (row.loss_target == pytest.approx(loss[0], abs=3e-5) and row.loss_background == pytest.approx(loss[1], abs=3e-5))
+
+
+@pytest.mark.parametrize("heavy_docs", [1, 2048])
+def test_lm_scoring_of_every_row(spark, docs, texts, monkeypatch, heavy_docs):
+    """Rows repeated, without ids and without texts, with heavy values and without: all against brute force."""
+    monkeypatch.setattr(heavy, "LEAST_DOCS", heavy_docs)
+    data = [(None if t == "<null id>" else i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3]), (3, texts[2]), (None, "<null id>"), (None, "one")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(k,) for k in (0, 3, 7, 9, 77)], "doc_id long")
+    got = lm_scoring.cross_entropy_difference(df, target).collect()
+    want = list(brute_losses(data, {0, 3, 7, 9, 77}))
+    key = lambda i, n, loss: (str(i), n, loss is not None, round(loss or 0, 3))
+    left = sorted(zip((key(i, len(words(t)), loss[0]) for (i, t), loss in zip(data, want, strict=True)), want, strict=True), key=lambda x: x[0])
+    right = sorted(((key(r.doc_id, r.n_tokens, r.loss_target), r) for r in got), key=lambda x: x[0])
+    assert len(left) == len(right) == len(data)
+    assert all(a[:2] == b[:2] and close(r, loss) for (a, loss), (b, r) in zip(left, right, strict=True))
+
+
+def test_lm_scoring_of_many_rows_without_words(spark):
+    data = [(i, "") for i in range(70_000)] + [(70_001, "aa bb aa"), (70_002, "aa bb cc")]
+    got = lm_scoring.cross_entropy_difference(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), spark.createDataFrame([(70_001,)], "doc_id long"))
+    some = {r.doc_id: r for r in got.where("n_tokens > 0").collect()}
+    want = dict(zip((70_001, 70_002), list(brute_losses(data[-2:], {70_001})), strict=True))
+    assert set(some) == set(want) and all(close(some[i], want[i]) for i in want) and got.count() == 70_002
+
+
+@pytest.mark.parametrize("share", [1, 10**9])
+def test_heavy_values_are_bounded_and_found(spark, monkeypatch, share):
+    monkeypatch.setattr(heavy, "LEAST_DOCS", 8)
+    texts = [f"all half{k % 2} w{k}" for k in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(heavy, "MOST", 4 if share == 1 else 1 << 18)
+    found = heavy.heavy_values(df, 0, lambda part: ta.word_hashes(*ta.buffer_of(part.column(0)))[0])
+    named = dict(zip(ta.word_hashes(*ta.buffer_of(pa.array(["all half0 half1"])))[0].tolist(), ("all", "half0", "half1"), strict=True))
+    assert {named.get(x) for x in found.tolist()} == ({"all"} if share == 1 else {"all", "half0", "half1"})
+
+
 def test_lm_scoring(spark, docs, texts, empty):
     random.seed(2)
     topic = lambda names, n: " ".join(random.choice(names) for _ in range(n))
@@ -388,20 +484,9 @@ def test_lm_scoring(spark, docs, texts, empty):
     got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(df, target).collect()}
     assert len(got) == 203 and got[500].score is None and got[501].n_tokens == 0
     assert max(got[k].score for k in range(121, 200, 2)) < min(got[k].score for k in range(120, 200, 2))
-    before = {}
-    for i, t in data:
-        w = ["<s>", *(t or "").split()]
-        for a, b in zip(w, w[1:], strict=False):
-            before.setdefault(a, Counter())[b, i] += 1
-    i = 130
-    w = ["<s>", *data[i][1].split()]
-    loss = [0.0, 0.0]
-    for a, b in zip(w, w[1:], strict=False):
-        for m, of in enumerate((set(range(1, 120, 2)), None)):
-            counts = {(x, j): n for (x, j), n in before[a].items() if j != i and (of is None or j in of)}
-            pair, single = sum(n for (x, _), n in counts.items() if x == b), sum(counts.values())
-            loss[m] -= np.log((pair + lm_scoring.ALPHA) / (single + lm_scoring.ALPHA * lm_scoring.VOCABULARY)) / (len(w) - 1)
-    assert got[i].loss_target == pytest.approx(loss[0], abs=1e-3) and got[i].loss_background == pytest.approx(loss[1], abs=1e-3)
+    want = brute_losses(data, set(range(1, 120, 2)))
+    for (i, _), loss in zip(data, want, strict=True):
+        assert close(got[i], loss)
     assert lm_scoring.cross_entropy_difference(empty, target).count() == 0
     assert lm_scoring.cross_entropy_difference(docs, target.limit(0)).count() == len(texts)
 
