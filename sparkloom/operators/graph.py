@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import shared_folder
+
 
 def _kept(df: DataFrame) -> DataFrame:
     """Rows written to the session's shared checkpoint folder and read again, so that lineage does not grow by the round."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{at}/sparkloom-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +29,22 @@ def local_session(cores: int | None = None, app: str = "sparkloom", **more: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that is an error, as each executor would
+    write to its own disk.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            at = given.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            at = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+            spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{at}/sparkloom-{uuid.uuid4().hex}"

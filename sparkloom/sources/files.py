@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import shared_folder
+
 #: Options under which text formats give back what was written, nulls and times included.
 TEXT_OPTIONS = {"header": "true", "nullValue": "\\N", "emptyValue": "", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def shared_path(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{top}/sparkloom-{uuid.uuid4().hex}"
+    return shared_folder(spark)
 
 
 def copy_to(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = (), **options: str) -> None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import shared_folder
+
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events", ts: str = "ts") -> DataFrame:
     """A table's Parquet file or folder as a stream of files, its time column with the session's zone."""
@@ -28,8 +29,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     with the batch number as _batch; complete results are the last batch's.
     """
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    at = f"{top}/sparkloom-stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}-stream"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{at}/rows").start().awaitTermination()
