@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.session import shared_folder
 
 #: The white space that separates words.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -33,21 +34,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share; sets a local one where none is set."""
-    return f"{checkpoint_folder(spark)}/sparkloom-{uuid.uuid4().hex}"
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if given.isDefined():
-            return given.get()
-        at = "file:///tmp/checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+def whole_id(docs: DataFrame, name: str) -> Column:
+    """The id column as whole numbers; ids of any other type are refused, as casts would lose them."""
+    if not isinstance(docs.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{name} must hold whole numbers, not {docs.schema[name].dataType.simpleString()}: number the rows, or hash their ids, first")
+    return F.col(name).cast("long")
 
 
 def stored(df: DataFrame, *, partitions: int | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ prefix goes on until its coverage exceeds the number of tokens that a partner ma
 enough then share a signature (the longer prefix holds every shared token of the shorter one).
 The number of classes depends on the set's size alone, and each set also signs for the next larger partner
 size, so that linked sets always use a common division.
+
+Tokens meet by hash to be counted. Heavy ones, which a good part of all documents hold, need not: they are frequent
+for certain, all have the same place in the order, and go straight to their documents.
 """
 
 from __future__ import annotations
@@ -19,16 +22,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import packing
 from sparkloom.llm import textarrays as ta
-from sparkloom.llm.common import if_small, shard_count, stored
+from sparkloom.llm.common import if_small, shard_count, stored, whole_id
 from sparkloom.llm.components import components
+from sparkloom.llm.heavy import heavy_values, member
 
 #: Tokens in more documents than this are of the frequent class.
 RARE_DOCS = 32
 #: Expected tokens of a class of frequent tokens, in a set of which all tokens are frequent.
 CLASS_TOKENS = 16
 #: Bytes of input a shard of tokens stands for, and the fewest shards.
-SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
+SHARD_BYTES, LEAST_SHARDS = 4 << 20, 64
+#: The frequency that stands for that of every heavy token.
+HEAVY_DOCS = np.iinfo(np.int32).max
 
 
 def most_missing(n: int) -> int:
@@ -36,53 +43,47 @@ def most_missing(n: int) -> int:
     return n - (3 * n + 3) // 4
 
 
-def _packed(key: np.ndarray, n_keys: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """(key, the arrays' entries for it as bytes) for each key that occurs."""
-    order = np.argsort(key, kind="stable")
-    bounds = np.searchsorted(key[order], np.arange(n_keys + 1))
-    arrays = [a[order] for a in arrays]
-    for k in np.flatnonzero(np.diff(bounds)):
-        yield int(k), [a[bounds[k] : bounds[k + 1]].tobytes() for a in arrays]
+def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text numbers, hashes) of the distinct shingles of each text; no hash is 0 or 1."""
+    hashes, owner = ta.word_hashes(*ta.buffer_of(texts))
+    found, who = ta.shingles(hashes, owner, len(texts), size)
+    who, found, _ = ta.distinct_pairs(who, np.maximum(found, np.uint64(2)))
+    return who, found
 
 
-def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+SHARD = ["docs", "hashes", "heavy_docs", "heavy_hashes"]
+BUCKET = ["docs", "sizes", "owners", "hashes", "dfs", "heavy_owners", "heavy_hashes"]
 
 
-def token_shards(docs: DataFrame, shards: int, size: int = 5) -> DataFrame:
-    """(shard, docs, hashes): the distinct shingles of all texts, packed by shard of the hash for each batch."""
+def token_shards(docs: DataFrame, shards: int, heavy: np.ndarray, size: int = 5) -> DataFrame:
+    """(shard, ...): the distinct shingles of all texts, packed by shard of the hash for each batch; heavy ones by that of the document."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.chunks(batch, 1):
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data, offsets = ta.buffer_of(part.column(1))
-                hashes, owner = ta.word_hashes(data, offsets)
-                found, who = ta.shingles(hashes, owner, len(ids), size)
-                who, found, _ = ta.distinct_pairs(who, np.maximum(found, np.uint64(1)))
+                who, found = _sets(part.column(1), size)
                 none = np.setdiff1d(np.arange(len(ids)), who)
-                who, found = np.concatenate((who, none)), np.concatenate((found, np.zeros(len(none), np.uint64)))
+                often = member(found, heavy)
+                hot = packing.packed(packing.bucket(ids[who[often]], shards), shards, ids[who[often]], found[often])
+                who, found = np.concatenate((who[~often], none)), np.concatenate((found[~often], np.zeros(len(none), np.uint64)))
                 shard = ((found >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
                 shard[len(found) - len(none) :] = ids[none] % shards
-                yield _rows(["shard", "docs", "hashes"], [(k, *x) for k, x in _packed(shard, shards, ids[who], found)])
+                own = packing.packed(shard, shards, ids[who], found)
+                yield packing.batch("shard", SHARD, [(k, *own.get(k, [b""] * 2), *hot.get(k, [b""] * 2)) for k in {**own, **hot}])
 
-    return docs.mapInArrow(split, "shard int, docs binary, hashes binary")
+    return docs.mapInArrow(split, packing.schema("shard", SHARD))
 
 
 def _frequencies(buckets: int):
     """Shards of tokens to document buckets: each document's number of tokens, and those that two documents or more have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes = [], []
-        for batch in batches:
-            ids += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-            hashes += [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-        if not ids:
+        parts = packing.joined(batches, (np.int64, np.uint64, np.int64, np.uint64))
+        if parts is None:
             return
-        doc, h = np.concatenate(ids), np.concatenate(hashes)
-        del ids, hashes
+        doc, h, hot, hot_h = parts
+        del parts
         order = np.argsort(h)
         doc, h = doc[order], h[order]
         start, end = ta.runs(h)
@@ -96,26 +97,24 @@ def _frequencies(buckets: int):
         df = np.repeat(end - start, end - start).astype(np.int32)
         seen, n = np.unique(np.concatenate((once, doc)), return_counts=True)
         seen, n = np.concatenate((seen, zero)), np.concatenate((n, np.zeros(len(zero), np.int64))).astype(np.int32)
-        to = lambda x: ((ta.mixed(x.astype(np.uint64)) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-        counts, tokens = dict(_packed(to(seen), buckets, seen, n)), dict(_packed(to(doc), buckets, doc, h, df))
-        empty = [b""] * 3
-        for k in counts:
-            yield _rows(["bucket", "docs", "sizes", "owners", "hashes", "dfs"], [(k, *counts[k], *tokens.get(k, empty))])
+        to = lambda x: packing.bucket(x, buckets)
+        counts, tokens = packing.packed(to(seen), buckets, seen, n), packing.packed(to(doc), buckets, doc, h, df)
+        often = packing.packed(to(hot), buckets, hot, hot_h)
+        yield packing.batch("bucket", BUCKET, [(k, *counts.get(k, [b""] * 2), *tokens.get(k, [b""] * 3), *often.get(k, [b""] * 2)) for k in {**counts, **often}])
 
     return count
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document buckets to one row for each document; its tokens only where a link is possible."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    for batch in batches:
-        for k, kind in enumerate((np.int64, np.int32, np.int64, np.uint64, np.int32)):
-            parts[k] += [np.frombuffer(x, kind) for x in batch.column(k + 1).to_pylist()]
-    if not parts[0]:
+    parts = packing.joined(batches, (np.int64, np.int32, np.int64, np.uint64, np.int32, np.int64, np.uint64))
+    if parts is None:
         return
-    doc, n, owner, h, df = (np.concatenate(x) for x in parts)
-    ids, which = np.unique(doc, return_inverse=True)
-    sizes = np.bincount(which, weights=n).astype(np.int64)
+    doc, n, owner, h, df, hot, hot_h = parts
+    hot, hot_h, _ = ta.distinct_pairs(hot, hot_h)
+    owner, h, df = np.concatenate((owner, hot)), np.concatenate((h, hot_h)), np.concatenate((df, np.full(len(hot), HEAVY_DOCS, np.int32)))
+    ids, which = np.unique(np.concatenate((doc, hot)), return_inverse=True)
+    sizes = np.bincount(which, weights=np.concatenate((n, np.ones(len(hot))))).astype(np.int64)
     order = np.lexsort((h, df, owner))
     owner, h, df = owner[order], h[order], df[order]
     start, end = np.searchsorted(owner, ids), np.searchsorted(owner, ids, "right")
@@ -211,18 +210,20 @@ def _rest(placed: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs (a, b) in a common signature, in different components, whose overlap may suffice.
 
     With o tokens shared with the signature's centre and s tokens shared with anybody, two sets share at most
-    min(o1, o2) tokens of the centre and min(s1 - o1, s2 - o2) others.
+    min(o1, o2) tokens of the centre and min(s1 - o1, s2 - o2) others. Sets at 75 % differ by a third in size at most,
+    so that only those of the same or the next class of sizes meet.
     """
     rows = placed.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = rows.groupBy("sig").agg(F.min("n").alias("n_min"))
     able = stored(rows.join(least, "sig").where(_enough(F.col("s"), F.col("n"), F.col("n_min"))).drop("n_min"))
     parts = able.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"))
     split = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("k", "label"))["label"].alias("main")).where("labels > 1")
-    open_rows = able.join(split.select("sig", "main"), "sig")
-    few = open_rows.where(F.col("label") != F.col("main")).select("sig", *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "s", "o", "label")])
+    by_size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
+    open_rows = able.join(split.select("sig", "main"), "sig").withColumn("size", by_size)
+    few = open_rows.where(F.col("label") != F.col("main")).select("sig", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), *[F.col(c).alias(f"x_{c}") for c in ("sid", "n", "s", "o", "label")])
     most = F.least("x_o", "o") + F.least(F.col("x_s") - F.col("x_o"), F.col("s") - F.col("o"))
     meet = (F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x_sid") < F.col("sid"))) & _enough(most, F.col("x_n"), F.col("n"))
-    return few.join(open_rows, "sig").where(meet).select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b")).distinct()
+    return few.join(open_rows, ["sig", "size"]).where(meet).select(F.least("x_sid", "sid").alias("a"), F.greatest("x_sid", "sid").alias("b")).distinct()
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -256,17 +257,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document's set is that of its lower-cased (A-Z) word shingles; with fewer words than `size` its whole
     sequence is one shingle; without words the set is empty and links with nothing. Two documents link at a
     Jaccard similarity of 75 % or more. Rows that share an id are one document, whose set is the union; rows
-    without an id are a row each that links with nothing (component_id null). Other columns are ignored.
+    without an id are a row each that links with nothing (component_id null). Ids are whole numbers (else TypeError);
+    null texts have no words; an empty table gives no rows; very long texts are worked on whole. Other columns are ignored.
+    Shingles are compared by 64-bit hashes.
 
     Equal sets are one class, joined through the smallest id by a map-side minimum. Each shingle is shuffled
     once, packed; a document of which too many shingles are its own is settled there, and only the others'
     shared shingles go on.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    named = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = shard_count(docs, SHARD_BYTES, LEAST_SHARDS)
-    rows = token_shards(named.where("doc_id IS NOT NULL"), shards, size)
-    buckets = rows.repartitionById(shards, "shard").mapInArrow(_frequencies(shards), "bucket int, docs binary, sizes binary, owners binary, hashes binary, dfs binary")
-    found = stored(buckets.repartitionById(shards, "bucket").mapInArrow(_documents, DOCUMENT))
+    heavy = heavy_values(named.select("text"), 0, lambda part: _sets(part.column(0), size)[1])
+    rows = token_shards(named.where("doc_id IS NOT NULL"), shards, heavy, size)
+    buckets = packing.by_shard(rows, shards, _frequencies(shards), packing.schema("bucket", BUCKET))
+    found = stored(packing.by_shard(buckets, shards, _documents, DOCUMENT))
     equal = found.where("digest IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
     classed = stored(found.where("digest IS NOT NULL").select("doc_id", "digest", "n").join(equal, ["digest", "n"]).select("doc_id", "rep"))
     sets = stored(found.where("hashes IS NOT NULL").join(classed.where("doc_id != rep").select("doc_id"), "doc_id", "left_anti"))
@@ -277,10 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ta.chunks(batch, 1):
-                hashes, owner = ta.word_hashes(*ta.buffer_of(part.column(1)))
-                found, who = ta.shingles(hashes, owner, part.num_rows, size)
-                who, _, _ = ta.distinct_pairs(who, found)
-                n = np.bincount(who, minlength=part.num_rows)
+                n = np.bincount(_sets(part.column(1), size)[0], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), part.column(0)], names=["doc_id", "n_shingles", "component_id"])
 
     nameless = named.where("doc_id IS NULL").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long")
@@ -291,4 +292,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs whose document is the smallest id of its component; rows without an id stay."""
     found = near_duplicates(docs, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__sparkloom_gone"))
-    return docs.join(if_small(gone), F.col(id_col).cast("long") == F.col("__sparkloom_gone"), "left_anti")
+    return docs.join(if_small(gone), whole_id(docs, id_col) == F.col("__sparkloom_gone"), "left_anti")

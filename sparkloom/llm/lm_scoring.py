@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import packing
 from sparkloom.llm import textarrays as ta
-from sparkloom.llm.common import shard_count
+from sparkloom.llm.common import shard_count, whole_id
 from sparkloom.llm.heavy import heavy_values, member
 
 VOCABULARY = 1 << 24
 ALPHA = 0.01
-SHARD_BYTES, LEAST_SHARDS = 16 << 20, 48
+SHARD_BYTES, LEAST_SHARDS = 4 << 20, 48
 #: Most target ids that are sent to every executor (8 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -192,12 +192,12 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     target names the target documents by id; the less the score, the more a text is like them. Each row is a document
     of its own, also rows that share an id, are repeated in full or have no id (those are never of the target). Texts
     without words, and null ones, have no tokens, and null losses and score; an empty target or corpus is no error. Ids
-    are cast to whole numbers; other columns are ignored. Counts cover all rows and whole texts, however long, without
+    are whole numbers (else TypeError); other columns are ignored. Counts cover all rows and whole texts, however long, without
     a greatest count.
     """
     ids = target.select(F.col(target_id_col).cast("long").alias("_target")).where("_target IS NOT NULL").distinct()
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     flagged = rows.join(near, F.col("doc_id") == F.col("_target"), "left").select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.col("_target").isNotNull().alias("target"), "text")
     shards = shard_count(docs, SHARD_BYTES, LEAST_SHARDS)
     heavy = heavy_values(rows.select("text"), 0, lambda part: _tagged(entries(part.column(0))[1]))

@@ -144,16 +144,22 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Rules:
-    """Fit on at most fit_rows labelled rows that are not held out; null labels and ids are passed over."""
+    """Fit on at most fit_rows labelled documents that are not held out; no rows, or labels of one kind, give a base rate.
+
+    Null labels, ids and labels other than 0 and 1 are passed over; an id with both labels counts as 1. Of rows that share an id
+    the one with the least statistics stands for all, so that never more than fit_rows rows are collected.
+    """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
     sample = usable.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(F.broadcast(sample), "_id")
-    found = rows.select("_id", "_y", statistics(F.col(text_col)).alias("_s")).select("_id", "_y", "_s.*").toPandas().sort_values(["_id", *STATISTICS])
+    one = rows.select("_id", "_y", statistics(F.col(text_col)).alias("_s")).groupBy("_id").agg(F.max("_y").alias("_y"), F.min("_s").alias("_s"))
+    found = one.select("_id", "_y", "_s.*").toPandas().sort_values("_id")
     return fit(found[list(STATISTICS)].to_numpy(np.float64), found["_y"].to_numpy(np.float64))
 
 
 def predict(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted of every row, from its whole text alone; null texts are empty ones."""
+    """doc_id, held_out, score and predicted of every row, from its whole text alone, however long; null texts are empty ones,
+    rows that repeat or have no id are scored each, an empty table gives no rows, other columns are ignored."""
     figures = docs.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("_s"))
     scored = figures.select("doc_id", held_out("doc_id").alias("held_out"), rules.score(F.col("_s")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

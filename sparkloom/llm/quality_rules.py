@@ -85,16 +85,22 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("base_failed", failed)
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_docs: int = 10, host_share: float = 0.10) -> DataFrame:
+def _document(id_col: str, text_col: str) -> Column:
+    """What rows of one document share: their id, or their text if they have none."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("text"), F.col(text_col))).otherwise(F.xxhash64(F.col(id_col)))
+
+
+def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, host_share: float = 0.10) -> DataFrame:
     """(host, line): hashes of normalised lines found in more documents of the host than both limits allow.
 
-    Rows are counted per host and line with a map-side sum, so a host with a third of all rows costs one row
-    a task and line.
+    Documents are distinct ids (texts, where there is no id), of lines and of hosts alike: a row that is repeated counts once.
+    Spark dedups (host, line, document) before it counts, so that a host with a third of all rows, or a line that all of its documents
+    hold, is spread over all tasks.
     """
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    lines = docs.select(host.alias("_host"), F.explode(F.array_distinct(F.transform(_lines(F.col(text_col)), line_hash))).alias("_line"))
-    counted = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_docs)
-    hosts = docs.groupBy(host.alias("_host")).agg(F.count(F.lit(1)).alias("_docs"))
+    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"), _document(id_col, text_col).alias("_doc"), F.col(text_col).alias("_text"))
+    lines = rows.select("_host", "_doc", F.explode(F.array_distinct(F.transform(_lines(F.col("_text")), line_hash))).alias("_line"))
+    counted = lines.groupBy("_host", "_line").agg(F.count_distinct("_doc").alias("_n")).where(F.col("_n") > min_docs)
+    hosts = rows.groupBy("_host").agg(F.count_distinct("_doc").alias("_docs"))
     return counted.join(hosts, "_host").where(F.col("_n") > host_share * F.col("_docs")).select("_host", "_line")
 
 
@@ -123,7 +129,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     (normalised, counted once a document) is removed; a document left with fewer than min_words_left words or
     less than min_share_left of its words is depleted and rejected, as is one that fails the base rules.
     Null and empty texts have no words and fail the base rules; null hosts are one host; rows with equal or
-    null ids are judged each by its own text; other columns are ignored.
+    null ids are judged each by its own text; an empty table gives no rows; very long texts are worked on whole; other
+    columns are ignored.
     """
     slim = _slim(docs, id_col, text_col, host_col)
     stats = base_statistics(slim.withColumns({"_host": F.col("source"), "_text": F.xxhash64("text")}), keep=("_host", "_text"))
@@ -140,7 +147,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, host_share: float = 0.10, min_words_left: int = 10, min_share_left: float = 0.3) -> DataFrame:
-    """The rows of docs that assess() keeps, with all their columns, and with frequent lines taken out of the texts."""
+    """The rows of docs that assess() keeps, with all their columns, and with frequent lines taken out of the texts;
+    nulls, repeats, long texts and empty tables as there."""
     slim = _slim(docs, id_col, text_col, host_col, F.struct(*docs.columns).alias("_row"))
     bad = _flagged(slim, min_docs, host_share).select(
         F.col("_id"), F.col("_host"), F.col("_text"), F.transform("_bad", lambda x: x["_line"]).alias("_lines"),

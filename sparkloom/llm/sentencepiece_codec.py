@@ -2,7 +2,9 @@
 
 Texts are walked once, character by character. A window keeps, for each of the last positions that a piece can
 reach back to, the best way to arrive there; when the ways to all positions still reachable go through one
-boundary, the ids before it are final and leave the window. Memory does not depend on the text's length.
+boundary, the ids before it are final and leave the window. Memory does not depend on the text's length. All text
+goes through that window; a boundary where all ways are known to meet starts it afresh, and what it then made of a word
+once is remembered, within a bound.
 
 For unigram models the best way is the one with the greatest sum of scores (Viterbi). For BPE models it is the
 one way whose last piece may stand next to the piece before it, that is, whose two pieces are what merging
@@ -141,110 +143,107 @@ class Model:
                 self._beside[key] = found
         return found
 
-    def beside(self, left: str, right: str) -> bool:
-        """fits() for pieces as text, which may be single characters that the model does not know."""
-        a, b = self.id_of.get(left), self.id_of.get(right)
-        return self.merged(left + right) == (left, right) if a is None or b is None else self.fits(a, b)
-
-    def short(self, text: str) -> list[int] | None:
-        """Ids of a text that fits into the window, where nothing can be final before its end; None if a character is unknown."""
-        size = len(text)
-        piece, before = [-1] * (size + 1), [0] * (size + 1)
-        root, known = self.trie, self._beside.get
-        for start in range(size):
-            left = piece[start]
-            if left < 0 and start:
-                continue
-            node = root
-            for end in range(start, size):
-                node = node.get(text[end])
-                if node is None:
-                    break
-                found = node.get("")
-                if found is not None and piece[end + 1] < 0:
-                    ok = known(left << 32 | found) if start else True
-                    if ok is None:
-                        ok = self.fits(left, found)
-                    if ok:
-                        piece[end + 1], before[end + 1] = found, start
-        if piece[size] < 0:
-            return None
-        out = []
-        while size:
-            out.append(piece[size])
-            size = before[size]
-        return out[::-1]
-
-    def stream(self, text: str) -> Iterator[list[str]]:
-        """The text's pieces, in lists that are final as soon as every live way agrees on a boundary."""
-        best: dict[int, tuple[float, int, str]] = {0: (0.0, -1, "")}
-        done, size, ranked, longest = 0, len(text), self.kind == UNIGRAM, self.longest
+    def _text(self, piece: int) -> str:
+        """A step of the trellis as text: a piece, or a character that no piece is, as -2 less its number."""
+        return self.pieces[piece] if piece >= 0 else chr(-2 - piece)
+
+    def beside(self, left: int, right: int) -> bool:
+        """fits() for steps of which one may be an unknown character."""
+        if left >= 0 <= right:
+            return self.fits(left, right)
+        a, b = self._text(left), self._text(right)
+        return self.merged(a + b) == (a, b)
+
+    def stream(self, text: str) -> Iterator[list[int]]:
+        """The text's steps, in lists that are final as soon as every live way agrees on a boundary.
+
+        The window holds, for each place behind the last final boundary, the last step of the best way there and where that
+        step starts. Places that a piece from a later character can still reach are live. Once the window is twice the longest
+        piece long, the live ways are followed back, and what they share leaves it; it grows only while they share nothing.
+        """
+        size, root, longest, scores = len(text), self.trie, self.longest, self.scores
+        ranked, known, fits = self.kind == UNIGRAM, self._beside.get, self.fits
+        room = 2 * longest
+        step, before, score = [-1] * (room + longest + 2), [0] * (room + longest + 2), [0.0] * (room + longest + 2)
+        r = 0
         for start in range(size):
-            way = best.get(start)
-            if way is not None:
-                node, end, left = self.trie, start, way[2]
-                while end < size:
-                    node = node.get(text[end])
-                    end += 1
+            left = step[r]
+            if left != -1 or not start:
+                node, end, value = root, r, score[r]
+                for place in range(start, size):
+                    node = node.get(text[place])
                     if node is None:
                         break
+                    end += 1
                     found = node.get("")
                     if found is None:
                         continue
                     if ranked:
-                        score = way[0] + self.scores[found]
-                        if end not in best or score > best[end][0]:
-                            best[end] = (score, start, text[start:end])
-                    elif end not in best:
-                        if start == 0 or self.beside(left, text[start:end]):
-                            best[end] = (0.0, start, text[start:end])
-                if start + 1 not in best and (ranked or start == 0 or self.beside(left, text[start])):
-                    best[start + 1] = (way[0] + self.unknown_score, start, text[start])
-            end = start + 1
-            if end % longest == 0 and end < size:
-                meet = self._common(best, done, end, size)
-                if meet > done:
-                    yield self._path(best, done, meet)
-                    done = meet
-                    shift = best[done][0]
-                    best = {k: (s - shift, b, p) for k, (s, b, p) in best.items() if k >= done}
-        if size > done:
-            yield self._path(best, done, size)
+                        if step[end] == -1 or value + scores[found] > score[end]:
+                            step[end], before[end], score[end] = found, r, value + scores[found]
+                    elif step[end] == -1:
+                        ok = True if not start else known(left << 32 | found) if left >= 0 else self.beside(left, found)
+                        if ok is None:
+                            ok = fits(left, found)
+                        if ok:
+                            step[end], before[end] = found, r
+                char = text[start]
+                if char not in self.id_of:
+                    other = -2 - ord(char)
+                    if ranked:
+                        if step[r + 1] == -1 or value + self.unknown_score > score[r + 1]:
+                            step[r + 1], before[r + 1], score[r + 1] = other, r, value + self.unknown_score
+                    elif step[r + 1] == -1 and (not start or self.beside(left, other)):
+                        step[r + 1], before[r + 1] = other, r
+            r += 1
+            if r >= room and start + 1 < size:
+                meet = self._common(step, before, r, r + longest)
+                if meet:
+                    yield self._path(step, before, meet)
+                    base = score[meet]
+                    step = step[meet:] + [-1] * meet
+                    before = [x - meet for x in before[meet:]] + [0] * meet
+                    score = [x - base for x in score[meet:]] + [0.0] * meet
+                    r -= meet
+                else:
+                    room += longest
+                    for x, empty in ((step, -1), (before, 0), (score, 0.0)):
+                        x.extend([empty] * longest)
+        if r:
+            yield self._path(step, before, r)
 
     @staticmethod
-    def _common(best: dict, done: int, low: int, size: int) -> int:
-        """The last boundary that the ways to all live positions, from low on, go through."""
-        live = {k for k in best if k >= low}
+    def _common(step: list[int], before: list[int], low: int, high: int) -> int:
+        """The last boundary that the ways to all live places, from low to high, go through."""
+        live = {k for k in range(low, high + 1) if step[k] != -1}
         while len(live) > 1:
             top = max(live)
             live.remove(top)
-            live.add(max(best[top][1], done))
-        return live.pop() if live else done
+            live.add(before[top])
+        return live.pop() if live else 0
 
     @staticmethod
-    def _path(best: dict, start: int, end: int) -> list[str]:
-        pieces = []
-        while end > start:
-            _, before, piece = best[end]
-            pieces.append(piece)
-            end = before
-        return pieces[::-1]
-
-    def ids(self, piece: str) -> list[int]:
-        known = self.id_of.get(piece)
-        if known is not None:
-            return [known]
-        return [self.byte_ids[b] for b in piece.encode()] if self.byte_fallback else [self.unknown]
+    def _path(step: list[int], before: list[int], end: int) -> list[int]:
+        steps = []
+        while end > 0:
+            steps.append(step[end])
+            end = before[end]
+        return steps[::-1]
 
     def _encode_part(self, part: str) -> list[int]:
-        if self.kind == BPE and len(part) <= 2 * self.longest and (quick := self.short(part)) is not None:
-            return quick
+        """Ids of the trellis's steps; an unknown character is its bytes, or with others in a row one unknown piece."""
         found: list[int] = []
-        for pieces in self.stream(part):
-            for piece in pieces:
-                new = self.ids(piece)
-                if not (new == [self.unknown] and found[-1:] == new):
-                    found += new
+        for steps in self.stream(part):
+            if min(steps) >= 0:
+                found += steps
+                continue
+            for x in steps:
+                if x >= 0:
+                    found.append(x)
+                elif self.byte_fallback:
+                    found += [self.byte_ids[b] for b in chr(-2 - x).encode()]
+                elif found[-1:] != [self.unknown]:
+                    found.append(self.unknown)
         return found
 
     def _word(self, word: str) -> bytes:
@@ -258,7 +257,11 @@ class Model:
         self._words = dict(itertools.islice(self._words.items(), KEPT_WORDS))
 
     def packed(self, text: str) -> bytes:
-        """Ids of the text as 32-bit numbers. Where no piece crosses from a word into the next space, words are independent and are remembered."""
+        """Ids of the text as 32-bit numbers, all from stream().
+
+        Where no piece crosses from a word into the next space, all ways meet before each space. From such a boundary the
+        trellis goes on as from the start, so what it makes of the part up to the next one is remembered, as one transition.
+        """
         text = self.normalised(text)
         if self._split is None or not self.byte_fallback:  # neighbouring unknown pieces are one: parts are not independent
             return np.array(self._encode_part(text), np.int32).tobytes()
@@ -302,7 +305,9 @@ def _texts(known: Model, table: pa.Array, lists: pa.ListArray) -> pa.Array:
 
 def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """All columns of docs and ids, the text's piece ids without begin or end, and, if decoded_col is given, the text
-    decoded from them again in the same pass. Null texts give null, empty ones no ids."""
+    decoded from them again in the same pass. Null texts give null, empty ones no ids; rows that repeat give equal rows; an empty
+    table gives no rows; texts of any length pass the same window. Columns of docs with the names of the new ones are
+    replaced."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +328,8 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model", text_col: str = "
 
 
 def decode(docs: DataFrame, name: str = "piece_bpe_32k.model", ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """All columns of docs and the decoded text of its ids; null ids give null."""
+    """All columns of docs and the decoded text of its ids, in place of a column of that name; null ids give null, no ids an
+    empty text, rows that repeat equal rows, an empty table no rows."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import packing
 from sparkloom.llm import textarrays as ta
-from sparkloom.llm.common import shard_count, stored
+from sparkloom.llm.common import shard_count, stored, whole_id
 
 GRAM = 64
 #: Different segments of one anchor that one slice takes; beyond it slices are made narrower.
@@ -372,12 +372,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     All occurrences are removed, the first one too, as judged on the input. Null texts are empty; texts under
     `length` bytes keep everything; rows may repeat, share an id or have none, as each row's key is a hash of
-    its id and text; ids are cast to whole numbers; other columns are ignored; an empty table gives no rows. Very long
+    its id and text; ids are whole numbers (else TypeError); other columns are ignored; an empty table gives no rows. Very long
     texts are worked on whole, one at a time. The texts are shuffled twice, by that key.
     """
     if not GRAM <= length <= 8 * GRAM:
         raise ValueError(f"length must be from {GRAM} to {8 * GRAM}")
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    named = docs.select(whole_id(docs, id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = named.withColumn("key", F.xxhash64("doc_id", "text"))
     shards = shard_count(docs, SHARD_BYTES, LEAST_SHARDS)
     split = keyed.select("key", "text").mapInArrow(_split(shards, length), packing.schema("shard", SHARD))

@@ -228,6 +228,8 @@ def brute_units(texts, least=line_dedup.UNIT_WORDS):
             s = next((s for s in reversed(starts) if s <= e and e + 1 - s >= least), None)
             if s is not None:
                 pairs.add((s, e))
+        lines = [k for k, (a, b) in enumerate(found) if "\n" in t[a : found[k + 1][0] if k + 1 < len(found) else len(t)] or k + 1 == len(found)]
+        pairs |= set(zip([0, *[e + 1 for e in lines[:-1]]], lines, strict=False))
         yield [(found[s][0], found[e][1], tuple(t[a:b].translate(LOWER) for a, b in found[s : e + 1])) for s, e in sorted(pairs)]
 
 
@@ -251,6 +253,17 @@ def test_line_dedup(docs, texts, empty):
     assert line_dedup.remove_repeated_units(empty).count() == 0
 
 
+def test_short_lines_that_repeat_are_removed_with_their_offsets(spark):
+    texts = [f"Own {i}\nShared line\n\n  SHARED   short two\nown again {i}" for i in range(5)]
+    got = line_dedup.remove_repeated_units(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)).orderBy("doc_id").collect()
+    assert got[0].kept_text == texts[0] and got[0].spans == []
+    for i in range(1, 5):
+        assert got[i].kept_text == f"Own {i}\nown again {i}"
+        assert "".join(texts[i][a:b] for a, b in got[i].spans).split() == "Shared line SHARED short two".split()
+    with pytest.raises(TypeError, match="whole numbers"):
+        line_dedup.remove_repeated_units(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_passages_are_removed_wherever_sentences_end(spark):
     random.seed(5)
     name = lambda n: [f"w{random.randint(0, 10**9)}" for _ in range(n)]
@@ -359,7 +372,17 @@ def test_long_texts_are_cut_where_it_makes_no_difference():
     whole = Tokenizer.from_file(str(tokenizer_path("byte_bpe_50k.json"))).encode(text, add_special_tokens=False).ids
     parts = list(token_counts.pieces(text, 100))
     assert "".join(parts) == text and len(parts) > 50
-    assert token_counts.lengths([text], token_counts.counter("byte_bpe_50k.json"), True) == [len(whole)]
+    assert token_counts.lengths([text], token_counts.counter("byte_bpe_50k.json")[0], True) == [len(whole)]
+
+
+def test_texts_without_ascii_are_cut_and_other_tokenizers_get_whole_texts():
+    text = "日本語の文章です。次は1つ、「短い」文です！한국어 문장（예）입니다" * 300
+    whole = Tokenizer.from_file(str(tokenizer_path("byte_bpe_50k.json"))).encode(text, add_special_tokens=False).ids
+    parts = list(token_counts.pieces(text, 100))
+    assert "".join(parts) == text and len(parts) > 50 and max(map(len, parts)) < 200
+    count, split = token_counts.counter("byte_bpe_50k.json")
+    assert split and sum(count(parts)) == len(whole)
+    assert not token_counts.counter("word_bpe_49k.json")[1] and not token_counts.counter("piece_bpe_32k.model")[1] and token_counts.counter("byte_bpe_50k.tiktoken")[1]
 
 
 def test_sentencepiece(docs, texts, empty):
@@ -381,8 +404,20 @@ def test_sentencepiece(docs, texts, empty):
 def test_streaming_gives_final_ids_early():
     own = sentencepiece_codec.model("piece_bpe_32k.model")
     parts = list(own.stream("x" * 40 + "international" * 30))
-    assert len(parts) > 10 and "".join(p for part in parts for p in part) == "x" * 40 + "international" * 30
-    assert [p for part in parts for p in part] == list(own.merged("x" * 40 + "international" * 30))
+    assert len(parts) > 10 and "".join(own._text(x) for part in parts for x in part) == "x" * 40 + "international" * 30
+    assert [own._text(x) for part in parts for x in part] == list(own.merged("x" * 40 + "international" * 30))
+
+
+def test_all_text_is_encoded_by_streaming(monkeypatch):
+    """Every part that is not remembered goes through stream(), and nothing is remembered that did not."""
+    own = sentencepiece_codec.Model(open(tokenizer_path("piece_bpe_32k.model"), "rb").read())
+    seen, real = [], own.stream
+    monkeypatch.setattr(own, "stream", lambda text: seen.append(text) or real(text))
+    known = sentencepiece.SentencePieceProcessor(model_file=str(tokenizer_path("piece_bpe_32k.model")))
+    for t in (*(x for x in odd_texts() if x), "Unbroken" * 400, "日本語テキスト。" * 300):
+        assert own.encode(t) == known.encode(t)
+        assert all(part in seen for part in own._split.findall(own.normalised(t)))
+    assert set(own._words) <= set(seen)
 
 
 def test_unigram_trellis():
@@ -409,7 +444,7 @@ def test_unigram_trellis():
 
     for t in ("abab", "ababab", "a b ab", "bababab"):
         want = best(own.normalised(t))
-        got = [p for part in own.stream(own.normalised(t)) for p in part]
+        got = [own._text(x) for part in own.stream(own.normalised(t)) for x in part]
         assert sum(pieces[p][0] for p in got) == pytest.approx(want[0])
 
 
