@@ -29,7 +29,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
-    return line_dedup.remove_repeated_units(docs, passage=line_dedup.PASSAGE_WORDS).select("doc_id", F.size("spans").cast("long").alias("n_spans"), removed.alias("n_removed"), "spans", "kept_text")
+    return line_dedup.remove_repeated_units(docs, line=line_dedup.LONG_LINE_WORDS, passage=line_dedup.PASSAGE_WORDS).select("doc_id", F.size("spans").cast("long").alias("n_spans"), removed.alias("n_removed"), "spans", "kept_text")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ RARE_DOCS = 32
 #: Expected tokens of a class of frequent tokens, in a set of which all tokens are frequent.
 CLASS_TOKENS = 16
 #: Bytes of input a shard of tokens stands for, and the fewest shards.
-SHARD_BYTES, LEAST_SHARDS = 4 << 20, 64
+SHARD_BYTES, LEAST_SHARDS = 6 << 20, 64
 #: The frequency that stands for that of every heavy token.
 HEAVY_DOCS = np.iinfo(np.int32).max
 

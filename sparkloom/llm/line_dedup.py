@@ -20,8 +20,8 @@ from sparkloom.llm.common import shard_count, stored, whole_id
 
 #: Fewest words of a run of sentences; shorter ones repeat by chance inside lines.
 UNIT_WORDS = 20
-#: Fewest words of a line: lines of any length.
-LINE_WORDS = 1
+#: Fewest words of a line: lines of any length, or, in the query and the pipeline, those that are no boilerplate.
+LINE_WORDS, LONG_LINE_WORDS = 1, 12
 #: Words of a passage that is removed wherever it stands, and of the run inside that chooses the shard where equal ones meet.
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 25
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
