@@ -1,6 +1,9 @@
 """A corpus pipeline of five stages over documents, each by one operator of sparkloom.llm.
 
-Every stage gets all rows that its predecessor kept; all but the last return the columns of documents.
+Every stage gets all rows that its predecessor kept; all but the last return the columns of documents. In every stage an
+empty table gives no rows, rows repeated in full are treated alike, and texts of any length are worked on whole. Null texts
+have no words and go in the first stage; the others would keep them. Rows without an id are kept apart: they are no
+one's near copy, and rank last among equal passages.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document, or an earlier place, already has."""
-    return _with_text(line_dedup.remove_repeated_units(docs, passage=line_dedup.PASSAGE_WORDS), docs.columns, "kept_text")
+    return _with_text(line_dedup.remove_repeated_units(docs, line=line_dedup.LONG_LINE_WORDS, passage=line_dedup.PASSAGE_WORDS), docs.columns, "kept_text")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
