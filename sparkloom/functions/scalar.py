@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.dialects import json_changed
+
 
 def similar_to_pattern(pattern: str, escape: str = "\\") -> str:
     """A SIMILAR TO pattern as an anchored regular expression: % and _ become .* and . and dots are plain."""
@@ -54,6 +56,26 @@ def json_has_key(json: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(json), key), F.lit(False))
 
 
+def json_has_all(json: Column, keys: list[str]) -> Column:
+    """?& on JSON objects."""
+    return F.coalesce(F.size(F.array_intersect(F.json_object_keys(json), F.array(*map(F.lit, keys)))) == len(set(keys)), F.lit(False))
+
+
+def json_has_any(json: Column, keys: list[str]) -> Column:
+    """?| on JSON objects."""
+    return F.coalesce(F.arrays_overlap(F.json_object_keys(json), F.array(*map(F.lit, keys))), F.lit(False))
+
+
+def json_path_exists(json: Column, path: str) -> Column:
+    """@? on JSON: whether the path leads to a value, null values included."""
+    return F.coalesce(F.variant_get(F.try_parse_json(json), path, "variant").isNotNull(), F.lit(False))
+
+
+def json_without_path(name: str, path: list[str]) -> Column:
+    """#- on a column of JSON objects: without the member at a path; other values keep their types and nesting."""
+    return F.expr(json_changed(name, path, None, "remove"))
+
+
 def age_months(later: Column, earlier: Column) -> Column:
     """Whole months between two dates, toward zero."""
     return F.months_between(later, earlier).cast("int")
