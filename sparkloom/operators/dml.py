@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,8 +41,10 @@ def delete_using(table: DataFrame, others: DataFrame, on: Column) -> DataFrame:
 
 def merge(table: DataFrame, source: DataFrame, keys: list[str], matched_update: dict[str, Column] | None = None, matched_delete: Column | None = None, insert_new: bool = False, missing_delete: Column | None = None) -> DataFrame:
     """MERGE by one full join: matched rows are deleted or updated, source rows without a match inserted, table rows
-    without one kept or deleted. Conditions and expressions name columns as t.<column> and s.<column>."""
-    t, s = table.withColumn("_in", F.lit(True)).alias("t"), source.withColumn("_in", F.lit(True)).alias("s")
+    without one kept or deleted. Conditions and expressions name columns as t.<column> and s.<column>. A table row that two
+    source rows match is an error, as in SQL; null keys match nothing."""
+    counted = source.withColumns({"_in": F.lit(True), "_k": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    t, s = table.withColumn("_in", F.lit(True)).alias("t"), counted.alias("s")
     on = None
     for k in keys:
         part = F.col(f"t.{k}") == F.col(f"s.{k}")
@@ -62,9 +64,20 @@ def merge(table: DataFrame, source: DataFrame, keys: list[str], matched_update:
         new = F.col(f"s.{c}") if c in source.columns else F.lit(None)
         kept = F.when(in_s, values[c]).otherwise(F.col(f"t.{c}")) if c in values else F.col(f"t.{c}")
         out.append(F.when(in_t, kept).otherwise(new).cast(table.schema[c].dataType).alias(c))
-    return both.where(~drop).select(*out)
+    twice = F.raise_error(F.lit("MERGE: two source rows match one row of the table")).cast("boolean")
+    return both.where(F.when(in_t & in_s & (F.col("s._k") > 1), twice).otherwise(~drop)).select(*out)
+
+
+def update_returning(table: DataFrame, where: Column, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """UPDATE ... RETURNING *: the whole new table, and the new rows that the condition picked, changed in value or not."""
+    return update(table, where, values), update(table.where(where), F.lit(True), values)
+
+
+def delete_returning(table: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:
+    """DELETE ... RETURNING *: the rows that stay, and those that the condition picked."""
+    return delete(table, where), table.where(where)
 
 
 def changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """RETURNING: rows of the new table that the old one does not have, with repeats."""
+    """Rows of the new table that the old one does not have, with repeats: a difference, for RETURNING see update_returning()."""
     return new.exceptAll(old)

@@ -34,17 +34,33 @@ def hierarchy(nodes: DataFrame, node: str, parent: str, roots: DataFrame) -> Dat
             found = _kept(found)
 
 
+def search_order(found: DataFrame, kind: str = "depth", name: str = "search_order") -> DataFrame:
+    """SEARCH DEPTH / BREADTH FIRST BY node SET name over hierarchy(): a column to order by. Depth first it is the path, breadth
+    first the level with the node; both are values, so that nothing is numbered in one task."""
+    if kind not in ("depth", "breadth"):
+        raise ValueError(f"kind must be depth or breadth, not {kind}")
+    return found.withColumn(name, F.col("path") if kind == "depth" else F.struct("level", "node"))
+
+
+def leaves(found: DataFrame) -> DataFrame:
+    """hierarchy() with is_leaf (CONNECT_BY_ISLEAF): rows that no row's path goes on from."""
+    inner = found.where("level > 1").select("root", F.slice("path", 1, F.size("path") - 1).alias("path"), F.lit(True).alias("_inner")).distinct()
+    return found.join(inner, ["root", "path"], "left").withColumn("is_leaf", F.col("_inner").isNull()).drop("_inner").select(*found.columns, "is_leaf")
+
+
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, hops): the fewest hops from each source to every node that it reaches, itself at 0. Cycles end by themselves."""
     known = _kept(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("hops")).distinct())
-    front = known
+    front, depth = known, 0
     links = edges.select("src", "dst").distinct()
     while True:
         step = front.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
         front = _kept(step.join(known.select("source", "node"), ["source", "node"], "left_anti"))
         if front.isEmpty():
             return known
-        known = _kept(known.unionByName(front))
+        known, depth = known.unionByName(front), depth + 1  # each front is written once
+        if depth % 32 == 0:
+            known = _kept(known)
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:

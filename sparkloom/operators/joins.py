@@ -29,14 +29,20 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
 
 def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, width: float, by: list[tuple[str, str]] = (), how: str = "inner") -> DataFrame:
     """Rows with abs(left_on - right_on) <= width: the axis is cut into buckets of that width, the right side is put
-    into its own and both neighbouring buckets, and the buckets are joined by equality."""
+    into its own and both neighbouring buckets, and the buckets are joined by equality. how is inner, left, right or full;
+    right rows without a match are found by a second join in which the left side is the one put into three buckets."""
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"how must be inner, left, right or full, not {how}")
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    a = left.withColumn("_b", bucket(left_on))
-    b = right.withColumn("_rb", F.explode(F.array(bucket(right_on) - 1, bucket(right_on), bucket(right_on) + 1)))
+    three = lambda c: F.explode(F.array(bucket(c) - 1, bucket(c), bucket(c) + 1))
     on = (F.col("_b") == F.col("_rb")) & (F.abs(F.col(left_on) - F.col(right_on)) <= width)
     for x, y in by:
         on &= F.col(x) == F.col(y)
-    return a.join(b, on, how).drop("_b", "_rb")
+    found = left.withColumn("_b", bucket(left_on)).join(right.withColumn("_rb", three(right_on)), on, "left" if how in ("left", "full") else "inner").drop("_b", "_rb")
+    if how in ("inner", "left"):
+        return found
+    alone = right.withColumn("_rb", bucket(right_on)).join(left.withColumn("_b", three(left_on)), on, "left_anti").drop("_rb")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def _buckets(start: Column, stop: Column, width: int) -> Column:
@@ -65,7 +71,16 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join with hot keys spread over `salts` partitions: the large side gets a salt, the small side all of them."""
+    """An equi-join with hot keys spread over `salts` partitions: the large side gets a salt, the small side all of them.
+
+    how is inner, left, left_semi, left_anti, right or full. Each large row meets one copy of a small row, so the first four need
+    no more; for the others, small rows whose key the large side lacks come from an anti join without copies.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti", "right", "full"):
+        raise ValueError(f"how must be inner, left, left_semi, left_anti, right or full, not {how}")
     a = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
     b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [*on, "_salt"], how).drop("_salt")
+    found = a.join(b, [*on, "_salt"], {"right": "inner", "full": "left"}.get(how, how)).drop("_salt")
+    if how not in ("right", "full"):
+        return found
+    return found.unionByName(small.join(large.select(*on).distinct(), on, "left_anti"), allowMissingColumns=True)

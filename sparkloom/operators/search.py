@@ -43,12 +43,25 @@ def knn(df: DataFrame, vector: str, target: Column, k: int, metric: str = "l2",
     return near if after is None else near.where(after)
 
 
+#: Numbers of the queries' vectors that are sent to every executor at once, 8 bytes each.
+BROADCAST_NUMBERS = 4_000_000
+
+
 def knn_join(queries: DataFrame, df: DataFrame, query_id: str, query_vector: str, row_id: str, vector: str, k: int, metric: str = "l2") -> DataFrame:
-    """The k nearest rows for each of a bounded set of queries, which the caller has checked to be small enough to broadcast."""
-    pairs = df.select(row_id, vector).crossJoin(F.broadcast(queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"))))
-    measured = pairs.select(F.col("_q").alias("query"), F.col(row_id).alias("neighbour"), distance(metric, F.col(vector), F.col("_v")).alias("_distance"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("_distance", "neighbour"))
-    return measured.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    """The k nearest rows for each query, exactly. Queries are counted and sent in blocks of BROADCAST_NUMBERS numbers at
+    most; of each block Spark keeps k rows a task and query before anything is shuffled."""
+    wanted = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"))
+    numbers = wanted.agg(F.sum(F.size("_v"))).first()[0] or 0
+    blocks = max(1, -(-2 * numbers // BROADCAST_NUMBERS)) if numbers > BROADCAST_NUMBERS else 1
+    found = None
+    for block in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block)
+        pairs = df.select(row_id, vector).crossJoin(F.broadcast(part))
+        measured = pairs.select(F.col("_q").alias("query"), F.col(row_id).alias("neighbour"), distance(metric, F.col(vector), F.col("_v")).alias("_distance"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("_distance", "neighbour"))
+        near = measured.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        found = near if found is None else found.unionByName(near)
+    return found
 
 
 def within(df: DataFrame, vector: str, target: Column, most: float, metric: str = "l2") -> DataFrame:
@@ -90,19 +103,89 @@ def inverted_index(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return each.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(df: DataFrame, row_id: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) by BM25 over the whole table: only the query's terms are indexed, lengths are averaged in the same scan."""
+def _occurring(df: DataFrame, row_id: str, text: str, query: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((term, id, tf, length) of the query's terms, and one row with n and average) of a table, each text split once a scan."""
+    wanted = sorted({q.lower() for q in query})
     tokens = df.select(F.col(row_id).alias("id"), terms(F.col(text)).alias("_t"))
-    whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("average"))
-    wanted = [q.lower() for q in query]
-    hits = tokens.select("id", F.size("_t").alias("length"), F.explode(F.filter("_t", lambda t: t.isin(wanted))).alias("term"))
-    tf = hits.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    slim = tokens.select("id", F.size("_t").alias("length"), F.filter("_t", lambda t: t.isin(wanted)).alias("_t"))
+    tf = slim.where(F.size("_t") > 0).select("id", "length", F.explode("_t").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    return tf, tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("average"))
+
+
+def _bm25(tf: DataFrame, whole: DataFrame, k1: float, b: float) -> DataFrame:
     df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
     return tf.join(F.broadcast(df_t), "term").crossJoin(F.broadcast(whole)).groupBy("id").agg(F.sum(part).alias("score"))
 
 
+def bm25(df: DataFrame, row_id: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) by BM25 over the whole table; of the texts only the query's terms go on, a row a term of the query is broadcast."""
+    return _bm25(*_occurring(df, row_id, text, query), k1, b)
+
+
+def tf_idf(df: DataFrame, row_id: str, text: str, query: list[str]) -> DataFrame:
+    """(id, score): the sum of tf / length * ln(n / df) over the query's terms."""
+    tf, whole = _occurring(df, row_id, text, query)
+    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    part = F.col("tf") / F.col("length") * F.log(F.col("n") / F.col("df"))
+    return tf.join(F.broadcast(df_t), "term").crossJoin(F.broadcast(whole)).groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def term_frequency(df: DataFrame, row_id: str, text: str, query: list[str]) -> DataFrame:
+    """(id, score): occurrences of the query's terms over the text's length."""
+    return _occurring(df, row_id, text, query)[0].groupBy("id").agg((F.sum("tf") / F.max("length")).alias("score"))
+
+
+def proximity(text: Column, a: str, b: str) -> Column:
+    """The least distance in terms between two terms of a text; null if it lacks one.
+
+    The places of both terms in order, and only neighbours of different terms, are compared.
+    """
+    places = F.filter(F.transform(terms(text), lambda t, i: F.when(t == a.lower(), F.struct(i.alias("i"), F.lit(0).alias("k"))).when(t == b.lower(), F.struct(i.alias("i"), F.lit(1).alias("k")))), lambda x: x.isNotNull())
+    start = F.struct(F.lit(None).cast("int").alias("least"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("k"))
+
+    def step(s: Column, x: Column) -> Column:
+        near = F.when(s["k"] != x["k"], x["i"] - s["i"])
+        return F.struct(F.least(s["least"], near).alias("least"), x["i"].alias("i"), x["k"].alias("k"))
+
+    return F.aggregate(places, start, step, lambda s: s["least"])
+
+
+def search_index(index: DataFrame, query: list[str], n_texts: int, average: float, mode: str = "or", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) by BM25 from inverted_index() alone: only the query's terms are read, which prunes files sorted by term.
+
+    n_texts and average are the number of indexed texts and their mean length; with mode "and" texts have all terms.
+    """
+    wanted = sorted({q.lower() for q in query})
+    hits = index.where(F.col("term").isin(wanted))
+    whole = index.sparkSession.range(1).select(F.lit(n_texts).alias("n"), F.lit(average).alias("average"))
+    found = _bm25(hits, whole, k1, b)
+    if mode == "or":
+        return found
+    every = hits.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(wanted)).select("id")
+    return found.join(every, "id", "left_semi")
+
+
+def trigram_join(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.3) -> DataFrame:
+    """Pairs (a, b, sim) with a < b and a similarity of `least` or more (the % operator), by a join on shared trigrams.
+
+    Trigrams are ordered by frequency, rare first, and only the first ones of each text are joined: of a text's n trigrams,
+    a partner must have ceil(least * n), so one of the first n - ceil(least * n) + 1 is shared.
+    """
+    x, y = left.select(F.col(a).alias("a")).distinct(), right.select(F.col(b).alias("b")).distinct()
+    count = x.select(F.explode(trigrams(F.col("a"))).alias("g")).unionByName(y.select(F.explode(trigrams(F.col("b"))).alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame, name: str) -> DataFrame:
+        each = df.select(name, F.explode(trigrams(F.col(name))).alias("g")).join(count, "g")
+        ordered = each.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("_o"))
+        first = F.size("_o") - F.ceil(F.lit(least) * F.size("_o")).cast("int") + 1
+        return ordered.select(name, F.explode(F.slice("_o", 1, F.least(first, F.size("_o")))).alias("_x")).select(name, F.col("_x.g").alias("g"))
+
+    pairs = prefix(x, "a").join(prefix(y, "b"), "g").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return pairs.withColumn("sim", similarity(F.col("a"), F.col("b"))).where(F.col("sim") >= least)
+
+
 def trigrams(text: Column) -> Column:
     """The distinct 3-grams of a lower-cased text, two spaces before and one after it."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))

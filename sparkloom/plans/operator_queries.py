@@ -30,6 +30,20 @@ def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.band_join(s, c, "s_acctbal", "c_acctbal", 5.0, [("s_nationkey", "c_nationkey")]).select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
 
 
+@query("join_band_full", "SELECT a.s_suppkey AS a, b.c_custkey AS b FROM supplier a FULL JOIN customer b ON abs(a.s_acctbal - b.c_acctbal) <= 5 AND a.s_nationkey = b.c_nationkey")
+def join_band_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    return joins.band_join(s, c, "s_acctbal", "c_acctbal", 5.0, [("s_nationkey", "c_nationkey")], "full").select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
+
+
+@query("join_salted_full", "SELECT o_orderkey, c_custkey AS k, c_name FROM orders FULL JOIN customer ON o_custkey = c_custkey AND c_nationkey < 12 WHERE c_custkey IS NOT NULL")
+def join_salted_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name", "c_nationkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    near = joins.salted_join(o, c.where("c_nationkey < 12").drop("c_nationkey"), ["k"], how="full").where("c_name IS NOT NULL")
+    return near.unionByName(c.where("NOT coalesce(c_nationkey < 12, false)").select("k", "c_name"), allowMissingColumns=True).select("o_orderkey", "k", "c_name")
+
+
 @query("join_interval", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey BETWEEN s_suppkey * 17 AND s_suppkey * 17 + 30")
 def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 17).alias("lo"), (F.col("s_suppkey") * 17 + 30).alias("hi"))
@@ -128,6 +142,22 @@ def json_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(scalar.json_contains(F.col("props"), {"k": 7})).select("event_id")
 
 
+@query(
+    "json_operators",
+    """SELECT event_id, list_has_all(json_keys(j), ['k', 'm']) AS every, list_has_any(json_keys(j), ['q', 'm']) AS some, json_exists(j, '$.n.x') AS path, CAST(json_extract_string(j, '$.n.x') AS INT) AS x, 2 AS y
+    FROM (SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || CASE WHEN event_id % 2 = 0 THEN ',"m":null' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '}' ELSE ',"n":{"x":' || event_id % 7 || ',"y":2}}' END AS j FROM events) WHERE event_id % 3 > 0""",
+)
+def json_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, k = table(spark, sf_dir, "events").where("event_id % 3 > 0"), F.col("event_id")
+    j = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.when(k % 2 == 0, ',"m":null').otherwise(""), F.lit(',"n":{"x":'), (k % 7).cast("string"), F.lit(',"y":2}}'))
+    made = e.select("event_id", j.alias("j"))
+    left = F.get_json_object(scalar.json_without_path("j", ["n", "x"]), "$.n.y").cast("int")
+    return made.select(
+        "event_id", scalar.json_has_all(F.col("j"), ["k", "m"]).alias("every"), scalar.json_has_any(F.col("j"), ["q", "m"]).alias("some"), scalar.json_path_exists(F.col("j"), "$.n.x").alias("path"),
+        F.get_json_object("j", "$.n.x").cast("int").alias("x"), left.alias("y"),
+    )
+
+
 @query("range_operators", "SELECT s_suppkey, (s_acctbal >= 0 AND s_acctbal < 5000) AS inside, NOT (s_acctbal + 100 <= 1000 OR s_acctbal >= 3000) AS over FROM supplier")
 def range_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
@@ -226,31 +256,37 @@ def dml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("dml_returning", "SELECT s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_nationkey = 3 AND s_acctbal <> 0")
+@query("dml_returning", "SELECT s_suppkey, s_acctbal * 2 AS s_acctbal FROM supplier WHERE s_nationkey = 3")
 def dml_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "supplier")
-    return dml.changed(old, dml.update(old, F.col("s_nationkey") == 3, {"s_acctbal": F.col("s_acctbal") * 2})).select("s_suppkey", "s_acctbal")
+    return dml.update_returning(table(spark, sf_dir, "supplier"), F.col("s_nationkey") == 3, {"s_acctbal": F.col("s_acctbal") * 2})[1].select("s_suppkey", "s_acctbal")
+
+
+@query("dml_delete_returning", "SELECT 'gone' AS kind, s_suppkey FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'left', s_suppkey FROM supplier WHERE NOT coalesce(s_acctbal < 0, false)")
+def dml_delete_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, gone = dml.delete_returning(table(spark, sf_dir, "supplier"), F.col("s_acctbal") < 0)
+    return gone.select(F.lit("gone").alias("kind"), "s_suppkey").unionByName(left.select(F.lit("left").alias("kind"), "s_suppkey"))
 
 
 # graphs and recursion
-_EDGES = "(SELECT c_custkey AS src, (c_custkey * 7 + c_nationkey) % 1500 AS dst FROM customer UNION ALL SELECT c_custkey, (c_custkey * 3 + 1) % 1500 FROM customer)"
+_EDGES = "(SELECT c_custkey AS src, (c_custkey * 7 + c_nationkey) % n AS dst FROM customer, (SELECT count(*) AS n FROM customer) UNION ALL SELECT c_custkey, (c_custkey * 3 + 1) % n FROM customer, (SELECT count(*) AS n FROM customer))"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two edges from each customer, so that most are reached in a few hops."""
+    """Two edges from each customer to others, so that most are reached in a few hops."""
     c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    one = c.select(key.alias("src"), ((key * 7 + F.col("c_nationkey")) % 1500).alias("dst"))
-    return one.unionByName(c.select(key.alias("src"), ((key * 3 + 1) % 1500).alias("dst")))
+    n = c.count()
+    one = c.select(key.alias("src"), ((key * 7 + F.col("c_nationkey")) % n).alias("dst"))
+    return one.unionByName(c.select(key.alias("src"), ((key * 3 + 1) % n).alias("dst")))
 
 
 @query(
     "graph_hierarchy",
-    """WITH RECURSIVE h(node, root, level, path) AS (SELECT p_partkey, p_partkey, 1, [p_partkey] FROM part WHERE p_partkey = 1 UNION ALL
+    """WITH RECURSIVE h(node, root, level, path) AS (SELECT p_partkey, p_partkey, 1, [p_partkey] FROM part WHERE p_partkey <= 2 UNION ALL
     SELECT p.p_partkey, h.root, h.level + 1, list_append(h.path, p.p_partkey) FROM part p JOIN h ON p.p_partkey // 3 = h.node AND p.p_partkey > 2) SELECT node, root, level, array_to_string(path, '/') AS path FROM h""",
 )
 def graph_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 2, F.expr("p_partkey div 3")).alias("parent"))
-    return graph.hierarchy(p, "id", "parent", p.where("id = 1")).select("node", "root", "level", F.array_join("path", "/").alias("path"))
+    return graph.hierarchy(p, "id", "parent", p.where("parent IS NULL")).select("node", "root", "level", F.array_join("path", "/").alias("path"))
 
 
 @query("graph_reachable", f"WITH RECURSIVE r(source, node, hops) AS (SELECT 1::BIGINT, 1::BIGINT, 0::BIGINT UNION SELECT source, e.dst, hops + 1 FROM r JOIN {_EDGES} e ON r.node = e.src WHERE hops < 30) SELECT source, node, min(hops) AS hops FROM r GROUP BY source, node")
@@ -283,6 +319,41 @@ def graph_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.expr("c_id div 3").alias("c_id"), F.expr("(s_id - 1) div 3").alias("s_id"))
 
 
+_TREE = """WITH RECURSIVE h(node, level, path) AS (SELECT p_partkey, 1, [p_partkey] FROM part WHERE p_partkey <= 2 UNION ALL
+    SELECT p.p_partkey, h.level + 1, list_append(h.path, p.p_partkey) FROM part p JOIN h ON p.p_partkey // 3 = h.node AND p.p_partkey > 2)"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 2, F.expr("p_partkey div 3")).alias("parent"))
+    return graph.hierarchy(p, "id", "parent", p.where("parent IS NULL"))
+
+
+@query("cte_search_depth_first", f"{_TREE} SELECT node, level, lag(node) OVER (ORDER BY path) AS before FROM h")
+def cte_search_depth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.search_order(_tree(spark, sf_dir), "depth")
+    return found.select("node", F.col("level").cast("int").alias("level"), F.lag("node").over(Window.orderBy("search_order")).alias("before"))
+
+
+@query("cte_search_breadth_first", f"{_TREE} SELECT node, lag(node) OVER (ORDER BY level, node) AS before FROM h")
+def cte_search_breadth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.search_order(_tree(spark, sf_dir), "breadth").select("node", F.lag("node").over(Window.orderBy("search_order")).alias("before"))
+
+
+@query("connect_by_isleaf", f"{_TREE} SELECT node, NOT EXISTS (SELECT 1 FROM part WHERE p_partkey > 2 AND p_partkey // 3 = node) AS is_leaf FROM h")
+def connect_by_isleaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.leaves(_tree(spark, sf_dir)).select("node", "is_leaf")
+
+
+@query(
+    "cte_cycle",
+    """WITH RECURSIVE e AS (SELECT n_nationkey AS id, (n_nationkey * 2 + 1) % 25 AS parent FROM nation), h(node, level, path, is_cycle) AS (SELECT id, 1, [id], false FROM e WHERE id % 5 = 0 UNION ALL
+    SELECT e.id, h.level + 1, list_append(h.path, e.id), list_contains(h.path, e.id) FROM e JOIN h ON e.parent = h.node WHERE NOT h.is_cycle) SELECT node, level, array_to_string(path, '/') AS path, is_cycle FROM h""",
+)
+def cte_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("parent"))
+    return graph.hierarchy(e, "id", "parent", e.where("id % 5 = 0")).select("node", "level", F.array_join("path", "/").alias("path"), "is_cycle")
+
+
 # time series
 @query("ts_time_bucket", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS b, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def ts_time_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,6 +498,59 @@ def fts_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+_H = "h AS (SELECT id, len(w) AS l, term, len(list_filter(w, lambda x: x = term)) AS tf FROM t, (VALUES ('the'), ('thing'), ('que')) q(term))"
+
+
+@query("fts_tf_idf", f"WITH {_TERMS}, {_H}, z AS (SELECT count(*) AS n FROM t), d AS (SELECT term, count(*) AS df FROM h WHERE tf > 0 GROUP BY term) SELECT id, round(sum(tf / l * ln(n / df)), 6) AS score FROM h JOIN d USING (term), z WHERE tf > 0 GROUP BY id")
+def fts_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "thing", "que"]).select("id", F.round("score", 6).alias("score"))
+
+
+@query("fts_term_frequency", f"WITH {_TERMS}, {_H} SELECT id, round(sum(tf) / max(l), 6) AS score FROM h WHERE tf > 0 GROUP BY id")
+def fts_term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.term_frequency(table(spark, sf_dir, "documents"), "doc_id", "text", ["the", "thing", "que"]).select("id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "fts_proximity",
+    rf"""WITH {_TERMS}, p AS (SELECT id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM t), k AS (SELECT *, lag(x) OVER w AS before, lag(i) OVER w AS j FROM p WHERE x IN ('the', 'of') WINDOW w AS (PARTITION BY id ORDER BY i))
+    SELECT doc_id AS id, CAST(d AS INT) AS d FROM documents LEFT JOIN (SELECT id, min(i - j) AS d FROM k WHERE before <> x GROUP BY id) ON id = doc_id""",
+)
+def fts_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), search.proximity(F.col("text"), "the", "of").alias("d"))
+
+
+@query("fts_index_search", f"WITH {_BM25} SELECT id, round(score, 5) AS score FROM b")
+def fts_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written once, sorted by term inside its files, and then searched without the texts."""
+    d, path = table(spark, sf_dir, "documents"), files.shared_path(spark)
+    search.inverted_index(d, "doc_id", "text").sortWithinPartitions("term").write.parquet(path)
+    index = spark.read.parquet(path)
+    n, average = d.count(), index.groupBy("id").agg(F.max("length").alias("l")).agg(F.sum("l")).first()[0]
+    return search.search_index(index, ["the", "thing", "que"], n, average / n).select("id", F.round("score", 5).alias("score"))
+
+
+@query("fts_index_search_and", f"WITH {_TERMS} SELECT id FROM t WHERE list_has_all(w, ['the', 'of'])")
+def fts_index_search_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return search.search_index(index, ["the", "of"], 1, 1.0, "and").select("id")
+
+
+@query("fts_match_or", r"SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['edge', 'que'])")
+def fts_match_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(search.fts_match(F.col("text"), ["edge", "que"], "or")).select("doc_id")
+
+
+@query(
+    "trigram_join",
+    """WITH p AS (SELECT DISTINCT p_name AS name, '  ' || lower(p_name) || ' ' AS s FROM part), g AS (SELECT name, list_distinct(list_transform(range(1, CAST(length(s) - 1 AS BIGINT)), lambda i: substring(s, i, 3))) AS t FROM p)
+    SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 6) AS sim FROM g a JOIN g b ON a.name < b.name WHERE len(list_intersect(a.t, b.t)) >= 0.4 * len(list_distinct(a.t || b.t))""",
+)
+def trigram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return search.trigram_join(p, p, "p_name", "p_name", 0.4).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 @query(
     "trigram_similarity",
     """WITH p AS (SELECT DISTINCT p_name AS name, '  ' || lower(p_name) || ' ' AS s FROM part), g AS (SELECT name, list_distinct(list_transform(range(1, CAST(length(s) - 1 AS BIGINT)), lambda i: substring(s, i, 3))) AS t FROM p)
@@ -551,6 +675,36 @@ for _name, _text, _sql, _tables in (
     query(_name, _sql or _text)(_translated(_text, *_tables))
 
 
+for _name, _text, _sql, _tables in (
+    (
+        "dialect_strings", "SELECT n_nationkey, strpos(n_name, '_') AS a, stuff(n_name, 2, 3, 'X') AS b, patindex('%I_N%', n_name) AS c, replicate(n_name, 2) AS d, starts_with(n_name, 'NATION_1') AS e, mid(n_name, 2, 3) AS f, space(2) AS g FROM nation",
+        "SELECT n_nationkey, CAST(strpos(n_name, '_') AS INT) AS a, n_name[1:1] || 'X' || n_name[5:] AS b, CAST(CASE WHEN n_name LIKE '%I_N%' THEN 4 ELSE 0 END AS INT) AS c, repeat(n_name, 2) AS d, starts_with(n_name, 'NATION_1') AS e, substring(n_name, 2, 3) AS f, '  ' AS g FROM nation", ("nation",),
+    ),
+    (
+        "dialect_dates", "SELECT o_orderkey, eomonth(o_orderdate) AS a, makedate(1995, 60) AS b, datefromparts(1995, 3, 4) AS c, str_to_date('05/06/1996', '%d/%m/%Y') = TIMESTAMP'1996-06-05' AS d FROM orders",
+        "SELECT o_orderkey, last_day(o_orderdate) AS a, DATE '1995-03-01' AS b, DATE '1995-03-04' AS c, true AS d FROM orders", ("orders",),
+    ),
+    (
+        "dialect_json", "SELECT event_id, json_value(json_set(props, '$.z', event_id), '$.z') AS a, json_value(json_remove(props, '$.k'), '$.k') AS b, json_value(json_insert(props, '$.k', 0), '$.k') AS c, json_length(json_object('p', 1, 'q', 2)) AS d, jsonb_typeof(props) AS e FROM events",
+        "SELECT event_id, CAST(event_id AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, json_extract_string(props, '$.k') AS c, 2::INT AS d, 'object' AS e FROM events", ("events",),
+    ),
+    (
+        "dialect_arrays", "SELECT n_nationkey, array_length(string_to_array(n_name, '_'), 1) AS a, array_to_string(regexp_match(n_name, '([A-Z]+)_([0-9]+)'), '/') AS b, array_positions(string_to_array(n_name, 'N'), '')[0] AS c, num_nulls(n_name, NULL) AS d FROM nation",
+        "SELECT n_nationkey, len(string_split(n_name, '_'))::INT AS a, regexp_extract(n_name, '([A-Z]+)_([0-9]+)', 1) || '/' || regexp_extract(n_name, '([A-Z]+)_([0-9]+)', 2) AS b, list_position(string_split(n_name, 'N'), '')::INT AS c, 1::INT AS d FROM nation", ("nation",),
+    ),
+    (
+        "dialect_aggregates", "SELECT n_regionkey, count_big(*) AS a, round(stdev(n_nationkey), 6) AS b, round(varp(n_nationkey), 6) AS c FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, count(*) AS a, round(stddev_samp(n_nationkey), 6) AS b, round(var_pop(n_nationkey), 6) AS c FROM nation GROUP BY n_regionkey", ("nation",),
+    ),
+    (
+        "dialect_vectors", "SELECT vec_id, vector_dims(embedding) AS a, round(vector_norm(embedding), 4) AS b, round(l2_distance(embedding, embedding), 4) AS c FROM embeddings",
+        "SELECT vec_id, len(embedding)::INT AS a, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS b, 0.0::DOUBLE AS c FROM embeddings", ("embeddings",),
+    ),
+    ("sql_fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 12 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12", ("orders",)),
+):
+    query(_name, _sql)(_translated(_text, *_tables))
+
+
 # user functions
 @query("user_sql_function", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS size FROM orders")
 def user_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "sub_derived_nested": "SELECT y, n FROM (SELECT y, count(*) AS n FROM (SELECT CAST(extract(year FROM o_orderdate) AS INT) AS y FROM orders) a GROUP BY y) b WHERE n > 10",
     "cte_chain": "WITH o AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), r AS (SELECT o_custkey, t, rank() OVER (ORDER BY t DESC, o_custkey) AS k FROM o) SELECT o_custkey, round(t, 2) AS t FROM r WHERE k <= 10",
     "cte_recursive_sequence": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t",
-    "cte_recursive_hierarchy": ("WITH RECURSIVE h(id, lvl, path) AS (SELECT CAST(1 AS BIGINT), 1, CAST('1' AS STRING) UNION ALL SELECT c.c_custkey, h.lvl + 1, concat(h.path, '/', CAST(c.c_custkey AS STRING)) FROM customer c JOIN h ON c.c_custkey div 2 = h.id AND c.c_custkey > 1 WHERE h.lvl < 8) SELECT id, lvl, path FROM h", "WITH RECURSIVE h(id, lvl, path) AS (SELECT CAST(1 AS BIGINT), 1, CAST('1' AS VARCHAR) UNION ALL SELECT c.c_custkey, h.lvl + 1, concat(h.path, '/', CAST(c.c_custkey AS VARCHAR)) FROM customer c JOIN h ON c.c_custkey // 2 = h.id AND c.c_custkey > 1 WHERE h.lvl < 8) SELECT id, lvl, path FROM h"),
+    "cte_recursive_hierarchy": ("WITH RECURSIVE h(id, lvl, path) AS (SELECT CAST(1 AS BIGINT), 1, CAST('1' AS STRING) UNION ALL SELECT c.c_custkey, h.lvl + 1, concat(h.path, '/', CAST(c.c_custkey AS STRING)) FROM customer c JOIN h ON c.c_custkey div 2 = h.id AND c.c_custkey > 1) SELECT id, lvl, path FROM h", "WITH RECURSIVE h(id, lvl, path) AS (SELECT CAST(1 AS BIGINT), 1, CAST('1' AS VARCHAR) UNION ALL SELECT c.c_custkey, h.lvl + 1, concat(h.path, '/', CAST(c.c_custkey AS VARCHAR)) FROM customer c JOIN h ON c.c_custkey // 2 = h.id AND c.c_custkey > 1) SELECT id, lvl, path FROM h"),
     # table functions
     "unnest_array": ("SELECT n_nationkey, e FROM nation LATERAL VIEW explode(split(n_name, 'A')) t AS e", "SELECT n_nationkey, unnest(string_split(n_name, 'A')) AS e FROM nation"),
     "unnest_ordinality": ("SELECT n_nationkey, CAST(p + 1 AS BIGINT) AS ord, e FROM nation LATERAL VIEW posexplode(split(n_name, 'A')) t AS p, e", "SELECT n_nationkey, ord, e FROM nation, LATERAL (SELECT unnest(string_split(n_name, 'A')) AS e, generate_subscripts(string_split(n_name, 'A'), 1) AS ord)"),

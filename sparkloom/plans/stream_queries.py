@@ -31,6 +31,34 @@ def stream_append_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(windows.drain(windows.tumbling(windows.source(spark, sf_dir), "ts", "1 day", "1 hour", [])), "start", "stop")
 
 
+_LATE = "(SELECT *, CASE event_id % 10 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS part FROM events)"
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH e AS {_LATE}, m AS (SELECT max(ts) - INTERVAL 5 DAY AS mark FROM e WHERE part = 0)
+    SELECT start, start + INTERVAL 1 DAY AS stop, count(*) AS n, round(sum(value), 4) AS v FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, part, value FROM e), m WHERE part < 2 OR start + INTERVAL 1 DAY > mark
+    GROUP BY start, mark HAVING start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 5 DAY FROM e)""",
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: a tenth of the events comes two batches after most others, when the first batch's watermark is in
+    force, and what of it belongs to windows closed by that is dropped."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = windows.in_batches([e.where("event_id % 10 > 1"), e.where("event_id % 10 = 1"), e.where("event_id % 10 = 0")])
+    return _plain(windows.drain(windows.tumbling(stream, "ts", "1 day", "5 days", [])), "start", "stop")
+
+
+@query(
+    "stream_top_of_each",
+    "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INT) AS rank FROM events QUALIFY rank <= 3",
+)
+def stream_top_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROW_NUMBER() <= 3 over a stream in two batches: each key's best rows are its state."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = windows.in_batches([e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")])
+    return windows.drain(windows.top_of_each(stream, ["user_id"], [("value", False), ("event_id", True)], ["event_id"], 3), "complete").select("user_id", "event_id", "rank")
+
+
 @query(
     "stream_sessions",
     """WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

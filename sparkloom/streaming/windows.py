@@ -22,6 +22,32 @@ def source(spark: SparkSession, sf_dir: str, name: str = "events", ts: str = "ts
     return stream.parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
+def in_batches(parts: list[DataFrame]) -> DataFrame:
+    """A stream that gives each of the parts as one micro-batch, in their order; they are written to the shared folder."""
+    spark = parts[0].sparkSession
+    at = f"{shared_folder(spark)}-parts"
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{at}/part={k}")
+    files = max(len(spark.read.parquet(f"{at}/part={k}").inputFiles()) for k in range(len(parts)))
+    if any(len(spark.read.parquet(f"{at}/part={k}").inputFiles()) != files for k in range(len(parts))):
+        for k, part in enumerate(parts):
+            part.coalesce(1).write.mode("overwrite").parquet(f"{at}/part={k}")
+        files = 1
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{at}/part=*")
+
+
+def top_of_each(stream: DataFrame, keys: list[str], order: list[tuple[str, bool]], names: list[str], n: int) -> DataFrame:
+    """(keys, names, rank) of each key's first n rows, as ROW_NUMBER() <= n over the stream so far gives (complete mode).
+
+    order holds (numeric column, ascending) and ends with a unique one. A key's rows are sorted in its aggregate, so they
+    have to fit into one task.
+    """
+    parts = [(F.col(c) if up else -F.col(c)).alias(f"_o{k}") for k, (c, up) in enumerate(order)]
+    rows = F.slice(F.sort_array(F.collect_list(F.struct(*parts, *names))), 1, n)
+    found = stream.groupBy(*keys).agg(rows.alias("_r")).select(*keys, F.posexplode("_r").alias("_p", "_x"))
+    return found.select(*keys, *[F.col("_x")[c].alias(c) for c in names], (F.col("_p") + 1).alias("rank"))
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that the stream gives for the input that is there now (trigger availableNow).
 

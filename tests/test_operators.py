@@ -62,6 +62,56 @@ def test_overlap_join_gives_each_pair_once(spark):
     assert rows(joins.overlap_join(a, b, ("s", "e"), ("u", "w"), 7), "a", "b") == [(1, 1), (1, 2)]
 
 
+def test_outer_salted_and_band_joins(spark):
+    a = spark.createDataFrame([(1, 10.0), (1, 11.0), (2, 50.0), (None, None)], "k int, x double")
+    b = spark.createDataFrame([(1, 10.5), (3, 90.0), (None, 1.0)], "k int, y double")
+    assert rows(joins.salted_join(a, b, ["k"], how="right"), "k", "x", "y") == [(1, 10.0, 10.5), (1, 11.0, 10.5), (3, None, 90.0), (None, None, 1.0)]
+    assert joins.salted_join(a, b, ["k"], how="full").count() == 6
+    assert rows(joins.salted_join(a, b, ["k"], how="left_anti"), "k") == [(2,), (None,)]
+    right = b.withColumnRenamed("k", "j")
+    assert rows(joins.band_join(a, right, "x", "y", 2.0, how="right"), "x", "y") == [(10.0, 10.5), (11.0, 10.5), (None, 1.0), (None, 90.0)]
+    assert joins.band_join(a, right, "x", "y", 2.0, how="full").count() == 6
+    for f in (lambda: joins.salted_join(a, b, ["k"], how="cross"), lambda: joins.band_join(a, right, "x", "y", 2.0, how="left_anti")):
+        with pytest.raises(ValueError, match="how must be"):
+            f()
+
+
+def test_returning_and_duplicate_matches(spark):
+    t = spark.createDataFrame([(1, 0), (2, 5)], "k int, v int")
+    new, back = dml.update_returning(t, F.col("k") < 3, {"v": F.col("v") * 2})
+    assert rows(back) == [(1, 0), (2, 10)] == rows(new)
+    left, gone = dml.delete_returning(t, F.col("v") > 1)
+    assert (rows(left), rows(gone)) == ([(1, 0)], [(2, 5)])
+    twice = spark.createDataFrame([(2, 7), (2, 8), (3, 1), (3, 2)], "k int, v int")
+    with pytest.raises(Exception, match="two source rows"):
+        dml.merge(t, twice, ["k"], {"v": F.col("s.v")}, insert_new=True).collect()
+    assert rows(dml.merge(t, twice.where("k = 3"), ["k"], {"v": F.col("s.v")}, insert_new=True)) == [(1, 0), (2, 5), (3, 1), (3, 2)]
+
+
+def test_knn_join_in_blocks(spark, monkeypatch):
+    e = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(40)], "i int, v array<double>")
+    want = rows(search.knn_join(e.where("i < 9"), e, "i", "v", "i", "v", 2), "query", "neighbour", "rank")
+    monkeypatch.setattr(search, "BROADCAST_NUMBERS", 4)
+    assert rows(search.knn_join(e.where("i < 9"), e, "i", "v", "i", "v", 2), "query", "neighbour", "rank") == want and len(want) == 18
+
+
+def test_proximity(spark):
+    df = spark.createDataFrame([("a x x b a",), ("a a",), (None,)], "t string")
+    assert [r[0] for r in df.select(search.proximity(F.col("t"), "a", "b")).collect()] == [1, None, None]
+
+
+def test_without_a_shared_folder_a_cluster_is_refused(spark):
+    from types import SimpleNamespace
+
+    from sparkloom.session import shared_folder
+
+    nowhere = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(getConf=lambda: {}, master="spark://host", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: nowhere)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+    assert shared_folder(spark).startswith("file:")
+
+
 def test_dml_conditions_that_are_null_leave_rows_alone(spark):
     t = spark.createDataFrame([(1, None), (2, 5)], "k int, v int")
     assert rows(dml.delete(t, F.col("v") > 1)) == [(1, None)]
@@ -127,7 +177,8 @@ def test_entry_point_without_the_corpus_operators(tmp_path):
 import sys, shutil
 shutil.copytree({str(root)!r}, {str(tmp_path / "repo")!r}, ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
 sys.path.insert(0, {str(tmp_path / "repo")!r})
-import __spark_entry__ as e
+import __spark_entry__ as e, os
+os.makedirs({str(tmp_path / "repo/sparkloom/llm/__pycache__")!r})
 assert not any(k.startswith("op") or k == "pipeline" for k in e.queries()), list(e.queries())
 assert set(e.oracle_sql()) <= set(e.queries())
 """
