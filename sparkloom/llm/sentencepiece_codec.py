@@ -161,7 +161,7 @@ class Model:
         step starts. Places that a piece from a later character can still reach are live. Once the window is twice the longest
         piece long, the live ways are followed back, and what they share leaves it; it grows only while they share nothing.
         """
-        size, root, longest, scores = len(text), self.trie, self.longest, self.scores
+        size, root, longest, scores, ids = len(text), self.trie, self.longest, self.scores, self.id_of
         ranked, known, fits = self.kind == UNIGRAM, self._beside.get, self.fits
         room = 2 * longest
         step, before, score = [-1] * (room + longest + 2), [0] * (room + longest + 2), [0.0] * (room + longest + 2)
@@ -187,13 +187,12 @@ class Model:
                             ok = fits(left, found)
                         if ok:
                             step[end], before[end] = found, r
-                char = text[start]
-                if char not in self.id_of:
-                    other = -2 - ord(char)
+                if (ranked or step[r + 1] == -1) and text[start] not in ids:
+                    other = -2 - ord(text[start])
                     if ranked:
                         if step[r + 1] == -1 or value + self.unknown_score > score[r + 1]:
                             step[r + 1], before[r + 1], score[r + 1] = other, r, value + self.unknown_score
-                    elif step[r + 1] == -1 and (not start or self.beside(left, other)):
+                    elif not start or self.beside(left, other):
                         step[r + 1], before[r + 1] = other, r
             r += 1
             if r >= room and start + 1 < size:

@@ -213,24 +213,30 @@ def test_suffix_order():
     assert texts == sorted(texts)
 
 
-def brute_units(texts, least=line_dedup.UNIT_WORDS):
-    """Places of every unit of each text, by its words, from a plain reading of the definition."""
+def brute_runs(t, found, least, line):
+    """(first word, last word) of every unit of a text whose words stand at the places found, from a plain reading of the definition."""
+    gap = lambda k: t[found[k][0] : found[k + 1][0] if k + 1 < len(found) else len(t)]
+    ends = [k for k in range(len(found)) if re.search(r"[.!?\n]", gap(k)) or k + 1 == len(found)]
+    starts = [0, *[e + 1 for e in ends[:-1]]] if ends else []
+    pairs = set()
+    for s in starts:
+        e = next((e for e in ends if e + 1 - s >= least), None)
+        if e is not None:
+            pairs.add((s, e))
+    for e in ends:
+        s = next((s for s in reversed(starts) if s <= e and e + 1 - s >= least), None)
+        if s is not None:
+            pairs.add((s, e))
+    lines = [k for k in range(len(found)) if "\n" in gap(k) or k + 1 == len(found)]
+    pairs |= {(s, e) for s, e in zip([0, *[e + 1 for e in lines[:-1]]], lines, strict=False) if e + 1 - s >= line}
+    return sorted(pairs)
+
+
+def brute_units(texts, least=line_dedup.UNIT_WORDS, line=line_dedup.LINE_WORDS):
+    """Places of every unit of each text, by its words."""
     for t in texts:
         found = [(m.start(), m.end()) for m in WORD.finditer(t)]
-        ends = [k for k, (a, b) in enumerate(found) if re.search(r"[.!?\n]", t[a : found[k + 1][0] if k + 1 < len(found) else len(t)]) or k + 1 == len(found)]
-        starts = [0, *[e + 1 for e in ends[:-1]]] if ends else []
-        pairs = set()
-        for s in starts:
-            e = next((e for e in ends if e + 1 - s >= least), None)
-            if e is not None:
-                pairs.add((s, e))
-        for e in ends:
-            s = next((s for s in reversed(starts) if s <= e and e + 1 - s >= least), None)
-            if s is not None:
-                pairs.add((s, e))
-        lines = [k for k, (a, b) in enumerate(found) if "\n" in t[a : found[k + 1][0] if k + 1 < len(found) else len(t)] or k + 1 == len(found)]
-        pairs |= set(zip([0, *[e + 1 for e in lines[:-1]]], lines, strict=False))
-        yield [(found[s][0], found[e][1], tuple(t[a:b].translate(LOWER) for a, b in found[s : e + 1])) for s, e in sorted(pairs)]
+        yield [(found[s][0], found[e][1], tuple(t[a:b].translate(LOWER) for a, b in found[s : e + 1])) for s, e in brute_runs(t, found, least, line)]
 
 
 def test_line_dedup(docs, texts, empty):
@@ -594,6 +600,144 @@ def test_pipeline_stages(spark, texts, docs):
     assert 0 in {r.doc_id for r in left} and not {1, 2, 3} - {r.doc_id for r in left}
 
 
+def brute_cleaned(rows):
+    """What the quality rules keep of (id, text, host) rows: id to text without frequent lines."""
+    same = lambda x: "".join(words(x)).lower()
+    lines = {i: [x for x in (t or "").split("\n") if words(x)] for i, t, _ in rows}
+    hosts, seen = Counter(h or "" for _, _, h in rows), Counter((h or "", x) for i, _, h in rows for x in {same(y) for y in lines[i]})
+    out = {}
+    for i, t, h in rows:
+        gone = {x for x in map(same, lines[i]) if seen[h or "", x] > 10 and seen[h or "", x] > 0.1 * hosts[h or ""]}
+        w = words(t)
+        runs = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {j for k in range(len(w) - 7) if runs[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        left = len(w) - sum(len(words(x)) for x in lines[i] if same(x) in gone)
+        if len(w) >= 20 and 100 * len(covered) <= 30 * len(w) and left >= 10 and left >= 0.3 * len(w):
+            out[i] = "\n".join(x for x in t.split("\n") if same(x) not in gone) if gone else t
+    return out
+
+
+def brute_kept_words(texts, least, line, length):
+    """id to the words that stay of texts in the order of their ids: units and runs of `length` words that occur earlier go."""
+    seen, runs, out = {}, {}, {}
+    for i, t in sorted(texts.items()):
+        found = [(m.start(), m.end()) for m in WORD.finditer(t)]
+        w = [t[a:b].translate(LOWER) for a, b in found]
+        gone = set()
+        for s, e in brute_runs(t, found, least, line):
+            if seen.setdefault(tuple(w[s : e + 1]), (i, s)) != (i, s):
+                gone |= set(range(s, e + 1))
+        for k in range(len(w) - length + 1):
+            d, at = runs.setdefault(tuple(w[k : k + length]), (i, k))
+            if (d, at) != (i, k):
+                gone |= set(range(max(k, at + length) if d == i else k, k + length))
+        out[i] = [t[a:b] for k, (a, b) in enumerate(found) if k not in gone]
+    return out
+
+
+def tokens_of(text):
+    return [x for x in re.split("[" + re.escape(" \t\n\x0b\x0c\r" + decontamination.PUNCTUATION) + "]", (text or "").lower()) if x]
+
+
+def brute_leaks(texts, items):
+    """Ids of the texts with an overlap: each has two words in a row in place, so only such placements are tried."""
+    index = {}
+    for j, w in enumerate(items):
+        for q in range(len(w) - 1) if len(w) >= 8 else ():
+            index.setdefault((w[q], w[q + 1]), []).append((j, q))
+    bad = set()
+    for i, t in texts.items():
+        d = tokens_of(t)
+        for j, s in {(j, p - q) for p in range(len(d) - 1) for j, q in index.get((d[p], d[p + 1]), ())}:
+            w = items[j]
+            n, flags = min(len(w), 24), [0 <= s + k < len(d) and d[s + k] == x for k, x in enumerate(w)]
+            if max(sum(flags[k : k + n]) for k in range(len(w) - n + 1)) >= max(8, 0.6 * n):
+                bad.add(i)
+    return bad
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage over all documents against plain Python, each on what the stage before gave."""
+    folder = "/root/testdata/sf0.01"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 500").cache()
+    texts_of = lambda df: {r.doc_id: r.text for r in df.collect()}
+    kept = stages["quality_rules"](spark, docs, folder).cache()
+    texts = texts_of(kept)
+    assert texts == brute_cleaned([(r.doc_id, r.text, r.source) for r in docs.collect()]) and 100 < len(texts) < docs.count()
+    single = stages["ngram_jaccard_join"](spark, kept, folder).cache()
+    firsts = set(components_of({i: shingles(t) for i, t in texts.items()}).values())
+    assert texts_of(single) == {i: texts[i] for i in firsts} and len(firsts) < len(texts)
+    fewer = stages["substring_dedup"](spark, single, folder).cache()
+    want = brute_kept_words(texts_of(single), line_dedup.UNIT_WORDS, line_dedup.LONG_LINE_WORDS, line_dedup.PASSAGE_WORDS)
+    got = texts_of(fewer)
+    assert {i: words(t) for i, t in got.items()} == want and any(len(words(texts[i])) > len(w) for i, w in want.items())
+    clean = stages["benchmark_decontamination"](spark, fewer, folder).cache()
+    bad = brute_leaks(got, [tokens_of(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()])
+    assert texts_of(clean) == {i: t for i, t in got.items() if i not in bad} and bad
+    known = sentencepiece.SentencePieceProcessor(model_file=str(tokenizer_path("piece_bpe_32k.model")))
+    for r in stages["sentencepiece"](spark, clean, folder).collect():
+        assert r.ids == known.encode(r.text) and r.n_ids == len(r.ids) and r.round_trip
+
+
+def test_pipeline_stages_take_empty_tables_and_repeated_rows(spark):
+    rows = [(1, "word " * 3 + " ".join(f"a{k}" for k in range(40)), "en", "s", 1)] * 2 + [(2, None, None, None, None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        left = sorted(r.doc_id for r in stage(spark, docs, SMALL).collect())
+        assert left == ([1, 1] if name == "quality_rules" else [1, 1, 2, 3])
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """Texts over the bytes of a chunk, one of them twice, through the operators that work on chunks."""
+    random.seed(21)
+    long = " ".join(f"w{random.randint(0, 10**8)}" for _ in range(170_000))
+    assert len(long) > 1_500_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, "x " + long[:1000]), (4, "short")], "doc_id long, text string").repartition(2)
+    assert {r.doc_id: len(r.kept_text) for r in line_dedup.remove_repeated_units(df, passage=50).collect()}.items() >= {1: len(long), 2: 0, 4: 5}.items()
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: len(r.kept) for r in suffix_dedup.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 2, 4: 5}
+    want = dict(zip((1, 2, 3, 4), brute_losses([(r.doc_id, r.text) for r in df.orderBy("doc_id").collect()], {2}), strict=True))
+    assert all(close(r, want[r.doc_id]) for r in lm_scoring.cross_entropy_difference(df, df.where("doc_id = 2")).collect())
+    assert {r.doc_id: r.round_trip for r in corpus_pipeline.tokens(spark, df.selectExpr("*", "'en' AS lang", "'s' AS source"), SMALL).collect()} == dict.fromkeys((1, 2, 3, 4), True)
+
+
+def brute_score(rules, text):
+    """A text's probability from the fitted rules, worked out in plain Python."""
+    t = text or ""
+    w = words(t)
+    chars = sum(map(len, t))
+    share = lambda a, b: a / b if b > 0 else 0.0
+    figures = {
+        "n_words": len(w), "word_length": share(chars, len(w)), "distinct_share": share(len(set(w)), len(w)), "upper_share": share(sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t), chars),
+        "digit_share": share(sum(c in "0123456789" for c in t), chars), "symbol_share": share(sum(c in quality_classifier.SYMBOLS for c in t), chars), "exclaim_share": share(t.count("!"), chars),
+        "stop_share": share(t.count("."), len(w)), "line_words": share(len(w), t.count("\n") + 1),
+    }
+    total = rules.intercept
+    for weight, conditions in rules.rules:
+        if all(figures[f] <= cut if sign == "<=" else figures[f] > cut for f, sign, cut in conditions):
+            total += weight
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_scores_against_brute_force(spark, docs, texts):
+    """The compiled column expression gives what the rules say, and repeated documents and labels keep the fit bounded."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rules = quality_classifier.train(known, labels)
+    assert len(rules.rules) > 3
+    rows = known.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    got = quality_classifier.predict(rows, rules).collect()
+    want = [(r.doc_id, brute_score(rules, r.text)) for r in rows.collect()]
+    key = lambda x: (str(x[0]), round(x[1], 9))
+    assert sorted(map(key, ((r.doc_id, r.score) for r in got))) == sorted(map(key, want))
+    assert quality_classifier.train(known.unionByName(known), labels.unionByName(labels)) == rules
+    both = labels.select("doc_id", (1 - labels.quality).alias("quality")).where("doc_id % 2 = 0 AND quality = 0").unionByName(labels.select("doc_id", "quality")).unionByName(labels.selectExpr("doc_id", "CAST(NULL AS INT) AS quality"))
+    assert quality_classifier.train(known, both) == rules
+    assert all(r.predicted == int(r.score >= 0.5) for r in got)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES) == list(range(1, 11))
 
