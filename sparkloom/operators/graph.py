@@ -5,25 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import shared_folder
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Rows written to the session's shared checkpoint folder and read again, so that lineage does not grow by the round."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from sparkloom.session import kept
 
 
 def hierarchy(nodes: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
     """CONNECT BY: (node, root, level, path, is_cycle) from the roots down. A node that is on its own path is reported
     once as a cycle and not followed, so that the levels end by themselves, however deep they are."""
     edges = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    level = _kept(roots.select(F.col(node).alias("node"), F.col(node).alias("root"), F.lit(1).alias("level"), F.array(F.col(node)).alias("path"), F.lit(False).alias("is_cycle")))
+    level = kept(roots.select(F.col(node).alias("node"), F.col(node).alias("root"), F.lit(1).alias("level"), F.array(F.col(node)).alias("path"), F.lit(False).alias("is_cycle")))
     found, depth = level, 1
     while True:
         step = level.where(~F.col("is_cycle")).join(edges, F.col("node") == F.col("_p"))
-        level = _kept(step.select(
+        level = kept(step.select(
             F.col("_n").alias("node"), "root", (F.col("level") + 1).alias("level"),
             F.concat("path", F.array("_n")).alias("path"), F.array_contains("path", F.col("_n")).alias("is_cycle"),
         ))
@@ -31,7 +24,7 @@ def hierarchy(nodes: DataFrame, node: str, parent: str, roots: DataFrame) -> Dat
             return found
         found, depth = found.unionByName(level), depth + 1
         if depth % 32 == 0:  # so that the plan does not grow with the depth
-            found = _kept(found)
+            found = kept(found)
 
 
 def search_order(found: DataFrame, kind: str = "depth", name: str = "search_order") -> DataFrame:
@@ -50,29 +43,29 @@ def leaves(found: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, hops): the fewest hops from each source to every node that it reaches, itself at 0. Cycles end by themselves."""
-    known = _kept(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("hops")).distinct())
+    known = kept(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("hops")).distinct())
     front, depth = known, 0
     links = edges.select("src", "dst").distinct()
     while True:
         step = front.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-        front = _kept(step.join(known.select("source", "node"), ["source", "node"], "left_anti"))
+        front = kept(step.join(known.select("source", "node"), ["source", "node"], "left_anti"))
         if front.isEmpty():
             return known
         known, depth = known.unionByName(front), depth + 1  # each front is written once
         if depth % 32 == 0:
-            known = _kept(known)
+            known = kept(known)
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:
     """(source, node, distance) over non-negative weights; each round relaxes only what became nearer in the last one."""
-    best = _kept(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")).distinct())
+    best = kept(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")).distinct())
     front = best
     while True:
         step = front.join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col(weight)).alias("_d"))
-        front = _kept(step.join(best, ["source", "node"], "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance"))).select("source", "node", F.col("_d").alias("distance")))
+        front = kept(step.join(best, ["source", "node"], "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance"))).select("source", "node", F.col("_d").alias("distance")))
         if front.isEmpty():
             return best
-        best = _kept(best.unionByName(front).groupBy("source", "node").agg(F.min("distance").alias("distance")))
+        best = kept(best.unionByName(front).groupBy("source", "node").agg(F.min("distance").alias("distance")))
 
 
 def match(vertices: DataFrame, edges: DataFrame, pattern: list[tuple[str, dict | None, str, dict | None]], start: tuple[str, dict | None]) -> DataFrame:

@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward", right_suffix: str = "_r") -> DataFrame:
+def asof_join(
+    left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], direction: str = "backward", right_suffix: str = "_r", slices: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Each left row with the nearest right row of the same `by` at or before it (backward) or at or after it (forward).
 
     Both sides are united and each left row takes the last right row before it in one window over `by`: one
     shuffle, a sort, and no pair is ever formed. Of right rows with equal times the one with the greatest values
-    is taken. Left rows without a match keep nulls.
+    is taken. Left rows without a match keep nulls; null keys and times match nothing.
+
+    With hot keys, slices (a function of the time that never falls, such as its day) divides each key: windows then
+    cover a key and slice, and what a slice hands on to later ones comes from one aggregated row a key and slice.
     """
+    forward = direction == "forward"
     payload = F.struct(F.col(on).alias(on), *[F.col(v).alias(v) for v in values])
-    first = 0 if direction == "backward" else 1
     empty = F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType)
     rows = F.struct(*left.columns)
     l_side = left.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col(on).alias("_t"), F.lit(1).alias("_s"), rows.alias("_l"), empty.alias("_p"))
     none = F.lit(None).cast(left.select(rows.alias("l")).schema["l"].dataType)
-    r_side = right.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col(on).alias("_t"), F.lit(0).alias("_s"), none.alias("_l"), payload.alias("_p"))
+    r_side = right.dropna(subset=[*by, on]).select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col(on).alias("_t"), F.lit(0).alias("_s"), none.alias("_l"), payload.alias("_p"))
     keys = [f"_k{i}" for i in range(len(by))]
-    order = [F.col("_t"), F.col("_s"), F.col("_p")] if first == 0 else [F.col("_t").desc(), F.col("_s"), F.col("_p")]
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = l_side.unionByName(r_side).withColumn("_p", F.last("_p", ignorenulls=True).over(window)).where("_l IS NOT NULL")
+    both = l_side.unionByName(r_side)
+    if slices is not None:
+        both = both.withColumn("_b", slices(F.col("_t")))
+    inside = keys if slices is None else [*keys, "_b"]
+    order = [F.col("_t").desc() if forward else F.col("_t"), F.col("_s"), F.col("_p")]
+    window = Window.partitionBy(*inside).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_p", F.last("_p", ignorenulls=True).over(window)).where("_l IS NOT NULL")
+    if slices is not None:
+        # the payload starts with the time: the greatest of a slice is its last; forward the first time's greatest is wanted
+        ends = both.groupBy(*inside, "_t").agg(F.max("_p").alias("_p")).groupBy(*inside).agg(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("_t"))).alias("_c")) if forward else both.groupBy(*inside).agg(F.max("_p").alias("_c"))
+        earlier = Window.partitionBy(*keys).orderBy(F.col("_b").desc() if forward else F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        handed = ends.withColumn("_c", F.last("_c", ignorenulls=True).over(earlier)).where("_c IS NOT NULL")
+        found = found.join(handed, inside, "left").withColumn("_p", F.coalesce("_p", "_c"))
+    found = found.withColumn("_p", F.when(F.col("_t").isNotNull(), F.col("_p")))
     return found.select("_l.*", F.col(f"_p.{on}").alias(on + right_suffix), *[F.col(f"_p.{v}").alias(v if v not in left.columns else v + right_suffix) for v in values])
 
 

@@ -41,6 +41,13 @@ def sample(df: DataFrame, percent: float, seed: int) -> DataFrame:
     return df.sample(percent / 100, seed)
 
 
+def sample_by_key(df: DataFrame, key: str, percent: float, seed: int) -> DataFrame:
+    """All rows of about `percent` of the keys, chosen by a digest: the same on every run, layout and engine. Null keys are left out."""
+    limit = min(round(percent / 100 * (1 << 32)), (1 << 32) - 1)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.where(F.col(key).isNotNull() if percent >= 100 else F.substr(digest, F.lit(1), F.lit(8)) < f"{limit:08x}")
+
+
 def row_count(spark: SparkSession, path: str) -> DataFrame:
     """count(*) of Parquet files: no column is read, only row counts of the footers' row groups."""
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar, user
-from sparkloom.operators import dml, graph, joins, rowpattern, search, tables, timeseries, windows
+from sparkloom.operators import dml, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
 from sparkloom.plans import dialect
 from sparkloom.plans.registry import query
-from sparkloom.sources import files
+from sparkloom.sources import files, jdbc
 from sparkloom.sources.tables import register, table
 
 
@@ -728,3 +728,145 @@ for _name, _mean in (("user_aggregate_vectorised", user.geometric_mean), ("user_
 @query("user_table_function", "SELECT n_nationkey, CAST(generate_subscripts(string_split(n_name, '_'), 1) AS INT) AS part, unnest(string_split(n_name, '_')) AS piece FROM nation")
 def user_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user.split_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", "_").select("n_nationkey", "part", "piece")
+
+
+@query(
+    "join_asof_sliced",
+    """SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ts) v ON p.ts >= v.ts""",
+)
+def join_asof_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key for all rows, divided by hours."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.lit(1))
+    views = e.where("event_type = 'view'").select("k", "ts", F.col("event_id").alias("view_id"))
+    hours = lambda t: F.date_trunc("hour", t)
+    return joins.asof_join(e.where("event_type = 'purchase'").select("event_id", "k", "ts"), views, "ts", ["k"], ["view_id"], slices=hours).select("event_id", "view_id")
+
+
+@query(
+    "join_asof_forward",
+    """SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON p.user_id = v.user_id AND p.ts <= v.ts""",
+)
+def join_asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    days = lambda t: F.date_trunc("day", t)
+    return joins.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, "ts", ["user_id"], ["view_id"], "forward", slices=days).select("event_id", "view_id")
+
+
+@query(
+    "idiom_rfm",
+    "SELECT c, CAST(ntile(5) OVER (ORDER BY r, c) AS BIGINT) AS rq, CAST(ntile(5) OVER (ORDER BY f, c) AS BIGINT) AS fq, CAST(ntile(5) OVER (ORDER BY m, c) AS BIGINT) AS mq FROM (SELECT o_custkey AS c, max(o_orderdate) AS r, count(*) AS f, sum(o_totalprice) AS m FROM orders GROUP BY o_custkey) x",
+)
+def idiom_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.max("o_orderdate").alias("r"), F.count(F.lit(1)).alias("f"), F.sum("o_totalprice").alias("m"))
+    for by in ("r", "f", "m"):
+        each = ordering.tiles(each, [F.col(by), F.col("c")], 5, f"{by}q")
+    return each.select("c", "rq", "fq", "mq")
+
+
+@query(
+    "idiom_gaps_and_islands",
+    "SELECT g AS island, min(k) AS lo, max(k) AS hi, count(*) AS n FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') a) b GROUP BY g",
+)
+def idiom_gaps_and_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).distinct()
+    rows = ordering.numbered(k, [F.col("k")], "rn").select("k", (F.col("k") - F.col("rn")).alias("island"))
+    return rows.groupBy("island").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "idiom_missing_sequence",
+    "SELECT k + 1 AS lo, n - 1 AS hi FROM (SELECT k, lead(k) OVER (ORDER BY k) AS n FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a) b WHERE n > k + 1",
+)
+def idiom_missing_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).distinct()
+    return ordering.following(k, [F.col("k")], "k", "n").where(F.col("n") > F.col("k") + 1).select((F.col("k") + 1).alias("lo"), (F.col("n") - 1).alias("hi"))
+
+
+@query("win_running_sum_all", "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM lineitem")
+def win_running_sum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    by = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return ordering.running_sum(li, by, "q").select("l_orderkey", "l_linenumber", "running")
+
+
+def _changed(df: DataFrame, key: str, fresh: int, gone: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the table as it was, its changes, the table as it is): every fresh-th key is inserted, of the others every gone-th deleted."""
+    new, old = df.where(F.col(key) % fresh == 0), df.where(F.col(key) % fresh != 0)
+    leaves = F.col(key) % gone == 0
+    return old, incremental.changes(new, old.where(leaves)), old.where(~leaves).unionByName(new)
+
+
+def _view_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), "o_totalprice")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    o_old, o_changes, _ = _changed(o, "o_orderkey", 5, 7)
+    c_old, c_changes, _ = _changed(c, "k", 4, 11)
+    return o_old.join(c_old, "k"), incremental.delta_join(o_old, o_changes, c_old, c_changes, ["k"])
+
+
+_NOW = "(SELECT * FROM orders JOIN customer ON o_custkey = c_custkey WHERE (o_orderkey % 5 = 0 OR o_orderkey % 7 <> 0) AND (c_custkey % 4 = 0 OR c_custkey % 11 <> 0))"
+
+
+@query("incremental_delta_join", f"SELECT o_orderkey, c_custkey AS k, o_totalprice, c_mktsegment FROM {_NOW}")
+def incremental_delta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored join of two tables that both change: inserts and deletes on either side."""
+    view, signed = _view_changes(spark, sf_dir)
+    return incremental.apply_changes(view, signed)
+
+
+@query("incremental_aggregate", f"SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {_NOW} GROUP BY c_mktsegment")
+def incremental_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view, signed = _view_changes(spark, sf_dir)
+    stored = view.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return incremental.delta_groups(stored, signed, ["c_mktsegment"], {"total": F.col("o_totalprice")}).select("c_mktsegment", "n", F.round("total", 2).alias("total"))
+
+
+@query(
+    "agg_count_min",
+    """WITH c AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), i AS (SELECT unnest([0, 1, 2, 3]) AS i), s AS (SELECT i, ('0x' || substr(md5(CAST(k AS VARCHAR)), i * 8 + 1, 8))::BIGINT % 512 AS cell, sum(n) AS n FROM c, i GROUP BY 1, 2),
+    v AS (SELECT DISTINCT p_partkey AS p, i, ('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), i * 8 + 1, 8))::BIGINT % 512 AS cell FROM part, i)
+    SELECT p, CAST(min(coalesce(n, 0)) AS BIGINT) AS estimate FROM v LEFT JOIN s USING (i, cell) GROUP BY p""",
+)
+def agg_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sketch = sketches.count_min(table(spark, sf_dir, "lineitem"), "l_partkey", 512)
+    return sketches.estimates(sketch, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p")), "p", 512)
+
+
+@query("table_sample_by_key", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE substr(md5('7:' || l_orderkey), 1, 8) < '33333333'")
+def table_sample_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the orders with all their lines, the same ones on every run."""
+    return tables.sample_by_key(table(spark, sf_dir, "lineitem"), "l_orderkey", 20, 7).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query(
+    "dml_update_with_cte",
+    "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) SELECT c_custkey, c_mktsegment, round(CASE WHEN t IS NULL THEN c_acctbal ELSE c_acctbal - t / 1000 END, 4) AS c_acctbal FROM customer LEFT JOIN spent ON o_custkey = c_custkey",
+)
+def dml_update_with_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WITH ... UPDATE ... FROM: the common table expression is the source."""
+    register(spark, sf_dir, "orders")
+    spent = spark.sql("WITH spent AS (SELECT o_custkey AS c_custkey, sum(o_totalprice) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) SELECT * FROM spent")
+    new = dml.merge(table(spark, sf_dir, "customer"), spent, ["c_custkey"], matched_update={"c_acctbal": F.col("t.c_acctbal") - F.col("s.t") / 1000})
+    return new.select("c_custkey", "c_mktsegment", F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
+@query("dml_delete_with_cte", "WITH idle AS (SELECT c_custkey FROM customer WHERE c_acctbal < 2000) SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM idle)")
+def dml_delete_with_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WITH ... DELETE ... USING."""
+    register(spark, sf_dir, "customer")
+    idle = spark.sql("WITH idle AS (SELECT c_custkey FROM customer WHERE c_acctbal < 2000) SELECT c_custkey FROM idle")
+    return dml.delete_using(table(spark, sf_dir, "orders"), idle, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey")
+
+
+@query("scan_federated", "SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey >= 2 GROUP BY n_name")
+def scan_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations lie in another database, which is asked for those of three regions in two ranges of keys. It is the one that
+    comes with Spark, in memory, so this query is for one machine."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url = "jdbc:derby:memory:other;create=true"
+    jdbc.write_remote(table(spark, sf_dir, "nation"), url, "nation", "overwrite", 1)
+    nation = jdbc.remote_table(spark, url, "nation", "n_nationkey", (0, 25), 2).where("n_regionkey >= 2")
+    return table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))

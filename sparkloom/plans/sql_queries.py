@@ -106,7 +106,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "sub_not_exists": "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < 10)",
     "sub_tuple_in": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, max(l_linenumber) FROM lineitem GROUP BY l_orderkey)",
     "sub_derived_nested": "SELECT y, n FROM (SELECT y, count(*) AS n FROM (SELECT CAST(extract(year FROM o_orderdate) AS INT) AS y FROM orders) a GROUP BY y) b WHERE n > 10",
-    "cte_chain": "WITH o AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), r AS (SELECT o_custkey, t, rank() OVER (ORDER BY t DESC, o_custkey) AS k FROM o) SELECT o_custkey, round(t, 2) AS t FROM r WHERE k <= 10",
+    "cte_chain": ("WITH o AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), r AS (SELECT o_custkey, t FROM o ORDER BY t DESC, o_custkey LIMIT 10) SELECT o_custkey, round(t, 2) AS t FROM r", "WITH o AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), r AS (SELECT o_custkey, t, rank() OVER (ORDER BY t DESC, o_custkey) AS k FROM o) SELECT o_custkey, round(t, 2) AS t FROM r WHERE k <= 10"),
     "cte_recursive_sequence": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t",
     "cte_recursive_hierarchy": ("WITH RECURSIVE h(id, lvl, path) AS (SELECT CAST(1 AS BIGINT), 1, CAST('1' AS STRING) UNION ALL SELECT c.c_custkey, h.lvl + 1, concat(h.path, '/', CAST(c.c_custkey AS STRING)) FROM customer c JOIN h ON c.c_custkey div 2 = h.id AND c.c_custkey > 1) SELECT id, lvl, path FROM h", "WITH RECURSIVE h(id, lvl, path) AS (SELECT CAST(1 AS BIGINT), 1, CAST('1' AS VARCHAR) UNION ALL SELECT c.c_custkey, h.lvl + 1, concat(h.path, '/', CAST(c.c_custkey AS VARCHAR)) FROM customer c JOIN h ON c.c_custkey // 2 = h.id AND c.c_custkey > 1) SELECT id, lvl, path FROM h"),
     # table functions
@@ -136,13 +136,16 @@ SQL: dict[str, str | tuple[str, str]] = {
     "tpch_q19": "SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE (p_brand = 'Brand#2' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 25) OR (p_brand = 'Brand#17' AND l_quantity BETWEEN 10 AND 40 AND p_size BETWEEN 1 AND 30)",
     "tpch_q21": "SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey WHERE o_orderstatus = 'F' AND l1.l_shipdate > o_orderdate AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R') GROUP BY s_name",
     "tpch_q22": "SELECT c_mktsegment, count(*) AS numcust, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0.0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') GROUP BY c_mktsegment",
+    # the same with a partsupp derived from the lines: a part of a supplier with all that was sold and its least price
+    "tpch_q2": "WITH ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, sum(l_quantity) AS ps_availqty, min(l_extendedprice / l_quantity) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey), r AS (SELECT ps_partkey, ps_supplycost, s_suppkey, s_name, s_acctbal, n_name FROM ps JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE') SELECT s_acctbal, s_name, n_name, p_partkey FROM part JOIN r ON p_partkey = ps_partkey WHERE p_size <= 15 AND p_type IN ('PROMO', 'SMALL') AND ps_supplycost = (SELECT min(i.ps_supplycost) FROM r i WHERE i.ps_partkey = p_partkey) ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100",
+    "tpch_q11": "WITH ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, sum(l_quantity) AS ps_availqty, min(l_extendedprice / l_quantity) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey), v AS (SELECT ps_partkey, sum(ps_supplycost * ps_availqty) AS v FROM ps JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3' GROUP BY ps_partkey) SELECT ps_partkey, round(v, 2) AS value FROM v WHERE v > (SELECT sum(v) * 0.001 FROM v)",
+    "tpch_q16": "WITH ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, sum(l_quantity) AS ps_availqty, min(l_extendedprice / l_quantity) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM ps JOIN part ON p_partkey = ps_partkey WHERE p_brand <> 'Brand#4' AND p_type NOT LIKE 'PROMO%' AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 AND s_suppkey IS NOT NULL) GROUP BY p_brand, p_type, p_size",
+    "tpch_q20": "WITH ps AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, sum(l_quantity) AS ps_availqty, min(l_extendedprice / l_quantity) AS ps_supplycost FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <= 2 AND s_suppkey IN (SELECT ps_suppkey FROM ps WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%') AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= TIMESTAMP_NTZ '1996-01-01' AND l_shipdate < TIMESTAMP_NTZ '1998-01-01'))",
     # analytical idioms
     "idiom_running_total": "SELECT d, round(sum(t) OVER (ORDER BY d), 2) AS run FROM (SELECT CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS t FROM orders GROUP BY CAST(o_orderdate AS DATE)) x",
     "idiom_year_over_year": "WITH y AS (SELECT CAST(extract(year FROM o_orderdate) AS INT) AS y, sum(o_totalprice) AS t FROM orders GROUP BY extract(year FROM o_orderdate)) SELECT a.y, round(100 * (a.t - b.t) / b.t, 4) AS growth FROM y a JOIN y b ON a.y = b.y + 1",
     "idiom_cohort": ("WITH f AS (SELECT user_id, min(CAST(ts AS DATE)) AS first FROM events GROUP BY user_id) SELECT first, CAST(datediff(CAST(ts AS DATE), first) AS INT) AS age, count(DISTINCT e.user_id) AS n FROM events e JOIN f ON e.user_id = f.user_id GROUP BY first, datediff(CAST(ts AS DATE), first)", "WITH f AS (SELECT user_id, min(CAST(ts AS DATE)) AS first FROM events GROUP BY user_id) SELECT first, CAST(CAST(ts AS DATE) - first AS INT) AS age, count(DISTINCT e.user_id) AS n FROM events e JOIN f ON e.user_id = f.user_id GROUP BY first, CAST(ts AS DATE) - first"),
     "idiom_moving_average": "SELECT m, round(avg(t) OVER (ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS ma FROM (SELECT extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS mm, CAST(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS INT) AS m, sum(o_totalprice) AS t FROM orders GROUP BY 1, 2) x",
-    "idiom_rfm": "SELECT c, CAST(ntile(5) OVER (ORDER BY r, c) AS BIGINT) AS rq, CAST(ntile(5) OVER (ORDER BY f, c) AS BIGINT) AS fq, CAST(ntile(5) OVER (ORDER BY m, c) AS BIGINT) AS mq FROM (SELECT o_custkey AS c, max(o_orderdate) AS r, count(*) AS f, sum(o_totalprice) AS m FROM orders GROUP BY o_custkey) x",
-    "idiom_gaps_and_islands": "SELECT g AS island, min(k) AS lo, max(k) AS hi, count(*) AS n FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P') a) b GROUP BY g",
     "idiom_funnel": "WITH u AS (SELECT user_id, min(CASE WHEN event_type = 'view' THEN ts END) AS v, min(CASE WHEN event_type = 'click' THEN ts END) AS c, min(CASE WHEN event_type = 'purchase' THEN ts END) AS p FROM events GROUP BY user_id) SELECT count(v) AS viewed, count(CASE WHEN c > v THEN 1 END) AS clicked, count(CASE WHEN p > c AND c > v THEN 1 END) AS bought FROM u",
     "idiom_sessionize": "SELECT user_id, s AS session, min(event_id) AS first_event, count(*) AS n FROM (SELECT user_id, event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS s FROM (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 5 HOUR THEN 1 ELSE 0 END AS new FROM events) a) b GROUP BY user_id, s",
     "idiom_cumulative_percent": "SELECT p_brand, round(100 * sum(t) OVER (ORDER BY t DESC, p_brand) / sum(t) OVER (), 4) AS cum FROM (SELECT p_brand, sum(p_retailprice) AS t FROM part GROUP BY p_brand) x",
@@ -150,6 +153,5 @@ SQL: dict[str, str | tuple[str, str]] = {
     "idiom_churn": "WITH l AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY o_custkey) SELECT c_mktsegment, count(*) AS n, count(CASE WHEN last < TIMESTAMP_NTZ '1998-06-01' OR last IS NULL THEN 1 END) AS churned FROM customer LEFT JOIN l ON c_custkey = o_custkey GROUP BY c_mktsegment",
     "idiom_duplicates": "SELECT text, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY text HAVING count(*) > 1",
     "idiom_delete_duplicates": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) x WHERE rn = 1",
-    "idiom_missing_sequence": "SELECT k + 1 AS lo, n - 1 AS hi FROM (SELECT k, lead(k) OVER (ORDER BY k) AS n FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a) b WHERE n > k + 1",
     "idiom_first_last": "SELECT DISTINCT o_custkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
 }

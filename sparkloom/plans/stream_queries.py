@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
@@ -94,3 +94,16 @@ def stream_state_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_keep_last", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def stream_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drain(windows.keep_last(windows.source(spark, sf_dir).select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"]), "complete").select("user_id", "event_id")
+
+
+@query(
+    "stream_versioned_lookup",
+    """WITH v AS (SELECT user_id, event_id AS view_id, ts AS f, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events WHERE event_type = 'view')
+    SELECT e.event_id, view_id FROM events e LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= f AND (t IS NULL OR e.ts < t) WHERE e.event_type = 'purchase'""",
+)
+def stream_versioned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of a stream with the version of their user that a table of validity periods held at the time."""
+    views = table(spark, sf_dir, "events").where("event_type = 'view'").withColumn("f", F.col("ts").cast("timestamp"))
+    periods = views.select(F.col("user_id").alias("u"), F.col("event_id").alias("view_id"), "f", F.lead("f").over(Window.partitionBy("user_id").orderBy("f", "event_id")).alias("t"))
+    stream = windows.source(spark, sf_dir).where("event_type = 'purchase'")
+    return windows.drain(windows.versioned_lookup(stream, periods, "user_id", "ts", "u", "f", "t").select("event_id", "view_id"))

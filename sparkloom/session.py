@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold on a laptop and on a cluster alike; sizes are left to the deployment.
 SETTINGS = {
@@ -48,3 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{at}/sparkloom-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the session's shared checkpoint folder and read again: worked out once, lineage cut."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

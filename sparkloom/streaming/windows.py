@@ -96,6 +96,15 @@ def interval_join(left: DataFrame, right: DataFrame, ts_left: str, ts_right: str
     return a.join(b, on)
 
 
+def versioned_lookup(stream: DataFrame, versions: DataFrame, key: str, ts: str, version_key: str, valid_from: str, valid_to: str) -> DataFrame:
+    """Each row of the stream with the version of its key that held at its time, from valid_from up to before valid_to (null: open).
+
+    The table is read anew for each batch, so later versions are seen; no state is kept. Rows without a version keep nulls.
+    """
+    at = (F.col(ts) >= F.col(valid_from)) & (F.col(valid_to).isNull() | (F.col(ts) < F.col(valid_to)))
+    return stream.join(versions, (F.col(key) == F.col(version_key)) & at, "left")
+
+
 def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, total) after each batch, from state kept by key (update mode)."""
     kind = stream.schema[key].dataType.simpleString()

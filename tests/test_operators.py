@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar
-from sparkloom.operators import dml, graph, joins, rowpattern, search, tables, timeseries, windows
+from sparkloom.operators import dml, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
 
 
 def rows(df, *names):
@@ -183,3 +183,57 @@ assert not any(k.startswith("op") or k == "pipeline" for k in e.queries()), list
 assert set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_join_in_slices_is_the_asof_join(spark, direction):
+    times = [(k, t, f"{k}{t}{n}") for k in ("a", "b", None) for t in (None, 1, 4, 4, 19, 20, 55) for n in (0, 1)]
+    left = spark.createDataFrame([(f"{k}{t}{n}", k, t) for n, (k, t) in enumerate((k, t) for k in ("a", "b", "c", None) for t in [None, *range(0, 70, 3)])], "id string, k string, t int")
+    right = spark.createDataFrame(times, "k string, t int, v string")
+    plain = rows(joins.asof_join(left, right, "t", ["k"], ["v"], direction), "id", "t_r", "v")
+    sliced = joins.asof_join(left, right, "t", ["k"], ["v"], direction, slices=lambda t: F.floor(t / 10))
+    assert rows(sliced, "id", "t_r", "v") == plain
+    want = []
+    for r in left.collect():
+        near = [(t, v) for k, t, v in times if k == r.k and None not in (k, t, r.t) and (t <= r.t if direction == "backward" else t >= r.t)]
+        sign = 1 if direction == "backward" else -1
+        want.append((r.id, *max(near, key=lambda x: (sign * x[0], x[1]), default=(None, None))))
+    assert plain == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def test_order_of_a_whole_table(spark):
+    df = spark.range(0, 1003, 1, 7).select(((F.col("id") * 7919) % 97).alias("v"), "id", F.when(F.col("id") % 5 > 0, F.col("id")).alias("w"))
+    by = [F.col("v").desc(), F.col("id")]
+    wanted = sorted(((r.v, r.id, r.w) for r in df.collect()), key=lambda r: (-r[0], r[1]))
+    assert [r.n for r in ordering.numbered(df, by, "n").orderBy(*by).collect()] == list(range(1, 1004))
+    size, larger = divmod(1003, 10)
+    assert [r.n for r in ordering.tiles(df, by, 10, "n").orderBy(*by).collect()] == [k + 1 for k in range(10) for _ in range(size + (k < larger))]
+    assert [r.n for r in ordering.tiles(df.limit(3), by, 5, "n").orderBy(*by).collect()] == [1, 2, 3]
+    assert [r.n for r in ordering.following(df, by, "w", "n").orderBy(*by).collect()] == [w for _, _, w in wanted[1:]] + [None]
+    sums = [r.n for r in ordering.running_sum(df, by, "w", "n").orderBy(*by).collect()]
+    assert sums == [sum(w or 0 for _, _, w in wanted[: k + 1]) for k in range(1003)]
+    for made in (ordering.numbered(df.limit(0), by), ordering.tiles(df.limit(0), by, 3), ordering.following(df.limit(0), by, "w"), ordering.running_sum(df.limit(0), by, "w")):
+        assert made.count() == 0
+
+
+def test_changes_keep_repeats_and_refuse_unknown_deletes(spark):
+    schema = "k int, v string"
+    old = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], schema)
+    signed = incremental.changes(spark.createDataFrame([(3, "c"), (2, None)], schema), spark.createDataFrame([(1, "a")], schema))
+    assert rows(incremental.apply_changes(old, signed)) == [(1, "a"), (2, None), (2, None), (3, "c")]
+    assert rows(incremental.apply_changes(old, incremental.changes(old.limit(0)))) == rows(old)
+    with pytest.raises(Exception, match="not in the view"):
+        incremental.apply_changes(old, incremental.changes(deletes=spark.createDataFrame([(9, "z")], schema))).collect()
+    stored = old.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("k") * 10).alias("t"))
+    gone = incremental.changes(deletes=spark.createDataFrame([(1, "a"), (2, None)], schema))
+    assert rows(incremental.delta_groups(stored, gone, ["k"], {"t": F.col("k") * 10})) == [(1, 1, 10)]
+
+
+def test_count_min_is_never_too_low(spark):
+    df = spark.range(5000).select((F.col("id") % 300).alias("x")).unionByName(spark.createDataFrame([(None,)] * 9, "x long"))
+    first, second = sketches.count_min(df.where("x < 200"), "x", 64), sketches.count_min(df.where("x >= 200"), "x", 64)
+    both = first.unionByName(second).groupBy("line", "cell").agg(F.sum("n").alias("n"))
+    assert rows(both) == rows(sketches.count_min(df, "x", 64))
+    true = dict(df.groupBy("x").count().collect())
+    assert all(r.estimate >= true.get(r.x, 0) for r in sketches.estimates(both, spark.range(400).select(F.col("id").alias("x")), "x", 64).collect())
+    assert rows(sketches.estimates(sketches.count_min(df.limit(0), "x", 64), spark.range(2).select(F.col("id").alias("x")), "x", 64)) == [(0, 0), (1, 0)]
