@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import kept
+
 
 def _sum(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
@@ -104,12 +106,13 @@ def inverted_index(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def _occurring(df: DataFrame, row_id: str, text: str, query: list[str]) -> tuple[DataFrame, DataFrame]:
-    """((term, id, tf, length) of the query's terms, and one row with n and average) of a table, each text split once a scan."""
+    """((term, id, tf, length) of the query's terms, and one row with n and average) of a table. Texts are read and split
+    once; what both come from, a length and the found terms a text, is stored."""
     wanted = sorted({q.lower() for q in query})
     tokens = df.select(F.col(row_id).alias("id"), terms(F.col(text)).alias("_t"))
-    slim = tokens.select("id", F.size("_t").alias("length"), F.filter("_t", lambda t: t.isin(wanted)).alias("_t"))
+    slim = kept(tokens.select("id", F.size("_t").alias("length"), F.filter("_t", lambda t: t.isin(wanted)).alias("_t")))
     tf = slim.where(F.size("_t") > 0).select("id", "length", F.explode("_t").alias("term")).groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return tf, tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("average"))
+    return tf, slim.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
 
 
 def _bm25(tf: DataFrame, whole: DataFrame, k1: float, b: float) -> DataFrame:
