@@ -19,6 +19,8 @@ from sparkloom.llm.common import shared_folder, small_batches, stored
 
 #: Payloads under this many bytes are never revisits.
 LEAST_SHARED = 100
+#: A payload with one in so many of all rows whose payload is shared is hot: there are HOT of them at most, few enough to broadcast.
+HOT = 4096
 ROLL_BYTES, GAP_BYTES, RANGE_BYTES = 512 << 20, 64 << 10, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 
@@ -93,19 +95,26 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     Records are gzip members of .warc.gz files, a file or more for each task attempt; the index names only
     files of attempts that were committed, so leftovers of lost executors are never read. Of rows with equal
     payloads of LEAST_SHARED bytes or more, those with the smallest id are responses and the others revisits;
-    rows whose group has no id at all are responses. Null html is an empty payload. The smallest id of a
-    payload is found by a map-side minimum, and short payloads never meet under one key.
+    rows whose group has no id at all are responses. Null html is an empty payload; rows may repeat, an empty table
+    gives an empty index. The smallest id of a payload is found by a map-side minimum. Only payloads that some row
+    shares meet under one key: a hot one (a payload in HOT at least) is looked up where its rows are read, and a
+    short or hot payload goes by its row.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"),
     ).withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
-    firsts = rows.where(F.col("n") >= LEAST_SHARED).groupBy(F.col("digest").alias("key")).agg(F.min("page_id").alias("first"))
-    own = F.concat_ws(" ", F.lit("short"), F.col("page_id").cast("string"), F.xxhash64("url").cast("string"))
-    keyed = rows.withColumn("key", F.when(F.col("n") >= LEAST_SHARED, F.col("digest")).otherwise(own))
-    placed = keyed.join(firsts, "key", "left").select(
-        "page_id", "url", "payload", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to")
+    copies = rows.where(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    firsts = stored(copies.where("copies > 1"))
+    shared = firsts.agg(F.sum("copies")).first()[0] or 0
+    hot = firsts.where(F.col("copies") >= max(-(-shared // HOT), 2)).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
+    own = F.concat_ws(" ", F.lit("own"), F.col("page_id").cast("string"), F.xxhash64("url").cast("string"))
+    apart = (F.col("n") < LEAST_SHARED) | F.col("hot").isNotNull()
+    keyed = rows.join(F.broadcast(hot), "digest", "left").withColumn("key", F.when(apart, own).otherwise(F.col("digest")))
+    first = F.coalesce("hot_first", "first")
+    placed = keyed.join(firsts.select(F.col("digest").alias("key"), "first"), "key", "left").select(
+        "page_id", "url", "payload", "digest", F.when(~first.eqNullSafe(F.col("page_id")), first).alias("refers_to")
     )
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +170,15 @@ def ranges(places: list[tuple[str, int, int]]) -> list[tuple[str, int, int, list
     return found
 
 
-def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
+def read(selected: DataFrame, payloads: bool = True, damaged: str = "raise") -> DataFrame:
     """The records that rows of an index name, read by byte ranges; rows of RECORD, without payloads if not asked for.
 
     The index rows are range-partitioned by file and offset, so that each task reads neighbouring records in
-    few large reads; every response's length and digest are checked against its header.
+    few large reads; every response's length and digest are checked against its header. A damaged record stops the
+    job, or with damaged="report" gives a row of the type damaged whose url is the file and the offset, all else null.
     """
+    if damaged not in ("raise", "report"):
+        raise ValueError(f"damaged must be raise or report, not {damaged}")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
@@ -179,7 +191,12 @@ def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
                 out = {k: [] for k in names}
                 for k in which:
                     offset, length = places[k][1] - start, places[k][2]
-                    found = parse_record(zlib.decompress(memoryview(data)[offset : offset + length], 31))
+                    try:
+                        found = parse_record(zlib.decompress(memoryview(data)[offset : offset + length], 31))
+                    except (ValueError, KeyError, zlib.error):
+                        if damaged == "raise":
+                            raise
+                        found = {**dict.fromkeys(names), "url": f"{file}:{places[k][1]}", "record_type": "damaged"}
                     if not payloads:
                         found["payload"] = None
                     for name in names:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -564,7 +565,9 @@ def test_quality_classifier(spark, docs, texts, empty):
     assert none.rules == () and quality_classifier.predict(empty, none).count() == 0
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_warc(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
     html = ["<p>é</p>" * 30, "<p>é</p>" * 30, None, "", "short", "short", "<p>é</p>" * 30, "x" * 99, "x" * 99, "y" * 100, "y" * 100]
     pages = spark.createDataFrame([(10 + i, None if i == 4 else f"http://h/{i}\r\nX: y", h, "z") for i, h in enumerate(html)] + [(None, "u", "y" * 100, "z"), (10, "again", html[0], "z")], "page_id long, url string, html string, file string").repartition(3)
     got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages, f"file://{tmp_path}").collect())
@@ -580,6 +583,15 @@ def test_warc(spark, tmp_path):
     back = warc.read(index.where("record_type = 'response' AND page_id > 15")).collect()
     assert all(hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in back) and back
     assert warc.round_trip(pages.limit(0), f"file://{tmp_path}/three").count() == 0
+    place = index.where("page_id = 19").first()
+    file = Path(place.file.removeprefix("file://"))
+    data = bytearray(file.read_bytes())
+    data[place.offset + place.length // 2] ^= 255
+    file.write_bytes(data)
+    found = {(r.page_id, r.url if r.record_type == "damaged" else r.record_type) for r in warc.read(index.where("page_id IN (18, 19)"), damaged="report").collect()}
+    assert found == {(18, "response"), (None, f"{place.file}:{place.offset}")}
+    with pytest.raises(Exception, match="damaged|decompress"):
+        warc.read(index.where("page_id = 19")).collect()
 
 
 def test_ranges_are_coalesced():
