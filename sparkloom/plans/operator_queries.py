@@ -145,11 +145,12 @@ def json_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_operators",
     """SELECT event_id, list_has_all(json_keys(j), ['k', 'm']) AS every, list_has_any(json_keys(j), ['q', 'm']) AS some, json_exists(j, '$.n.x') AS path, CAST(json_extract_string(j, '$.n.x') AS INT) AS x, 2 AS y
-    FROM (SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || CASE WHEN event_id % 2 = 0 THEN ',"m":null' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '}' ELSE ',"n":{"x":' || event_id % 7 || ',"y":2}}' END AS j FROM events) WHERE event_id % 3 > 0""",
+    FROM (SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || CASE WHEN event_id % 2 = 0 THEN ',"m":null' ELSE '' END || ',"n":{' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '"x":' || event_id % 7 || ',' END || '"y":2}}' AS j FROM events)""",
 )
 def json_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = table(spark, sf_dir, "events").where("event_id % 3 > 0"), F.col("event_id")
-    j = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.when(k % 2 == 0, ',"m":null').otherwise(""), F.lit(',"n":{"x":'), (k % 7).cast("string"), F.lit(',"y":2}}'))
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    x = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit('"x":'), (k % 7).cast("string"), F.lit(",")))
+    j = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.when(k % 2 == 0, ',"m":null').otherwise(""), F.lit(',"n":{'), x, F.lit('"y":2}}'))
     made = e.select("event_id", j.alias("j"))
     left = F.get_json_object(scalar.json_without_path("j", ["n", "x"]), "$.n.y").cast("int")
     return made.select(
@@ -197,11 +198,16 @@ def table_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.xml_values(made, "x", {"names": "/n/name/text()"}).select("n_nationkey", F.col("names")[0].alias("name"))
 
 
-@query("table_sample", "SELECT true AS near")
+@query("table_sample", "SELECT l_returnflag, count(*) AS n, true AS near, true AS again, true AS once FROM lineitem GROUP BY l_returnflag")
 def table_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    n = li.agg(F.count(F.lit(1)).alias("n"))
-    return tables.sample(li, 20, 7).agg(F.count(F.lit(1)).alias("k")).crossJoin(n).select((F.abs(F.col("k") - 0.2 * F.col("n")) < 0.02 * F.col("n")).alias("near"))
+    """For each flag: whether a sample of 20 % is within five standard deviations, is the same when drawn again, and holds each row once."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+    row = ["l_returnflag", "l_orderkey", "l_linenumber", "l_partkey"]
+    twice = tables.sample(li, 20, 7).withColumn("a", F.lit(1)).unionByName(tables.sample(li, 20, 7).withColumn("b", F.lit(1)), allowMissingColumns=True)
+    drawn = twice.unionByName(li.withColumn("t", F.lit(1)), allowMissingColumns=True).groupBy(*row).agg(*[F.count(x).alias(x) for x in "abt"])
+    n, k = F.sum("t"), F.sum("a")
+    near = F.abs(k - 0.2 * n) <= 5 * F.sqrt(0.16 * n)
+    return drawn.groupBy("l_returnflag").agg(n.alias("n"), near.alias("near"), F.bool_and(F.col("a") == F.col("b")).alias("again"), F.bool_and(F.col("a") <= F.col("t")).alias("once"))
 
 
 @query("scan_count_from_footers", "SELECT count(*) AS n FROM orders")
@@ -430,6 +436,36 @@ def pattern_match_recognize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowpattern.match_recognize(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], define, "D+U+", "o_orderkey").select("o_custkey", "symbols")
 
 
+_DOWN = """(SELECT o_custkey, o_orderkey, o_orderdate, coalesce(o_totalprice < lag(o_totalprice) OVER w, false) AS down, coalesce(lead(o_totalprice) OVER w < o_totalprice, false) AS next, row_number() OVER w AS rn
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+
+
+def _falls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    before = F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return table(spark, sf_dir, "orders").withColumn("_before", before), {"D": F.col("o_totalprice") < F.col("_before")}
+
+
+@query(
+    "pattern_all_rows",
+    f"""SELECT o_custkey, o_orderkey, CASE WHEN down THEN 'D' ELSE 'A' END AS symbol, CAST(sum(CASE WHEN down THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS match_number
+    FROM {_DOWN} WHERE down OR next""",
+)
+def pattern_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, define = _falls(spark, sf_dir)  # A has no condition, so that a row may be A and D
+    found = rowpattern.match_recognize(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], define, "AD+", "o_orderkey", all_rows=True)
+    return found.select("o_custkey", "o_orderkey", "symbol", "match_number")
+
+
+@query(
+    "pattern_skip_to_next",
+    f"""SELECT o_custkey, o_orderkey AS first, min(rn) FILTER (WHERE NOT next) OVER (PARTITION BY o_custkey ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - rn + 1 AS n
+    FROM {_DOWN} QUALIFY next""",
+)
+def pattern_skip_to_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, define = _falls(spark, sf_dir)
+    return rowpattern.match_recognize(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], define, "AD+", "o_orderkey", "to next row").select("o_custkey", "first", "n")
+
+
 # search
 _TARGET = "(SELECT embedding FROM embeddings WHERE vec_id = 3)"
 
@@ -442,6 +478,7 @@ def _with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _metric, _sql in {
     "l2": "list_distance(embedding::DOUBLE[], t::DOUBLE[])", "cosine": "list_cosine_distance(embedding::DOUBLE[], t::DOUBLE[])",
     "ip": "-list_inner_product(embedding::DOUBLE[], t::DOUBLE[])", "l1": "list_sum(list_transform(list_zip(embedding::DOUBLE[], t::DOUBLE[]), lambda x: abs(x[1] - x[2])))",
+    "hamming": "CAST(list_sum(list_transform(list_zip(embedding, t), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS DOUBLE)",
 }.items():
     query(f"vector_distance_{_metric}", f"SELECT vec_id, round({_sql}, 5) AS d FROM embeddings, (SELECT embedding AS t FROM embeddings WHERE vec_id = 3)")(
         lambda spark, sf_dir, m=_metric: _with_target(spark, sf_dir).select("vec_id", F.round(search.distance(m, F.col("embedding"), F.col("_t")), 5).alias("d"))

@@ -151,6 +151,22 @@ def test_match_recognize(spark):
         rowpattern.match_recognize(d, ["k"], ["t"], define, "D[U]", "t")
 
 
+def test_rows_with_several_symbols(spark):
+    d = spark.createDataFrame([("a", i, v) for i, v in enumerate([1, 5, 9, 9, 2, 7])] + [("b", 0, None)], "k string, t int, v int")
+    define = {"L": F.col("v") > 0, "H": F.col("v") > 4}
+    seek = lambda pattern, **more: rowpattern.match_recognize(d, ["k"], ["t"], define, pattern, "t", **more)
+    assert rows(seek("L+?HH"), "match_number", "first", "last", "symbols") == [(1, 0, 2, "LHH")]
+    assert rows(seek("L+H"), "first", "symbols") == [(0, "LLLLLH")]
+    assert rows(seek("LH", skip="to last H"), "first", "symbols") == [(0, "LH"), (1, "LH"), (2, "LH"), (4, "LH")]
+    assert rows(seek("LH", skip="to next row"), "first") == rows(seek("LH", skip="to first H"), "first")
+    assert rows(seek("H{2}|L", all_rows=True), "match_number", "place", "symbol", "t") == [(1, 1, "L", 0), (2, 1, "H", 1), (2, 2, "H", 2), (3, 1, "L", 3), (4, 1, "L", 4), (5, 1, "L", 5)]
+    assert rows(seek("X-?", all_rows=True).where("k = 'b'"), "symbol") == [("X",)] and rows(seek("-").where("k = 'b'"), "symbols") == [("-",)]
+    with pytest.raises(Exception, match="not behind the first row"):
+        seek("LH", skip="to first L").collect()
+    with pytest.raises(ValueError, match="skip must be"):
+        seek("LH", skip="over")
+
+
 def test_distances(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [tuple(round(x, 6) for x in r) for r in df.select(*[search.distance(m, F.col("a"), F.col("b")).alias(m) for m in ("l2", "l1", "ip", "cosine", "hamming")]).collect()]
