@@ -91,6 +91,18 @@ def in_box(lat: Column, lon: Column, south: float, west: float, north: float, ea
     return lat.between(south, north) & lon.between(west, east)
 
 
+def in_polygon(x: Column, y: Column, corners: Column) -> Column:
+    """Whether a point lies in a polygon, an array of (x, y) structs: an odd number of edges to its right. Of a point on an
+    edge only one of two polygons that share it says so; null coordinates give null, fewer than three corners false."""
+    following = F.concat(F.slice(corners, 2, F.greatest(F.size(corners) - 1, F.lit(0))), F.slice(corners, 1, 1))
+
+    def crosses(a: Column, b: Column) -> Column:
+        return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0)) + a["x"])
+
+    crossed = F.filter(F.zip_with(corners, following, crosses), lambda c: c)
+    return F.when(x.isNotNull() & y.isNotNull(), (F.size(crossed) % 2 == 1) & (F.size(corners) > 2))
+
+
 def range_of(lo: Column, hi: Column, lo_in: bool = True, hi_in: bool = False) -> Column:
     """A range value; a null end is open."""
     return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(lo_in).alias("lo_in"), F.lit(hi_in).alias("hi_in"))

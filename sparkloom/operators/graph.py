@@ -101,3 +101,10 @@ def triangles(edges: DataFrame) -> DataFrame:
     closed = two.join(e, ["x", "y"])
     three = F.array_sort(F.array("u", "x", "y"))
     return closed.select(three[0].alias("a"), three[1].alias("b"), three[2].alias("c"))
+
+
+def four_cliques(edges: DataFrame) -> DataFrame:
+    """(a, b, c, d), a < b < c < d, all joined with each other: two triangles on one edge whose other corners are joined."""
+    e = edges.select(F.least("src", "dst").alias("c"), F.greatest("src", "dst").alias("d")).where("c != d").distinct()
+    three = kept(triangles(edges))
+    return three.join(three.withColumnRenamed("c", "d"), ["a", "b"]).where("c < d").join(e, ["c", "d"], "left_semi").select("a", "b", "c", "d")

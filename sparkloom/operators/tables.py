@@ -20,10 +20,11 @@ def unnest(df: DataFrame, array: str, name: str, ordinality: str | None = None,
     return found.withColumn(ordinality, (F.col("_p") + 1).cast("long")).drop("_p")
 
 
-def unnest_together(df: DataFrame, arrays: dict[str, str]) -> DataFrame:
-    """Several arrays side by side, the shorter ones padded with null."""
+def unnest_together(df: DataFrame, arrays: dict[str, str], ordinality: str | None = None) -> DataFrame:
+    """Several arrays side by side (ROWS FROM), the shorter ones padded with null; ordinality counts from 1."""
     zipped = F.arrays_zip(*[F.col(a).alias(n) for n, a in arrays.items()])
-    return df.select("*", F.explode(zipped).alias("_z")).select(*df.columns, *[F.col("_z")[n].alias(n) for n, a in arrays.items()])
+    place = [(F.col("_p") + 1).cast("long").alias(ordinality)] if ordinality else []
+    return df.select("*", F.posexplode(zipped).alias("_p", "_z")).select(*df.columns, *[F.col("_z")[n].alias(n) for n in arrays], *place)
 
 
 def json_table(df: DataFrame, json: str, schema: str) -> DataFrame:
@@ -36,6 +37,11 @@ def xml_values(df: DataFrame, xml: str, paths: dict[str, str]) -> DataFrame:
     return df.select("*", *[F.xpath(F.col(xml), F.lit(p)).alias(n) for n, p in paths.items()])
 
 
+def xml_table(df: DataFrame, xml: str, row: str, schema: str) -> DataFrame:
+    """Columns of the elements `row` under the root of an XML document (XMLTABLE), a row each; a document without any gives none."""
+    return df.select("*", F.from_xml(F.col(xml), f"`{row}` array<struct<{schema}>>").alias("_x")).select(*df.columns, F.inline(F.col("_x")[row]))
+
+
 def sample(df: DataFrame, percent: float, seed: int) -> DataFrame:
     """TABLESAMPLE BERNOULLI (percent) REPEATABLE (seed)."""
     return df.sample(percent / 100, seed)

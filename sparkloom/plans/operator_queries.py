@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar, user
-from sparkloom.operators import dml, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
+from sparkloom.operators import dml, documents, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
 from sparkloom.plans import dialect
 from sparkloom.plans.registry import query
 from sparkloom.sources import files, jdbc
@@ -907,3 +907,134 @@ def scan_federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     jdbc.write_remote(table(spark, sf_dir, "nation"), url, "nation", "overwrite", 1)
     nation = jdbc.remote_table(spark, url, "nation", "n_nationkey", (0, 25), 2).where("n_regionkey >= 2")
     return table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# documents
+@query("document_lookup", "SELECT n_nationkey, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey), '') AS suppliers, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 0 GROUP BY n_nationkey")
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_nationkey", "s_name")
+    found = documents.lookup(table(spark, sf_dir, "nation"), s, "n_nationkey", "s_nationkey", "suppliers")
+    return found.select("n_nationkey", F.array_join(F.col("suppliers.s_suppkey").cast("array<string>"), ",").alias("suppliers"), F.size("suppliers").cast("long").alias("n"))
+
+
+@query(
+    "document_nested_filter",
+    """SELECT o_orderkey, count(*) AS n, count(*) FILTER (WHERE l_quantity > 40) AS large, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_quantity > 40) AS lines
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(*) FILTER (WHERE l_quantity > 40 AND l_returnflag = 'R') > 0""",
+)
+def document_nested_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines inside: those with a large returned line, and all their large lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_orderkey")
+    nested = documents.lookup(table(spark, sf_dir, "orders").select("o_orderkey"), li, "o_orderkey", "l_orderkey", "lines")
+    wanted = documents.with_element(nested, "lines", lambda x: (x["l_quantity"] > 40) & (x["l_returnflag"] == "R"))
+    large = documents.kept_elements(wanted, "lines", lambda x: x["l_quantity"] > 40, "large")
+    return large.select("o_orderkey", F.size("lines").cast("long").alias("n"), F.size("large").cast("long").alias("large"), F.array_join(F.col("large.l_linenumber").cast("array<string>"), ",").alias("lines"))
+
+
+@query(
+    "document_equal_buckets",
+    """WITH c AS (SELECT p_size AS v, count(*) AS c FROM part GROUP BY 1), u AS (SELECT v, c, sum(c) OVER (ORDER BY v) - c AS before, sum(c) OVER () AS total FROM c)
+    SELECT CAST(floor(before * 7 / total) AS BIGINT) AS bucket, min(v) AS lo, max(v) AS hi, CAST(sum(c) AS BIGINT) AS n FROM u GROUP BY 1""",
+)
+def document_equal_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.equal_buckets(table(spark, sf_dir, "part"), "p_size", 7)
+
+
+@query(
+    "document_change_feed",
+    """WITH a AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_acctbal >= 0)
+    SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'insert' WHEN b.c_custkey IS NULL THEN 'delete' ELSE 'update' END AS change,
+    CASE WHEN a.c_custkey IS NOT NULL AND b.c_custkey IS NOT NULL THEN concat_ws(',', CASE WHEN a.c_acctbal IS DISTINCT FROM b.c_acctbal THEN 'c_acctbal' END, CASE WHEN a.c_mktsegment IS DISTINCT FROM b.c_mktsegment THEN 'c_mktsegment' END) END AS fields
+    FROM a FULL JOIN b ON a.c_custkey = b.c_custkey WHERE a.c_custkey IS NULL OR b.c_custkey IS NULL OR a.c_acctbal IS DISTINCT FROM b.c_acctbal OR a.c_mktsegment IS DISTINCT FROM b.c_mktsegment""",
+)
+def document_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    old = c.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal", "c_mktsegment")
+    balance = F.when(F.col("c_nationkey") < 5, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    new = c.where("c_acctbal >= 0").select("c_custkey", balance.alias("c_acctbal"), F.when(F.col("c_nationkey") != 3, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return documents.change_feed(old, new, "c_custkey").withColumn("fields", F.array_join("fields", ","))
+
+
+@query("table_xml_rows", "SELECT c_custkey, unnest([0, 1]) AS id, unnest([c_mktsegment, c_nationkey::VARCHAR]) AS name FROM customer")
+def table_xml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = lambda i, value: F.concat(F.lit(f"<item id='{i}'><name>"), value, F.lit("</name></item>"))
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("<c>"), item(0, F.col("c_mktsegment")), item(1, F.col("c_nationkey").cast("string")), F.lit("</c>")).alias("x"))
+    return tables.xml_table(made, "x", "item", "_id int, name string").select("c_custkey", F.col("_id").alias("id"), "name")
+
+
+@query("table_rows_from", "SELECT n_nationkey, unnest(string_split(n_name, '_')) AS a, unnest(generate_series(n_regionkey, 4)) AS b, unnest(generate_series(1, greatest(len(string_split(n_name, '_')), 5 - n_regionkey))) AS place FROM nation")
+def table_rows_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROWS FROM (f, g) WITH ORDINALITY."""
+    made = table(spark, sf_dir, "nation").select("n_nationkey", F.split("n_name", "_").alias("x"), tables.series(F.col("n_regionkey").cast("long"), F.lit(4).cast("long"), F.lit(1).cast("long")).alias("y"))
+    return tables.unnest_together(made, {"a": "x", "b": "y"}, "place").select("n_nationkey", "a", "b", "place")
+
+
+# places
+_POINTS = "(SELECT c_custkey, c_nationkey, c_acctbal AS x, (c_custkey * 37 % 1000)::DOUBLE AS y FROM customer)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 37 % 1000).cast("double").alias("y"))
+
+
+_CORNERS = [("n * 100.0::DOUBLE - 500", "0.0::DOUBLE"), ("n * 100.0::DOUBLE + 9000", "500.0::DOUBLE"), ("n * 100.0::DOUBLE", "1000.0::DOUBLE"), ("n * 50.0::DOUBLE + 2000", "500.0::DOUBLE")]
+_CROSSED = " + ".join(
+    f"CASE WHEN ({b} > y) <> ({d} > y) AND x < ({c} - ({a})) * (y - {b}) / nullif({d} - {b}, 0) + ({a}) THEN 1 ELSE 0 END" for (a, b), (c, d) in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True)
+)
+
+
+@query("geo_in_polygon", f"SELECT c_custkey, ({_CROSSED}) % 2 = 1 AS inside FROM (SELECT c_custkey, x, y, c_nationkey AS n FROM {_POINTS})")
+def geo_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_nationkey")
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(y).alias("y"))
+    corners = F.array(corner(n * 100.0 - 500, 0.0), corner(n * 100.0 + 9000, 500.0), corner(n * 100.0, 1000.0), corner(n * 50.0 + 2000, 500.0))
+    return _points(spark, sf_dir).select("c_custkey", scalar.in_polygon(F.col("x"), F.col("y"), corners).alias("inside"))
+
+
+@query("geo_near_join", f"SELECT s_suppkey, c_custkey FROM supplier JOIN {_POINTS} ON (s_acctbal - x) * (s_acctbal - x) + (s_suppkey * 53 % 1000 - y) * (s_suppkey * 53 % 1000 - y) <= 40000")
+def geo_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("u"), (F.col("s_suppkey") * 53 % 1000).cast("double").alias("v"))
+    return joins.near_join(_points(spark, sf_dir), s, ("x", "y"), ("u", "v"), 200.0).select("s_suppkey", "c_custkey")
+
+
+_PAIRS = "(SELECT l1.l_suppkey AS src, l2.l_suppkey AS dst FROM lineitem l1 JOIN lineitem l2 ON l1.l_orderkey = l2.l_orderkey AND l1.l_suppkey < l2.l_suppkey AND l1.l_returnflag = 'R' AND l2.l_returnflag = 'R' AND l1.l_quantity > 35 AND l2.l_quantity > 35)"
+
+
+@query(
+    "graph_four_cliques",
+    f"""WITH e AS (SELECT DISTINCT src AS x, dst AS y FROM {_PAIRS}) SELECT p.x AS a, p.y AS b, q.y AS c, r.y AS d FROM e p JOIN e q ON p.y = q.x JOIN e r ON q.y = r.x
+    JOIN e s ON s.x = p.x AND s.y = q.y JOIN e t ON t.x = p.x AND t.y = r.y JOIN e u ON u.x = p.y AND u.y = r.y""",
+)
+def graph_four_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of large returned lines of one order, four of whom have met in pairs."""
+    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 35")
+    a, b = (li.select("l_orderkey", F.col("l_suppkey").alias(name)) for name in ("src", "dst"))
+    return graph.four_cliques(a.join(b, "l_orderkey").where("src < dst").select("src", "dst"))
+
+
+# hybrid plans: the text first, or the vectors first
+_HAS = r"list_has_all(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), ['the'])"
+
+
+@query("hybrid_text_first", f"SELECT vec_id FROM embeddings JOIN documents ON doc_id = vec_id WHERE {_HAS} ORDER BY list_distance(embedding::DOUBLE[], {_TARGET}::DOUBLE[]), vec_id LIMIT 20")
+def hybrid_text_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors among the texts that match."""
+    match = table(spark, sf_dir, "documents").where(search.fts_match(F.col("text"), ["the"])).select(F.col("doc_id").alias("vec_id"))
+    return search.knn(_with_target(spark, sf_dir).join(match, "vec_id", "left_semi"), "embedding", F.col("_t"), 20).select("vec_id")
+
+
+@query("hybrid_vector_first", f"SELECT vec_id FROM (SELECT vec_id FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_TARGET}::DOUBLE[]), vec_id LIMIT 200) JOIN documents ON doc_id = vec_id WHERE {_HAS}")
+def hybrid_vector_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the nearest vectors whose texts match."""
+    near = search.knn(_with_target(spark, sf_dir), "embedding", F.col("_t"), 200).select("vec_id")
+    d = table(spark, sf_dir, "documents").join(F.broadcast(near), F.col("doc_id") == F.col("vec_id"))  # 200 rows
+    return d.where(search.fts_match(F.col("text"), ["the"])).select("vec_id")
+
+
+@query("create_view", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+def create_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over a view."""
+    register(spark, sf_dir, "customer")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW solvent AS SELECT * FROM customer WHERE c_acctbal > 0")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW solvent_segments AS SELECT c_mktsegment, count(*) AS n FROM solvent GROUP BY c_mktsegment")
+    return spark.table("solvent_segments")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar
-from sparkloom.operators import dml, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
+from sparkloom.operators import dml, documents, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
 
 
 def rows(df, *names):
@@ -253,3 +253,49 @@ def test_count_min_is_never_too_low(spark):
     true = dict(df.groupBy("x").count().collect())
     assert all(r.estimate >= true.get(r.x, 0) for r in sketches.estimates(both, spark.range(400).select(F.col("id").alias("x")), "x", 64).collect())
     assert rows(sketches.estimates(sketches.count_min(df.limit(0), "x", 64), spark.range(2).select(F.col("id").alias("x")), "x", 64)) == [(0, 0), (1, 0)]
+
+
+def test_lookup_of_null_and_missing_keys(spark):
+    a = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    b = spark.createDataFrame([(1, "y"), (1, "x"), (None, "z")], "f int, v string")
+    found = documents.lookup(a, b, "k", "f", "all")
+    assert rows(found.select("k", F.array_join("all.v", "").alias("v")), "k", "v") == sorted([(1, "xy"), (2, ""), (None, "z")], key=str)
+    assert documents.lookup(a, b.limit(0), "k", "f", "all").where("size(all) = 0").count() == 3
+    assert rows(documents.with_element(found, "all", lambda x: x["v"] > "y"), "k") == [(None,)]
+    assert rows(documents.kept_elements(found, "all", lambda x: x["v"] == "y", "some").where("size(some) = 1"), "k") == [(1,)]
+
+
+def test_equal_buckets(spark):
+    df = spark.createDataFrame([(v,) for v in [1, 1, 1, 1, 2, 3, 4, None]], "v int")
+    assert rows(documents.equal_buckets(df, "v", 3), "bucket", "lo", "hi", "n") == [(0, 1, 1, 4), (1, 2, 2, 1), (2, 3, 4, 2)]
+    assert documents.equal_buckets(df.limit(0), "v", 3).count() == 0
+
+
+def test_change_feed(spark):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, x string, y int")
+    new = spark.createDataFrame([(1, "a", None), (2, None, 2), (4, "d", 1)], "k int, x string, y int")
+    found = documents.change_feed(old, new, "k").withColumn("fields", F.array_join("fields", ","))
+    assert rows(found, "k", "change", "fields") == [(2, "update", "x,y"), (3, "delete", None), (4, "insert", None)]
+
+
+def test_points(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, -0.5, 1.0), (3, None, 1.0)], "a int, x double, y double")
+    b = spark.createDataFrame([(1, 3.0, 4.0), (2, -0.6, 0.9), (3, 0.0, 5.1)], "b int, u double, v double")
+    assert rows(joins.near_join(a, b, ("x", "y"), ("u", "v"), 5.0), "a", "b") == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+    with pytest.raises(ValueError, match="over 0"):
+        joins.near_join(a, b, ("x", "y"), ("u", "v"), 0.0)
+    square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (2, 2), (0, 2))])
+    at = spark.createDataFrame([(1.0, 1.0), (3.0, 1.0), (None, 1.0), (2.0, 1.0), (0.0, 1.0)], "x double, y double")
+    inside = [r[0] for r in at.select(scalar.in_polygon(F.col("x"), F.col("y"), square)).collect()]
+    assert inside == [True, False, None, False, True]
+    assert at.select(scalar.in_polygon(F.col("x"), F.col("y"), F.slice(square, 1, 0)).alias("p")).where("p").count() == 0
+
+
+def test_four_cliques(spark):
+    e = spark.createDataFrame([(a, b) for a in range(5) for b in range(5) if a < b] + [(4, 5), (5, 5), (1, 0)], "src int, dst int")
+    assert rows(graph.four_cliques(e), "a", "b", "c", "d") == [(0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (1, 2, 3, 4)]
+
+
+def test_xml_table(spark):
+    df = spark.createDataFrame([(1, "<r><i a='1'><n>x</n></i><i a='2'/></r>"), (2, "<r/>"), (3, None)], "k int, x string")
+    assert rows(tables.xml_table(df, "x", "i", "_a int, n string"), "k", "_a", "n") == [(1, 1, "x"), (1, 2, None)]
