@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import scalar, user
 from sparkloom.operators import dml, documents, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
 from sparkloom.plans import dialect
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import ORACLES, query
 from sparkloom.sources import files, jdbc
 from sparkloom.sources.tables import register, table
 
@@ -1038,3 +1038,17 @@ def create_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.sql("CREATE OR REPLACE TEMPORARY VIEW solvent AS SELECT * FROM customer WHERE c_acctbal > 0")
     spark.sql("CREATE OR REPLACE TEMPORARY VIEW solvent_segments AS SELECT c_mktsegment, count(*) AS n FROM solvent GROUP BY c_mktsegment")
     return spark.table("solvent_segments")
+
+
+# hot keys: the same results in ranges of keys and times
+for _name in ("ts_locf", "ts_interpolate"):
+    query(f"{_name}_in_ranges", ORACLES[_name])(
+        lambda spark, sf_dir, carry=_name == "ts_locf", places=4 if _name == "ts_locf" else 7: timeseries.gap_fill(
+            _hours(spark, sf_dir), ["k"], "b", 3600, ["v"], carry=carry, interpolate=not carry, ranged=True
+        ).select("k", "b", F.round("v", places).alias("v"))
+    )
+
+
+@query("ts_sessions_in_ranges", ORACLES["ts_sessions"])
+def ts_sessions_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeseries.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", "3 HOUR", ranged=True).select("user_id", "event_id", F.col("_session").alias("session"))

@@ -299,3 +299,23 @@ def test_four_cliques(spark):
 def test_xml_table(spark):
     df = spark.createDataFrame([(1, "<r><i a='1'><n>x</n></i><i a='2'/></r>"), (2, "<r/>"), (3, None)], "k int, x string")
     assert rows(tables.xml_table(df, "x", "i", "_a int, n string"), "k", "_a", "n") == [(1, 1, "x"), (1, 2, None)]
+
+
+def test_windows_by_hot_keys_in_ranges(spark):
+    """One key with nine tenths of the rows, a null key and null values, over more ranges than keys."""
+    import random
+
+    from pyspark.sql import Window
+
+    pick = random.Random(3)
+    data = [(pick.choice(["hot"] * 27 + ["a", "b", None]), i, None if pick.random() < 0.6 else pick.randrange(100)) for i in range(600)]
+    df = spark.createDataFrame(data, "k string, t int, v int")
+    by = Window.partitionBy("k").orderBy("t")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("k", "t", F.lag("v").over(by).alias("p"), F.last("v", True).over(upto).alias("c"), F.coalesce(F.sum("v").over(upto), F.lit(0)).alias("s"))
+    got = ordering.running_sum_by(ordering.carried_by(ordering.previous_by(df, ["k"], ["t"], "v", "p"), ["k"], ["t"], "v", "c"), ["k"], ["t"], "v", "s")
+    assert got.columns == ["k", "t", "v", "p", "c", "s"]
+    assert rows(got, "k", "t", "p", "c", "s") == rows(want)
+    assert ordering.carried_by(df.limit(0), ["k"], ["t"], "v", "c").count() == 0
+    times = df.where("v IS NOT NULL").select("k", "t", F.timestamp_seconds(F.col("t") * 60 + F.col("v") * 60).alias("ts"))
+    assert rows(timeseries.sessions(times, ["k"], "ts", "t", "20 MINUTES", ranged=True)) == rows(timeseries.sessions(times, ["k"], "ts", "t", "20 MINUTES"))
