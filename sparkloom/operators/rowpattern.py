@@ -37,30 +37,6 @@ def _seek(pattern: str, letters: list[str]) -> regex.Pattern:
     return regex.compile("".join(texts.get(x, x) for x in pattern))
 
 
-def _matches(seek: regex.Pattern, letters: list[str], text: str, skip: str) -> Iterator[tuple[int, str]]:
-    """The start and the symbols of each match in one partition."""
-    at = 0
-    while found := seek.search(text, at):
-        a, b = found.span()
-        taken = [""] * (b - a)
-        for i, letter in enumerate([*letters, "-"]):
-            if f"_{i}" in seek.groupindex:
-                for start, _ in found.spans(f"_{i}"):
-                    taken[start - a] = letter
-        symbols = "".join(taken)
-        if b > a:
-            yield a, symbols
-        if b == a or skip == "to next row":
-            at = a + 1
-        elif skip == "past last row":
-            at = b
-        else:
-            to = symbols.find(skip[-1]) if skip.startswith("to first") else symbols.rfind(skip[-1])
-            if to <= 0:
-                raise ValueError(f"skip {skip}: the symbol is not behind the first row of the match {symbols}")
-            at = a + to
-
-
 def match_recognize(
     df: DataFrame, keys: list[str], order: list[str], define: dict[str, Column], pattern: str, measure: str, skip: str = "past last row", all_rows: bool = False
 ) -> DataFrame:
@@ -92,13 +68,36 @@ def match_recognize(
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     seek = _seek(pattern, letters)
 
+    def matches(text: str) -> Iterator[tuple[int, str]]:
+        """The start and the symbols of each match in one partition."""
+        at = 0
+        while found := seek.search(text, at):
+            a, b = found.span()
+            taken = [""] * (b - a)
+            for i, letter in enumerate([*letters, "-"]):
+                if f"_{i}" in seek.groupindex:
+                    for start, _ in found.spans(f"_{i}"):
+                        taken[start - a] = letter
+            symbols = "".join(taken)
+            if b > a:
+                yield a, symbols
+            if b == a or skip == "to next row":
+                at = a + 1
+            elif skip == "past last row":
+                at = b
+            else:
+                to = symbols.find(skip[-1]) if skip.startswith("to first") else symbols.rfind(skip[-1])
+                if to <= 0:
+                    raise ValueError(f"skip {skip}: the symbol is not behind the first row of the match {symbols}")
+                at = a + to
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
                 key, codes, values = row[:-2], row[-2], row[-1]
                 text = "".join(map(chr, (BASE + (np.asarray(codes) | unknown)).tolist()))
-                for number, (a, symbols) in enumerate(_matches(seek, letters, text, skip), 1):
+                for number, (a, symbols) in enumerate(matches(text), 1):
                     n = len(symbols)
                     if all_rows:
                         out += [(*key, number, i + 1, symbols[i], values[a + i]) for i in range(n)]
