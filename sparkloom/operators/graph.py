@@ -41,12 +41,13 @@ def leaves(found: DataFrame) -> DataFrame:
     return found.join(inner, ["root", "path"], "left").withColumn("is_leaf", F.col("_inner").isNull()).drop("_inner").select(*found.columns, "is_leaf")
 
 
-def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source, node, hops): the fewest hops from each source to every node that it reaches, itself at 0. Cycles end by themselves."""
+def reachable(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, hops): the fewest hops from each source to every node that it reaches, itself at 0. Cycles end by themselves.
+    With `most`, edges are followed for that many hops only, as WHERE hops < most does in a recursive CTE."""
     known = kept(sources.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("hops")).distinct())
     front, depth = known, 0
     links = edges.select("src", "dst").distinct()
-    while True:
+    while most is None or depth < most:
         step = front.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
         front = kept(step.join(known.select("source", "node"), ["source", "node"], "left_anti"))
         if front.isEmpty():
@@ -54,6 +55,7 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
         known, depth = known.unionByName(front), depth + 1  # each front is written once
         if depth % 32 == 0:
             known = kept(known)
+    return known
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:

@@ -138,6 +138,14 @@ def test_reachable_ends_on_cycles(spark):
     assert rows(graph.reachable(e, spark.createDataFrame([(1,)], "node int")), "node", "hops") == [(1, 0), (2, 1), (3, 2)]
 
 
+def test_reachable_stops_after_the_given_hops(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1)], "src int, dst int")
+    start = spark.createDataFrame([(1,)], "node int")
+    assert rows(graph.reachable(e, start, most=2), "node", "hops") == [(1, 0), (2, 1), (3, 2)]
+    assert rows(graph.reachable(e, start, most=0), "node") == [(1,)]
+    assert graph.reachable(e, start).count() == 4
+
+
 def test_match_recognize(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5, 4, 3, 6, 7, 2, 9])], "k string, t int, v int")
     from pyspark.sql import Window
