@@ -58,12 +58,13 @@ def reachable(edges: DataFrame, sources: DataFrame, most: int | None = None) ->
     return known
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str) -> DataFrame:
-    """(source, node, distance) over non-negative weights; each round relaxes only what became nearer in the last one."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most: float | None = None) -> DataFrame:
+    """(source, node, distance) over non-negative weights; each round relaxes only what became nearer in the last one.
+    With `most`, paths go on from nodes nearer than that only, as WHERE d < most does in a recursive CTE."""
     best = kept(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")).distinct())
     front = best
     while True:
-        step = front.join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col(weight)).alias("_d"))
+        step = (front if most is None else front.where(F.col("distance") < most)).join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col(weight)).alias("_d"))
         front = kept(step.join(best, ["source", "node"], "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance"))).select("source", "node", F.col("_d").alias("distance")))
         if front.isEmpty():
             return best

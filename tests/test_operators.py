@@ -146,6 +146,13 @@ def test_reachable_stops_after_the_given_hops(spark):
     assert graph.reachable(e, start).count() == 4
 
 
+def test_shortest_paths_go_on_from_nodes_nearer_than_the_bound(spark):
+    e = spark.createDataFrame([(1, 2, 5.0), (2, 3, 1.0), (1, 4, 4.0), (4, 3, 5.0), (3, 5, 1.0)], "src int, dst int, w double")
+    start = spark.createDataFrame([(1,)], "node int")
+    assert rows(graph.shortest_paths(e, start, "w"), "node", "distance") == [(1, 0.0), (2, 5.0), (3, 6.0), (4, 4.0), (5, 7.0)]
+    assert rows(graph.shortest_paths(e, start, "w", most=5.0), "node", "distance") == [(1, 0.0), (2, 5.0), (3, 9.0), (4, 4.0)]
+
+
 def test_match_recognize(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5, 4, 3, 6, 7, 2, 9])], "k string, t int, v int")
     from pyspark.sql import Window
