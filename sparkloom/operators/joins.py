@@ -111,8 +111,8 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int =
 
 def near_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], distance: float) -> DataFrame:
     """Pairs of points in a plane at most `distance` apart, by an equi-join on cells of a grid: a left row is in one cell, a right
-    row in its own and the eight around it, so that each pair meets once. Points without a coordinate match nothing; a crowded
-    cell is a skewed key, which AQE splits."""
+    row in its own and the eight around it, so that each pair meets once. Points without a coordinate match nothing; the rows of
+    a crowded cell meet in blocks."""
     if not distance > 0:
         raise ValueError("distance must be over 0")
     cell = lambda c: F.floor(F.col(c) / F.lit(distance)).cast("long")
@@ -121,7 +121,7 @@ def near_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right
     b = right.withColumn("_rx", around(right_at[0])).withColumn("_ry", around(right_at[1]))
     dx, dy = F.col(left_at[0]) - F.col(right_at[0]), F.col(left_at[1]) - F.col(right_at[1])
     near = dx * dx + dy * dy <= distance * distance
-    return a.join(b, (F.col("_cx") == F.col("_rx")) & (F.col("_cy") == F.col("_ry")) & near).drop("_cx", "_cy", "_rx", "_ry")
+    return block_join(a, b, [("_cx", "_rx"), ("_cy", "_ry")]).where(near).drop("_cx", "_cy", "_rx", "_ry")
 
 
 def _partitions(counts: DataFrame, pairs: Column) -> int:

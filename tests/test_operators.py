@@ -344,3 +344,14 @@ def test_pairs_within_a_hot_key_meet_in_several_tasks(spark, monkeypatch):
     want = [(a[1], b[1]) for a in values for b in values if None not in (*a, *b) and a[0] == b[0] and a[1] < b[1]]
     assert sorted((r.x, r.y) for r in found.collect()) == sorted(want)
     assert found.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_near_points_of_one_crowded_cell_meet_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 64)
+    a = spark.range(60).selectExpr("id AS a", "id / 60.0D AS x", "0.5D AS y")
+    b = spark.range(40).selectExpr("id AS b", "id / 40.0D AS u", "0.5D AS v").unionByName(spark.createDataFrame([(99, None, 0.5)], "b long, u double, v double"))
+    found = joins.near_join(a, b, ("x", "y"), ("u", "v"), 0.7)
+    want = [(i, j) for i in range(60) for j in range(40) if (i / 60 - j / 40) ** 2 <= 0.7 * 0.7]
+    assert sorted((r.a, r.b) for r in found.collect()) == want
+    assert found.groupBy(F.spark_partition_id()).count().count() > 4
