@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.joins import block_join
 from sparkloom.session import kept
 
 
@@ -73,7 +74,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, most: floa
 
 def match(vertices: DataFrame, edges: DataFrame, pattern: list[tuple[str, dict | None, str, dict | None]], start: tuple[str, dict | None]) -> DataFrame:
     """A chain of graph-pattern steps as joins. start and each step name a vertex variable and its labels; a step is
-    (direction '->', '<-' or '-', edge properties, variable, vertex properties). Columns are <variable>_id."""
+    (direction '->', '<-' or '-', edge properties, variable, vertex properties). Columns are <variable>_id. Edges are cut to
+    those that end in a wanted vertex before they are followed, and a vertex with many on both sides is passed in blocks."""
 
     def chosen(df: DataFrame, wanted: dict | None) -> DataFrame:
         for k, v in (wanted or {}).items():
@@ -88,7 +90,8 @@ def match(vertices: DataFrame, edges: DataFrame, pattern: list[tuple[str, dict |
         back = e.select(F.col("dst").alias("_a"), F.col("src").alias("_b"))
         step = out if direction == "->" else back if direction == "<-" else out.unionByName(back)
         ends = chosen(vertices, wanted).select(F.col("id").alias(f"{name}_id"))
-        found = found.join(step, F.col(last) == F.col("_a")).join(ends, F.col("_b") == F.col(f"{name}_id")).drop("_a", "_b")
+        reach = step.join(ends, F.col("_b") == F.col(f"{name}_id")).drop("_b")
+        found = block_join(kept(found), kept(reach), [(last, "_a")]).drop("_a")
         last = f"{name}_id"
     return found
 

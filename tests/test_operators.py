@@ -355,3 +355,13 @@ def test_near_points_of_one_crowded_cell_meet_in_several_tasks(spark, monkeypatc
     want = [(i, j) for i in range(60) for j in range(40) if (i / 60 - j / 40) ** 2 <= 0.7 * 0.7]
     assert sorted((r.a, r.b) for r in found.collect()) == want
     assert found.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_graph_match_passes_a_hub_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 64)
+    v = spark.range(0, 101).selectExpr("id", "CASE WHEN id = 0 THEN 'hub' WHEN id <= 40 THEN 'a' ELSE 'b' END AS label")
+    e = spark.range(1, 101).selectExpr("id AS src", "0L AS dst")
+    found = graph.match(v, e, [("->", None, "h", {"label": "hub"}), ("<-", None, "y", {"label": "b"})], ("x", {"label": "a"}))
+    assert sorted((r.x_id, r.h_id, r.y_id) for r in found.collect()) == [(x, 0, y) for x in range(1, 41) for y in range(41, 101)]
+    assert found.groupBy(F.spark_partition_id()).count().count() > 4
