@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import scalar
 from sparkloom.operators import dml, documents, graph, incremental, joins, ordering, rowpattern, search, sketches, tables, timeseries, windows
+from sparkloom.plans.catalog import QUERIES
 
 
 def rows(df, *names):
@@ -365,3 +366,9 @@ def test_graph_match_passes_a_hub_in_several_tasks(spark, monkeypatch):
     found = graph.match(v, e, [("->", None, "h", {"label": "hub"}), ("<-", None, "y", {"label": "b"})], ("x", {"label": "a"}))
     assert sorted((r.x_id, r.h_id, r.y_id) for r in found.collect()) == [(x, 0, y) for x in range(1, 41) for y in range(41, 101)]
     assert found.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_no_sketch_is_kept_for_each_distinct_value(spark):
+    plan = QUERIES["agg_approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    sketches_at = [line for line in plan.splitlines() if "approx_count_distinct" in line and "Aggregate" in line]
+    assert sketches_at and not [line for line in sketches_at if "l_partkey" in line.split("functions=")[0]]
