@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,21 +49,89 @@ def knn(df: DataFrame, vector: str, target: Column, k: int, metric: str = "l2",
     return near if after is None else near.where(after)
 
 
-#: Numbers of the queries' vectors that are sent to every executor at once, 8 bytes each.
-BROADCAST_NUMBERS = 4_000_000
+#: Numbers of the queries' vectors that are sent to every executor at once, 8 bytes each; products a partition of knn_join() works
+#: out, and distances at once.
+BROADCAST_NUMBERS, TASK_PRODUCTS, CHUNK_DISTANCES = 4_000_000, 1 << 32, 1 << 21
+
+
+def _pairs(rows: DataFrame, wanted: DataFrame, row_id: str, vector: str, metric: str) -> DataFrame:
+    pairs = rows.select(row_id, vector).crossJoin(F.broadcast(wanted))
+    return pairs.select(F.col("_q").alias("query"), F.col(row_id).alias("neighbour"), distance(metric, F.col(vector), F.col("_v")).alias("_distance"))
+
+
+def _nearest(ids: np.ndarray, q: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (id, vector) to the k nearest rows of each query in the partition. A matrix product bounds each distance within its
+    rounding; what may be among the nearest is measured as distance() does, in its order of summing, and ties go by id."""
+    chunk = CHUNK_DISTANCES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, d = q.shape
+        norm = (q * q).sum(axis=1)
+        slack = (d + 8) * 8 * np.finfo(np.float64).eps
+        of, at, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        limit = np.full(m, np.inf)
+        for batch in batches:
+            for since in range(0, len(batch), max(1, chunk // m)):
+                part = batch.slice(since, max(1, chunk // m))
+                row = part.column(0).to_numpy(zero_copy_only=False)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                both = (x * x).sum(axis=1)[None, :] + norm[:, None]
+                about, error = both - 2 * (q @ x.T), both * slack
+                top = limit
+                if len(x) > k and np.isinf(limit).any():
+                    top = np.minimum(limit, np.partition(about + error, k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(about - error <= top[:, None])
+                if not len(i):
+                    continue
+                total = np.zeros(len(i))
+                for c in range(d):
+                    gap = x[j, c] - q[i, c]
+                    total += gap * gap
+                of, at, far = np.concatenate((of, i)), np.concatenate((at, row[j])), np.concatenate((far, np.sqrt(total)))
+                order = np.lexsort((at, far, of))
+                of = of[order]
+                first = np.searchsorted(of, of)
+                best = np.arange(len(of)) - first < k
+                of, at, far = of[best], at[order][best], far[order][best]
+                full = np.flatnonzero(np.arange(len(of)) - np.searchsorted(of, of) == k - 1)
+                limit[of[full]] = far[full] ** 2 * (1 + 4 * np.finfo(np.float64).eps)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(at), pa.array(far)], names=["query", "neighbour", "_distance"])
+
+    return run
 
 
 def knn_join(queries: DataFrame, df: DataFrame, query_id: str, query_vector: str, row_id: str, vector: str, k: int, metric: str = "l2") -> DataFrame:
     """The k nearest rows for each query, exactly. Queries are counted and sent in blocks of BROADCAST_NUMBERS numbers at
-    most; of each block Spark keeps k rows a task and query before anything is shuffled."""
+    most. With l2 and whole numbers as ids, distances come from matrix products of blocks, in tasks of TASK_PRODUCTS; null, uneven
+    and very large vectors, other metrics and other ids go by pairs. k rows a task and query are kept before anything is shuffled."""
     wanted = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"))
-    numbers = wanted.agg(F.sum(F.size("_v"))).first()[0] or 0
-    blocks = max(1, -(-2 * numbers // BROADCAST_NUMBERS)) if numbers > BROADCAST_NUMBERS else 1
+    numbers, size = wanted.agg(F.sum(F.size("_v")), F.max(F.size("_v"))).first()
+    blocks = max(1, -(-2 * numbers // BROADCAST_NUMBERS)) if (numbers or 0) > BROADCAST_NUMBERS else 1
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    fast = metric == "l2" and (size or 0) > 0 and k > 0 and dict(wanted.dtypes)["_q"] in whole and dict(df.dtypes)[row_id] in whole
+    if fast:
+        even = lambda i, v: F.coalesce(F.col(i).isNotNull() & (F.size(v) == size) & F.forall(_double(F.col(v)), lambda y: F.coalesce(F.abs(y) < 1e100, F.lit(False))), F.lit(False))
+        good, odd = df.where(even(row_id, vector)).select(F.col(row_id).cast("long").alias("i"), _double(F.col(vector)).alias("v")), df.where(~even(row_id, vector))
+        n, some = good.count(), not odd.isEmpty()
     found = None
     for block in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block)
-        pairs = df.select(row_id, vector).crossJoin(F.broadcast(part))
-        measured = pairs.select(F.col("_q").alias("query"), F.col(row_id).alias("neighbour"), distance(metric, F.col(vector), F.col("_v")).alias("_distance"))
+        if fast:
+            sent = part.where(even("_q", "_v")).select(F.col("_q").cast("long"), _double(F.col("_v")).alias("_v")).toArrow()
+            q = np.array(sent.column("_v").to_pylist(), np.float64).reshape(-1, size)
+            parts = max(1, -(-n * q.size // TASK_PRODUCTS))
+            rows = good.repartition(parts, "i") if parts > 1 else good
+            measured = rows.mapInArrow(_nearest(sent.column("_q").to_numpy(), q, k), "query long, neighbour long, _distance double")
+            types = {"query": dict(wanted.dtypes)["_q"], "neighbour": dict(df.dtypes)[row_id]}
+            measured = measured.select(*[F.col(c).cast(t).alias(c) for c, t in types.items()], "_distance") if len(q) else None
+            others = part.where(~even("_q", "_v"))
+            rest = [_pairs(odd, part, row_id, vector, metric)] if some else []
+            if sent.num_rows == 0 or not others.isEmpty():
+                rest.append(_pairs(df.where(even(row_id, vector)), others, row_id, vector, metric))
+            for more in rest:
+                measured = more if measured is None else measured.unionByName(more)
+        else:
+            measured = _pairs(df, part, row_id, vector, metric)
         rank = F.row_number().over(Window.partitionBy("query").orderBy("_distance", "neighbour"))
         near = measured.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
         found = near if found is None else found.unionByName(near)

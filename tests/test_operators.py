@@ -372,3 +372,21 @@ def test_no_sketch_is_kept_for_each_distinct_value(spark):
     plan = QUERIES["agg_approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     sketches_at = [line for line in plan.splitlines() if "approx_count_distinct" in line and "Aggregate" in line]
     assert sketches_at and not [line for line in sketches_at if "l_partkey" in line.split("functions=")[0]]
+
+
+def test_knn_join_by_products_equals_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK_DISTANCES", 64)
+    monkeypatch.setattr(search, "TASK_PRODUCTS", 4000)
+    made = [(k, [float(k * 7 % 11), float(k * 5 % 13) / 3, 1e-3 * (k % 4)]) for k in range(300)]
+    odd = [(1000, None), (1001, [1.0]), (1002, [1.0, None, 2.0]), (1003, [float("nan"), 0.0, 0.0]), (1004, [1e200, 0.0, 0.0])]
+    for data in (made, made + odd):
+        e = spark.createDataFrame(data, "i long, v array<double>")
+        q = e.where("i % 10 = 0")
+        pairs = search._pairs(e, q.select(F.col("i").alias("_q"), F.col("v").alias("_v")), "i", "v", "l2")
+        rank = F.row_number().over(search.Window.partitionBy("query").orderBy("_distance", "neighbour"))
+        want = pairs.withColumn("rank", rank).where("rank <= 5")
+        got = search.knn_join(q, e, "i", "v", "i", "v", 5)
+        names = ("query", "neighbour", "rank")
+        assert rows(got, *names) == rows(want, *names)
+    plain = search.knn_join(spark.createDataFrame(made, "i long, v array<double>").where("i = 3"), spark.createDataFrame(made, "i long, v array<double>"), "i", "v", "i", "v", 5)
+    assert "CartesianProduct" not in (text := plain._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in text
