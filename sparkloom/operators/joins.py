@@ -124,10 +124,10 @@ def near_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right
     return block_join(a, b, [("_cx", "_rx"), ("_cy", "_ry")]).where(near).drop("_cx", "_cy", "_rx", "_ry")
 
 
-def _partitions(counts: DataFrame, pairs: Column) -> int:
+def _partitions(counts: DataFrame, pairs: Column, most: int | None = None) -> int:
     """Partitions for a join of which counts has the rows (_n) and pairs of each key; AQE does not coalesce a given number."""
     found = counts.agg(F.sum(pairs.cast("double")), F.sum("_n")).first()
-    return max(1, -(-int(found[0] or 0) // TASK_PAIRS), -(-(found[1] or 0) // TASK_ROWS))
+    return max(1, -(-int(found[0] or 0) // (most or TASK_PAIRS)), -(-(found[1] or 0) // TASK_ROWS))
 
 
 def _sections(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
@@ -165,9 +165,10 @@ def block_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) ->
     return a.repartition(parts, *left_keys, "_i", "_j").join(b.repartition(parts, *right_keys, "_ri", "_rj"), meet).drop("_i", "_j", "_ri", "_rj")
 
 
-def pairs_within(df: DataFrame, on: list[str], by: str) -> DataFrame:
+def pairs_within(df: DataFrame, on: list[str], by: str, counted: bool = False) -> DataFrame:
     """(x, y), x < y: values of `by` of each two rows that agree in `on`. Blocks of a key's rows meet each other and
-    themselves as in block_join(), but two blocks once only, so that no pair is formed twice. Nulls match nothing."""
+    themselves as in block_join(), but two blocks once only, so that no pair is formed twice. Nulls match nothing.
+    If counted, (x, y, n) with how often each pair occurs, in partitions by their number, so that a task's groups stay few."""
     rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], F.col(by).alias("_v")).dropna()
     keys = [f"_k{i}" for i in range(len(on))]
     counts = kept(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
@@ -180,4 +181,7 @@ def pairs_within(df: DataFrame, on: list[str], by: str) -> DataFrame:
     meet = [*keys, "_i", "_j"]
     x, y = F.col("_x"), F.col("_y")
     found = a.repartition(parts, *meet).join(b.repartition(parts, *meet), meet).where((F.col("_i") < F.col("_j")) | (x < y))
-    return found.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    found = found.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    if not counted:
+        return found
+    return found.repartition(_partitions(counts, F.col("_n").cast("double") * (F.col("_n") - 1) / 2, TASK_ROWS), "x", "y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))

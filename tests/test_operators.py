@@ -390,3 +390,12 @@ def test_knn_join_by_products_equals_pairs(spark, monkeypatch):
         assert rows(got, *names) == rows(want, *names)
     plain = search.knn_join(spark.createDataFrame(made, "i long, v array<double>").where("i = 3"), spark.createDataFrame(made, "i long, v array<double>"), "i", "v", "i", "v", 5)
     assert "CartesianProduct" not in (text := plain._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in text
+
+
+def test_counted_pairs_are_grouped_in_partitions_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    df = spark.range(600).selectExpr("id div 6 AS o", "id % 7 AS p").distinct()
+    found = joins.pairs_within(df, ["o"], "p", counted=True)
+    a, b = df.toDF("o", "x"), df.toDF("o", "y")
+    assert rows(found, "x", "y", "n") == rows(a.join(b, "o").where("x < y").groupBy("x", "y").count().withColumnRenamed("count", "n"), "x", "y", "n")
+    assert found.rdd.getNumPartitions() == 15
