@@ -97,15 +97,23 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], salts: int =
     """An equi-join with hot keys spread over `salts` partitions: the large side gets a salt, the small side all of them.
 
     how is inner, left, left_semi, left_anti, right or full. Each large row meets one copy of a small row, so the first four need
-    no more; for the others, small rows whose key the large side lacks come from an anti join without copies.
+    no more; for the others, small rows whose key the large side lacks come from an anti join without copies. If there are many
+    copies, both sides are counted and spread over partitions of TASK_ROWS, which AQE does not put together.
     """
     if how not in ("inner", "left", "left_semi", "left_anti", "right", "full"):
         raise ValueError(f"how must be inner, left, left_semi, left_anti, right or full, not {how}")
     a = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
     b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    copies, parts = small.count() * salts, 0
+    if copies > TASK_ROWS:
+        parts = -(-(large.count() + copies) // TASK_ROWS)
+        a, b = a.repartition(parts, *on, "_salt"), b.repartition(parts, *on, "_salt")
     found = a.join(b, [*on, "_salt"], {"right": "inner", "full": "left"}.get(how, how)).drop("_salt")
     if how not in ("right", "full"):
         return found
+    if parts:
+        keys = a.select(*on, "_salt").distinct().select(*on).repartition(parts, *on).distinct()
+        return found.unionByName(small.repartition(parts, *on).join(keys, on, "left_anti"), allowMissingColumns=True)
     return found.unionByName(small.join(large.select(*on).distinct(), on, "left_anti"), allowMissingColumns=True)
 
 

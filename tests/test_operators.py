@@ -399,3 +399,14 @@ def test_counted_pairs_are_grouped_in_partitions_by_their_number(spark, monkeypa
     a, b = df.toDF("o", "x"), df.toDF("o", "y")
     assert rows(found, "x", "y", "n") == rows(a.join(b, "o").where("x < y").groupBy("x", "y").count().withColumnRenamed("count", "n"), "x", "y", "n")
     assert found.rdd.getNumPartitions() == 15
+
+
+def test_salted_join_of_many_copies_is_spread_by_rows(spark, monkeypatch):
+    large = spark.range(500).selectExpr("CASE WHEN id % 9 = 0 THEN NULL ELSE id % 40 END AS k", "id AS x")
+    small = spark.range(60).selectExpr("CASE WHEN id = 59 THEN NULL ELSE id END AS k", "id AS y")
+    for how in ("inner", "left", "left_semi", "left_anti", "right", "full"):
+        want = rows(large.join(small, "k", how))
+        monkeypatch.setattr(joins, "TASK_ROWS", 200)
+        found = joins.salted_join(large, small, ["k"], how=how)
+        assert rows(found, *large.join(small, "k", how).columns) == want
+        assert found.rdd.getNumPartitions() >= 8
