@@ -347,6 +347,43 @@ def test_pairs_within_a_hot_key_meet_in_several_tasks(spark, monkeypatch):
     assert found.groupBy(F.spark_partition_id()).count().count() > 4
 
 
+def test_pairs_within_a_hot_key_send_bytes_as_rows_and_not_as_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(joins, "TILES", 32, raising=False)
+    sc = spark.sparkContext._jsc.sc()
+
+    def sent(n):
+        sc.listenerBus().waitUntilEmpty()
+        stages = lambda: sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        last = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+        assert joins.pairs_within(spark.range(n).selectExpr("id div 10000 AS k", "id"), ["k"], "id").agg(F.count("x"), F.sum("x"), F.sum("y")).first() == (
+            n * (n - 1) // 2,
+            sum(x * (n - 1 - x) for x in range(n)),
+            sum(y * y for y in range(n)),
+        )
+        sc.listenerBus().waitUntilEmpty()
+        found = stages()
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()) if found.apply(i).stageId() > last)
+
+    assert sent(4000) < 6 * sent(1000)
+
+
+def test_pairs_within_hot_and_other_keys_of_many_kinds(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 24)
+    monkeypatch.setattr(joins, "TASK_ROWS", 90)
+    made = [(k % 3, "abcdef"[k % 2 :], float(k * 7 % 50)) for k in range(400)] + [(9, "z", float(k)) for k in range(9)] + [(9, None, 1.0), (1, "abcdef", None), (7, "hot", float("nan"))]
+    made += [(7, "hot", 5.0)] * 60 + [(7, "hot", -1.0), (7, "hot", float("inf"))]
+    df = spark.createDataFrame(made, "k int, s string, v double")
+    a, b = df.toDF("k", "s", "x"), df.toDF("k", "s", "y")
+    want = a.join(b, ["k", "s"]).where("x < y").select("x", "y")
+    assert rows(joins.pairs_within(df, ["k", "s"], "v").select(F.col("x").cast("string"), F.col("y").cast("string"))) == rows(want.select(F.col("x").cast("string"), F.col("y").cast("string")))
+    assert rows(joins.pairs_within(df, ["k", "s"], "v", counted=True).selectExpr("string(x) AS x", "string(y) AS y", "n")) == rows(
+        want.groupBy("x", "y").count().selectExpr("string(x) AS x", "string(y) AS y", "count AS n")
+    )
+    words = df.selectExpr("k", "concat(s, v) AS v")
+    assert rows(joins.pairs_within(words, ["k"], "v")) == rows(words.toDF("k", "x").join(words.toDF("k", "y"), "k").where("x < y").select("x", "y"))
+
+
 def test_near_points_of_one_crowded_cell_meet_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(joins, "BLOCK_ROWS", 8)
     monkeypatch.setattr(joins, "TASK_PAIRS", 64)
